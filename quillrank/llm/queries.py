@@ -12,6 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import fit, judge
+
+    docs = table(spark, sf_dir, "documents")
+    out = judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import fit
+
+    docs = table(spark, sf_dir, "documents")
+    return fit(docs).apply(docs).select("doc_id", "n_words", "score", "kept")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources, word_count
 
@@ -36,8 +51,16 @@ FROM d LEFT JOIN t ON t.h = d.h AND d.n >= 1000
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out
+
+    docs = table(spark, sf_dir, "documents")
+    out = fit(docs, table(spark, sf_dir, "labels")).apply(docs)
+    return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_source_mixing": op7_source_mixing, "op8_warc": op8_warc}
+    return {"op2_quality_rules": op2_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_source_mixing": op7_source_mixing, "op8_warc": op8_warc, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
