@@ -20,6 +20,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def vocabulary() -> str:
+    """Where the public byte-level vocabulary lies on this machine and on the executors."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_model import fit
 
@@ -60,7 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_rules": op2_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_source_mixing": op7_source_mixing, "op8_warc": op8_warc, "op10_toxicity": op10_toxicity}
+    return {"op2_quality_rules": op2_quality_rules, "op4_bpe": op4_bpe, "op6_quality_classifier": op6_quality_classifier, "op7_source_mixing": op7_source_mixing, "op8_warc": op8_warc, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
