@@ -45,6 +45,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_model import fit
 
@@ -85,7 +91,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op6_quality_classifier": op6_quality_classifier, "op7_source_mixing": op7_source_mixing, "op8_warc": op8_warc, "op10_toxicity": op10_toxicity}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_quality_classifier": op6_quality_classifier, "op7_source_mixing": op7_source_mixing, "op8_warc": op8_warc, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

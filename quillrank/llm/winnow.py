@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .storage import written
 
-RUNS = "rid bigint, doc_id bigint, anchor bigint, digest bigint, p int, n int"
-_SCHEMA = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("anchor", pa.int64()), ("digest", pa.int64()), ("p", pa.int32()), ("n", pa.int32())])
+RUNS = "rid bigint, doc_id bigint, anchor bigint, digest bigint, p int, n int, twice boolean"
+_SCHEMA = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("anchor", pa.int64()), ("digest", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("twice", pa.bool_())])
 
 #: (bytes, offsets) of a chunk -> (a 64-bit value for each token, number of each text's first token and one more)
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -49,12 +49,14 @@ def same_row(other_rid: str, other_id: str) -> Column:
     return (F.col("rid") == F.col(other_rid)) & F.col("doc_id").eqNullSafe(F.col(other_id))
 
 
-def runs(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """The runs of a chunk: text, first window (as a token of the chunk), number of windows, anchor."""
+def runs(h: np.ndarray, first: np.ndarray, window: int, gram: int, within: bool = False) -> tuple[np.ndarray, ...]:
+    """The runs of a chunk: text, first window (as a token of the chunk), number of windows, anchor,
+    and (if ``within`` asks for it) whether the run holds its anchor more than once."""
     none = np.zeros(0, np.int64)
     if len(h) < window:
-        return none, none, none, np.zeros(0, tx.U)
-    anchor = tx.sliding_min(tx.rolled(h, gram), window - gram + 1)
+        return none, none, none, np.zeros(0, tx.U), np.zeros(0, bool)
+    grams = tx.rolled(h, gram)
+    anchor = tx.sliding_min(grams, window - gram + 1)
     end = np.repeat(first[1:], np.diff(first))[: len(anchor)]
     whole = np.arange(len(anchor)) + window <= end
     begin = whole.copy()
@@ -62,10 +64,14 @@ def runs(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.n
     stop = whole.copy()
     stop[:-1] &= begin[1:] | ~whole[1:]
     p = np.flatnonzero(begin)
-    return np.searchsorted(first, p, side="right") - 1, p, np.flatnonzero(stop) + 1 - p, anchor[p]
+    n, twice = np.flatnonzero(stop) + 1 - p, np.zeros(len(p), dtype=bool)
+    if within:
+        last = p + n + window - gram
+        twice[:] = [np.count_nonzero(grams[a:b] == x) > 1 for a, b, x in zip(p.tolist(), last.tolist(), anchor[p], strict=True)]
+    return np.searchsorted(first, p, side="right") - 1, p, n, anchor[p], twice
 
 
-def run_table(docs: DataFrame, tokens: Tokens, window: int, gram: int) -> DataFrame:
+def run_table(docs: DataFrame, tokens: Tokens, window: int, gram: int, within: bool) -> DataFrame:
     """The runs of every text of ``keyed`` docs, see :data:`RUNS`."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,24 +80,24 @@ def run_table(docs: DataFrame, tokens: Tokens, window: int, gram: int) -> DataFr
             rid, ids = batch.column(0), batch.column(1)
             for a, b in tx.chunks(offsets):
                 h, first = tokens(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                doc, p, n, anchor = runs(h, first, window, gram)
+                doc, p, n, anchor, twice = runs(h, first, window, gram, within)
                 if not len(p):
                     continue
                 raw = memoryview(np.ascontiguousarray(h)).cast("B")
                 digest = [xxhash.xxh3_64_intdigest(raw[8 * i : 8 * j]) for i, j in zip(p.tolist(), (p + n + window - 1).tolist(), strict=True)]
                 at = pa.array(doc + a)
                 yield pa.RecordBatch.from_arrays(
-                    [rid.take(at), ids.take(at), pa.array(anchor.view(np.int64)), pa.array(np.array(digest, tx.U).view(np.int64)), pa.array((p - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    [rid.take(at), ids.take(at), pa.array(anchor.view(np.int64)), pa.array(np.array(digest, tx.U).view(np.int64)), pa.array((p - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice)],
                     schema=_SCHEMA,
                 )
 
     return docs.select("rid", "doc_id", "text").mapInArrow(scan, RUNS)
 
 
-def repeated_runs(docs: DataFrame, tokens: Tokens, window: int, gram: int, name: str) -> DataFrame:
-    """The runs whose anchor has more than one, written to the shared folder."""
-    found = written(run_table(docs, tokens, window, gram), f"{name}-runs")
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(F.col("anchor").alias("x"))
+def repeated_runs(docs: DataFrame, tokens: Tokens, window: int, gram: int, name: str, within: bool = False) -> DataFrame:
+    """The runs whose anchor has more than one, written to the shared folder; ``within``: or lies more than once in its only one."""
+    found = written(run_table(docs, tokens, window, gram, within), f"{name}-runs")
+    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.max("twice").alias("twice")).filter("times > 1 or twice").select(F.col("anchor").alias("x"))
     return written(found.join(twice, F.col("anchor") == F.col("x"), "left_semi"), f"{name}-repeated")
 
 
