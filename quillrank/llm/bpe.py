@@ -162,8 +162,25 @@ def _mapped(docs: DataFrame, path: str, row: Callable[[Tokenizer, np.ndarray], t
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ids``: a row for each row of docs. A null text is empty and has no ids; only doc_id and text are read."""
-    return _mapped(docs, path, lambda tok, ids: (ids.tolist(),), [("ids", T.ArrayType(T.LongType()), pa.list_(pa.int64()))])
+    """``doc_id, n_tokens, ids, round_trip``: a row for each row of docs; round_trip: the ids decode to the text.
+
+    A null text is empty and has no ids; only doc_id and text are read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = loaded(path)
+        with ThreadPoolExecutor(THREADS) as pool:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    texts = [t.as_py() or "" for t in part.column(1)]
+                    ids = [tok.encode(t, pool) for t in texts]
+                    back = [tok.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+                    n = np.array([len(i) for i in ids], dtype=np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), lists, pa.array(back)], ["doc_id", "n_tokens", "ids", "round_trip"])
+
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -144,3 +144,18 @@ def mix_sources(docs: DataFrame, size: Column, weights: Sequence[float] = WEIGHT
     out = out.join(ends, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     copies = F.col("whole") + F.when(F.col("i") <= F.col("raised"), 1).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+
+
+def repeated_rows(docs: DataFrame, mixed: DataFrame, size: Column) -> DataFrame:
+    """The rows of docs, each as often as ``mixed`` (of :func:`mix_sources`) takes it, with all their columns."""
+    own = mixed.groupBy(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("k_copies")).filter("k_copies[0] > 0")
+    names = docs.columns
+    rows = docs.withColumn("k", size.cast("long"))
+    on = F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("k") == F.col("k_size"))
+    rows = rows.join(own, on)
+    # rows that share id, source and size are told apart by number; almost all stand alone
+    single = rows.filter(F.size("k_copies") == 1).withColumn("k_n", F.col("k_copies")[0])
+    turn = F.row_number().over(Window.partitionBy("k_id", "k_source", "k_size").orderBy(F.xxhash64("text")))
+    shared = rows.filter(F.size("k_copies") > 1).withColumn("k_n", F.element_at("k_copies", turn))
+    every = single.unionByName(shared)
+    return every.withColumn("k_each", F.explode(F.array_repeat(F.lit(1), F.col("k_n").cast("int")))).select(*names)

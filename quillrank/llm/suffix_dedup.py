@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as tx
 from . import winnow as wn
@@ -263,3 +264,25 @@ def dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string() if digest else pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"])
 
     return rows.mapInArrow(run, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {'kept_sha256 string' if digest else 'kept binary'}")
+
+
+def dedup_text(docs: DataFrame) -> DataFrame:
+    """The rows of docs with the repeated bytes gone from their texts, all other columns as they were.
+
+    A character that a cut leaves incomplete goes with it; null texts come back empty.
+    """
+    names = docs.columns
+    columns = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(names)]
+    place = names.index("text")
+    own = wn.keyed(docs.select(F.struct(*columns).alias("row"), "doc_id", "text"), "row")
+    spans = wn.per_document(repeated_windows(own.drop("row")).distinct())
+    rows = own.join(spans, wn.same_row("r", "d"), "left").select(F.col("row").withField(f"c{place}", F.lit("")).alias("row"), "text", "starts", "counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_binary())
+            kept = [_cut(t.as_py() or b"", a.as_py(), b.as_py())[2].decode("utf-8", errors="ignore") for t, a, b in zip(texts, batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["row", "kept"])
+
+    schema = T.StructType([rows.schema["row"], T.StructField("kept", T.StringType())])
+    return rows.mapInArrow(run, schema).select(*[F.col("kept" if i == place else f"row.c{i}").alias(c) for i, c in enumerate(names)])

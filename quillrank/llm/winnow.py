@@ -39,10 +39,10 @@ def byte_tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return tx.BYTE[buf], offsets
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``rid, doc_id, text``: rid tells rows of one id and different texts apart; null texts are empty."""
+def keyed(docs: DataFrame, *others: str) -> DataFrame:
+    """``rid, doc_id, text`` and other columns: rid tells rows of one id and different texts apart; null texts are empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.xxhash64("doc_id", text).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return docs.select(F.xxhash64("doc_id", text).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *others)
 
 
 def same_row(other_rid: str, other_id: str) -> Column:
