@@ -1,15 +1,694 @@
-"""The queries over the driver's tables and their SQL."""
+"""The queries over the driver's tables and their SQL.
+
+The tables hold no resumes, so they stand in: documents for resumes and vacancies, benchmark for query texts,
+embeddings for a vector index, labels by document source for judged queries, customers, orders, lines
+and parts for skill sets and links. Every query runs over whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import evidence, pii
+from ..functions import skills as sk
+from ..functions import text as tx
+from ..operators import dedupe, grouping, metrics, ner, quality, ranking, retrieval, validation, workspace
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: A lexicon of words that the test documents have.
+WORDS = {w: [] for w in "the and that was for with this are from than que des".split()}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
 
+    return register
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ---- retrieval -----------------------------------------------------------------------------------
+
+_TOKENS = r"regexp_extract_all(lower({}), '[\pL\pN_][\pL\pN_+#.\-]*')"
+_SEARCH = r"regexp_extract_all(lower({}), '[\pL\pN_+#.]{{2,}}')"
+
+
+def _bm25_sql(pattern: str, k1: float, rest: str) -> str:
+    doc, q = pattern.format("text"), pattern.format("text")
+    return f"""
+WITH dt AS (SELECT doc_id, unnest({doc}) AS tok FROM documents),
+tf AS (SELECT doc_id, tok, count(*) AS tf FROM dt GROUP BY ALL),
+dl AS (SELECT doc_id, len({doc}) AS len FROM documents),
+df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok),
+st AS (SELECT count(*) AS n, avg(len) AS al FROM dl),
+qt AS (SELECT DISTINCT item_id, unnest({q}) AS tok FROM benchmark),
+qs AS (SELECT item_id, count(*) AS size FROM qt GROUP BY item_id),
+s AS (SELECT qt.item_id AS query_id, tf.doc_id,
+      sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {k1 + 1} / (tf + {k1} * (0.25 + 0.75 * len / al))) AS lexical
+      FROM qt JOIN tf USING (tok) JOIN df USING (tok) JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY ALL)
+{rest}"""
+
+
+def _index(docs: DataFrame, tokens=tx.pair_tokens) -> retrieval.Index:
+    return retrieval.build_index(docs, "doc_id", tokens("text"))
+
+
+@query(
+    _bm25_sql(
+        _TOKENS, 1.5, """
+SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT query_id, doc_id, round(lexical, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 9) DESC, doc_id) AS rank FROM s)
+WHERE rank <= 10""",
+    )
+)
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents for each benchmark text."""
+    score = retrieval.bm25(_index(t(spark, d, "documents")), retrieval.query_tokens(t(spark, d, "benchmark"), "item_id", tx.pair_tokens("text")))
+    return retrieval.ranked(score.select("query_id", "doc_id", F.col("lexical").alias("score")), ["query_id"], "score", ["doc_id"], 10)
+
+
+@query(
+    _bm25_sql(
+        _SEARCH, 1.2, """
+SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT query_id, doc_id, round(lexical / greatest(1, size), 9) AS score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(lexical / greatest(1, size), 9) DESC, doc_id) AS rank FROM s JOIN qs ON qs.item_id = s.query_id)
+WHERE rank <= 60""",
+    )
+)
+def bm25_query_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """The pool of sixty for each query, by lexical score over query size."""
+    score = retrieval.bm25(_index(t(spark, d, "documents"), tx.search_tokens), retrieval.query_tokens(t(spark, d, "benchmark"), "item_id", tx.search_tokens("text")), retrieval.Bm25(1.2))
+    rows = score.select("query_id", "doc_id", retrieval.prefilter_score(F.col("lexical"), F.col("size"), F.lit(0.0)).alias("score"))
+    return retrieval.ranked(rows, ["query_id"], "score", ["doc_id"], 60)
+
+
+@query(
+    _bm25_sql(
+        _TOKENS, 1.5, """
+, h AS (SELECT query_id, s.doc_id, round(lexical, 9) AS score, sha256(text) AS hash FROM s JOIN documents d ON d.doc_id = s.doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, hash ORDER BY score DESC, doc_id) AS own FROM h),
+r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM o WHERE own = 1)
+SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
+    )
+)
+def bm25_distinct_source_top5(spark: SparkSession, d: str) -> DataFrame:
+    """Five documents with five texts for each query (L4, R2)."""
+    docs = t(spark, d, "documents")
+    hashes = docs.select("doc_id", F.sha2("text", 256).alias("source_hash"))
+    out = retrieval.shortlist_pairs(_index(docs), retrieval.query_tokens(t(spark, d, "benchmark"), "item_id", tx.pair_tokens("text")), hashes=hashes)
+    return out.select("query_id", "doc_id", "score", "rank")
+
+
+@query(
+    _bm25_sql(
+        _SEARCH, 1.2, """
+, p AS (SELECT query_id, doc_id, lexical / greatest(1, size) AS pre FROM s JOIN qs ON qs.item_id = s.query_id),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(pre, 9) DESC, doc_id) AS pool FROM p),
+f AS (SELECT query_id, c.doc_id, round(0.5 * round(pre, 9) + 0.5 / (1 + n_chars / 1000.0), 9) AS score FROM c JOIN documents d ON d.doc_id = c.doc_id WHERE pool <= 60),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)
+SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""",
+    )
+)
+def match_two_stage(spark: SparkSession, d: str) -> DataFrame:
+    """A cheap score picks max(60, 3k) documents for each query, a second one ranks them."""
+    docs = t(spark, d, "documents")
+    score = retrieval.bm25(_index(docs, tx.search_tokens), retrieval.query_tokens(t(spark, d, "benchmark"), "item_id", tx.search_tokens("text")), retrieval.Bm25(1.2))
+    pool = retrieval.two_stage(score.select("query_id", "doc_id", retrieval.prefilter_score(F.col("lexical"), F.col("size"), F.lit(0.0)).alias("pre")), "pre", 10)
+    rows = pool.join(docs.select("doc_id", "n_chars"), "doc_id").select("query_id", "doc_id", (0.5 * F.col("pre") + 0.5 / (1 + F.col("n_chars") / 1000.0)).alias("score"))
+    return retrieval.ranked(rows, ["query_id"], "score", ["doc_id"], 10)
+
+
+@query(
+    f"""
+WITH tf AS (SELECT doc_id, tok, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS tok FROM documents) GROUP BY ALL)
+SELECT tok AS token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY tok"""
+)
+def term_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Document and collection frequency of every token (A1, A2)."""
+    p = _index(t(spark, d, "documents")).postings
+    return p.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+_COS = "greatest(0, least(1, list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))))"
+
+
+@query(f"""
+WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round({_COS}, 9) AS semantic FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, semantic, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest vectors of each query vector (J1, M1, L1). Queries are the ids divisible by 50."""
+    e = t(spark, d, "embeddings").select("vec_id", "embedding")
+    return retrieval.ranked(retrieval.vector_scores(e.filter("vec_id % 50 = 0"), e), ["query_id"], "semantic", ["vec_id"], 10)
+
+
+@query(f"""
+WITH s AS (SELECT q.vec_id AS resume_id, c.vec_id AS vacancy_id, {_COS} AS sem, CASE WHEN q.label = c.label THEN 0.2 ELSE 0.0 END AS skill
+           FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0),
+h AS (SELECT resume_id, vacancy_id, round(0.4 * skill + 0.6 * sem, 9) AS hybrid_score, skill AS skill_score FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY hybrid_score DESC, vacancy_id) AS rank FROM h)
+SELECT resume_id, vacancy_id, hybrid_score, CAST(skill_score AS DOUBLE) AS skill_score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid of one skill (the label) and the vectors."""
+    e = t(spark, d, "embeddings").select("vec_id", "embedding", F.array(F.col("label").cast("string")).alias("skills"))
+    out = retrieval.hybrid_match(e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "resume_id"), e.withColumnRenamed("vec_id", "vacancy_id"))
+    return out.select("resume_id", "vacancy_id", "hybrid_score", "skill_score", "rank")
+
+
+@query("""
+SELECT p_partkey, p_name, p_brand FROM part WHERE lower(p_brand) = 'brand#11' OR contains(lower(concat_ws(' ', p_name, p_type)), 'a')
+ORDER BY p_partkey LIMIT 20 OFFSET 20""")
+def catalogue_search(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of a search."""
+    p = t(spark, d, "part")
+    a, _ = retrieval.search(p.filter(F.lower("p_brand") == "brand#11"), ["p_name", "p_type"], "", order="p_partkey", limit=1 << 30)
+    b, _ = retrieval.search(p, ["p_name", "p_type"], "A", order="p_partkey", limit=1 << 30)
+    return a.union(b).distinct().orderBy("p_partkey").offset(20).limit(20).select("p_partkey", "p_name", "p_brand")
+
+
+@query("SELECT p_brand, count(*) AS total FROM part WHERE contains(lower(concat_ws(' ', p_name, p_type)), 'e') GROUP BY p_brand")
+def catalogue_totals(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows a search finds in each city, here brand."""
+    return t(spark, d, "part").filter(F.contains(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("e"))).groupBy("p_brand").agg(F.count(F.lit(1)).alias("total"))
+
+
+@query("SELECT DISTINCT trim(p_brand) AS p_brand FROM part WHERE trim(p_brand) <> '' ORDER BY 1")
+def cities(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct values in order."""
+    return workspace.cities(t(spark, d, "part"), "p_brand")
+
+
+# ---- skills and texts ----------------------------------------------------------------------------
+
+_LEX = "[" + ", ".join(f"'{w}'" for w in sorted(WORDS)) + "]"
+_FOUND = f"list_filter({_LEX}, lambda w: regexp_matches(lower(text), '(^|[^\\pL\\pN_])' || w || '($|[^\\pL\\pN_])'))"
+
+
+@query(f"SELECT doc_id, array_to_string({_FOUND}, ',') AS skills, len({_FOUND}) AS n FROM documents")
+def lexicon_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Skills of each document by a lexicon (F1, F2)."""
+    s = sk.extract("text", WORDS)
+    return t(spark, d, "documents").select("doc_id", F.array_join(s, ",").alias("skills"), F.size(s).cast("long").alias("n"))
+
+
+@query(f"""
+SELECT count(*) AS total, count(*) FILTER (len({_FOUND}) > 0) AS with_skills,
+       round(100.0 * avg(CASE WHEN len({_FOUND}) > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_percent, round(avg(len({_FOUND})), 6) AS mean_skills FROM documents""")
+def lexicon_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How much of a corpus a lexicon covers."""
+    out = quality.skill_coverage(t(spark, d, "documents").select(sk.extract("text", WORDS).alias("skills")))
+    return out.select("total", "with_skills", F.round("share_percent", 6).alias("share_percent"), F.round("mean_skills", 6).alias("mean_skills"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS c, p_brand AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+h AS (SELECT c, list(DISTINCT b) AS have FROM o GROUP BY c),
+n AS (SELECT p_type, list(DISTINCT p_brand) AS need FROM part WHERE p_size <= 3 GROUP BY p_type)
+SELECT c AS custkey, p_type, len(list_intersect(need, have)) AS matched,
+       round(len(list_intersect(need, have)) / len(need) * least(1, len(need) / 5.0), 9) AS skill_score,
+       round(len(list_intersect(need, have)) / (len(need) + len(have) - len(list_intersect(need, have))), 9) AS jaccard
+FROM h, n""")
+def skill_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Brands a customer has against brands a type of part needs."""
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(t(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    own = lines.join(t(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("custkey")).agg(F.collect_set("p_brand").alias("have"))
+    need = t(spark, d, "part").filter("p_size <= 3").groupBy("p_type").agg(F.collect_set("p_brand").alias("need"))  # as many rows as there are types
+    m = sk.details("have", "need")["matched"]
+    return own.crossJoin(F.broadcast(need)).select("custkey", "p_type", F.size(m).cast("long").alias("matched"), F.round(sk.skill_score("have", "need"), 9).alias("skill_score"), F.round(sk.jaccard("have", "need"), 9).alias("jaccard"))
+
+
+_STOP = "['the','and','of','to','in','for','with','on','at','from','by','as','is','are','be','this','that','a','an','or']"
+
+
+@query(f"""
+WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-zа-яёәіңғүұқөһ0-9][a-zа-яёәіңғүұқөһ0-9+#.\\-/]*')) AS w FROM documents),
+c AS (SELECT regexp_replace(w, '\\.+$', '') AS value FROM w)
+SELECT value, count(*) AS n FROM c WHERE length(value) >= 2 AND NOT list_contains({_STOP}, value) AND NOT regexp_matches(value, '^[0-9]+$')
+GROUP BY value ORDER BY n DESC, value LIMIT 60""")
+def top_words(spark: SparkSession, d: str) -> DataFrame:
+    """The sixty most frequent words."""
+    stop = [w.strip("'[]") for w in _STOP.split(",")]
+    return quality.most_common(t(spark, d, "documents"), tx.report_tokens("text", stop), 60)
+
+
+_MAIL = pii.EMAIL
+_TIDY = r"trim(regexp_replace(regexp_replace({}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
+_MASKED = f"regexp_replace(regexp_replace(regexp_replace(text, '{_MAIL}', '[EMAIL]', 'g'), 'https?://\\S+', '[URL]', 'gi'), '\\bwww\\.\\S+', '[URL]', 'gi')"
+
+
+@query(f"SELECT doc_id, sha256({_TIDY.format(_MASKED)}) AS masked_sha256, contains({_MASKED}, '[EMAIL]') AS has_email FROM documents")
+def pii_mask_email(spark: SparkSession, d: str) -> DataFrame:
+    """Mail addresses and links masked, white space tidied."""
+    m = pii.mask_links(pii.mask_email("text"))
+    return t(spark, d, "documents").select("doc_id", F.sha2(pii.tidy(m), 256).alias("masked_sha256"), F.contains(m, F.lit("[EMAIL]")).alias("has_email"))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{_MAIL}')) AS emails, len(regexp_extract_all(text, '(?i)https?://\\S+')) AS links FROM documents")
+def pii_counts(spark: SparkSession, d: str) -> DataFrame:
+    c = pii.counts("text")
+    return t(spark, d, "documents").select("doc_id", c["emails"].cast("long").alias("emails"), c["links"].cast("long").alias("links"))
+
+
+@query()
+def pii_anonymise(spark: SparkSession, d: str) -> DataFrame:
+    """All masks; phones and spaced names by a vectorised function."""
+    return t(spark, d, "documents").select("doc_id", pii.anonymised("text").alias("text"))
+
+
+@query()
+def statements_split(spark: SparkSession, d: str) -> DataFrame:
+    """Statements of the professional text (F12, F13, F23). Its pattern looks behind, which SQL's cannot."""
+    s = tx.statements(tx.professional_text("text"))
+    return t(spark, d, "documents").select("doc_id", F.size(s).alias("n"), F.size(F.filter(s, tx.positive)).alias("positive"))
+
+
+@query(r"""
+SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g')) AS n_content, trim(regexp_replace(regexp_replace(lower(text), '\[(email|phone|url|contact)\]', ' ', 'g'), '[^a-zа-яёәіңғүұқөһ0-9]+', ' ', 'g')) AS dedup_key,
+       TRY_CAST(regexp_extract(text, '\d+') AS DOUBLE) AS first_number, regexp_matches(lower(text), 'software|developer') AS is_software FROM documents""")
+def text_scalars(spark: SparkSession, d: str) -> DataFrame:
+    """Projections over texts."""
+    number = F.regexp_extract("text", r"\d+", 0).try_cast("double")
+    return t(spark, d, "documents").select("doc_id", F.length(F.regexp_replace("text", r"\s+", "")).cast("long").alias("n_content"), tx.deduplication_key("text").alias("dedup_key"), number.alias("first_number"), F.lower("text").rlike("software|developer").alias("is_software"))
+
+
+@query()
+def professional_scalars(spark: SparkSession, d: str) -> DataFrame:
+    """Roles, levels, degrees and years of texts."""
+    p, m = tx.professional_text("text"), tx.minimum_years("text")
+    return t(spark, d, "documents").select(
+        "doc_id", tx.roles(p).alias("roles"), tx.seniority(p).alias("levels"), tx.degree(p).alias("degree"), tx.claimed_years(p).alias("claimed"), tx.required_years("text").alias("required"),
+        m["years"].alias("minimum"), m["status"].alias("minimum_status"), tx.valid_resume("text").alias("valid"), F.size(tx.numbered_lines("text")).alias("n_lines"),
+    )
+
+
+@query()
+def text_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of at most 1000 characters, with offsets."""
+    return t(spark, d, "documents").select("doc_id", F.explode(tx.chunks("text")).alias("c")).select("doc_id", "c.*")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, length(text) AS final_length, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS lines FROM documents),
+r AS (SELECT doc_id, final_length, len(lines) - len(list_distinct(lines)) AS duplicate_lines, CASE WHEN len(lines) = 0 THEN 0.0 ELSE (len(lines) - len(list_distinct(lines))) / len(lines) END AS ratio FROM l)
+SELECT doc_id, final_length, duplicate_lines, round(ratio, 9) AS duplicate_ratio, final_length = 0 AS flag_empty_text, final_length < 300 AS flag_short_text, ratio > 0.3 AS flag_duplicates FROM r""")
+def quality_report(spark: SparkSession, d: str) -> DataFrame:
+    """Flags of extracted texts."""
+    r = quality.report(t(spark, d, "documents"), "doc_id")
+    return r.select("doc_id", F.col("final_length").cast("long").alias("final_length"), F.col("duplicate_lines").cast("long").alias("duplicate_lines"), F.round("duplicate_ratio", 9).alias("duplicate_ratio"), "flag_empty_text", "flag_short_text", "flag_duplicates")
+
+
+@query()
+def quality_suspicious(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with problems, the worst first."""
+    return quality.suspicious(quality.report(t(spark, d, "documents"), "doc_id"), "doc_id")
+
+
+@query("""
+SELECT 'lang' AS "column", lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source""")
+def histograms(spark: SparkSession, d: str) -> DataFrame:
+    """Several histograms in one pass."""
+    return quality.histograms(t(spark, d, "documents"), ["lang", "source"])
+
+
+@query("""
+SELECT doc_id, 'doc_' || substr(sha256(text), 1, 16) AS document_id, 'pair_' || substr(sha256(CAST(doc_id AS VARCHAR) || ':' || source), 1, 20) AS pair_id, length(text) = n_chars AS length_ok FROM documents""")
+def hash_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Ids made of hashes, and stored lengths held against texts."""
+    return t(spark, d, "documents").select("doc_id", tx.hex_id("doc_", 16, "text").alias("document_id"), tx.hex_id("pair_", 20, F.col("doc_id").cast("string"), F.lit(":"), "source").alias("pair_id"), (F.length("text") == F.col("n_chars")).alias("length_ok"))
+
+
+# ---- duplicates and groups -----------------------------------------------------------------------
+
+_KEY = r"trim(regexp_replace(regexp_replace(lower(text), '\[(email|phone|url|contact)\]', ' ', 'g'), '[^a-zа-яёәіңғүұқөһ0-9]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {_KEY}) AS class_id, count(*) OVER (PARTITION BY {_KEY}) AS copies FROM documents")
+def dup_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of equal normalised texts."""
+    return dedupe.exact_classes(t(spark, d, "documents"))
+
+
+@query()
+def dup_near(spark: SparkSession, d: str) -> DataFrame:
+    """Classes, and how many other classes are near."""
+    return dedupe.near_duplicates(t(spark, d, "documents"))
+
+
+@query("""
+WITH k AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) AS k FROM documents)
+SELECT doc_id AS node, CASE WHEN k = '' THEN doc_id ELSE min(doc_id) OVER (PARTITION BY k) END AS root FROM k""")
+def components(spark: SparkSession, d: str) -> DataFrame:
+    """Connected components over equal texts."""
+    docs = t(spark, d, "documents")
+    return grouping.components(docs.select(F.col("doc_id").alias("node")).distinct(), grouping.same_text_edges(docs, "doc_id", "text"))
+
+
+_FOLD = "(row_number() OVER (ORDER BY sha256('42:' || source)) - 1) % 3"
+
+
+@query(f"""SELECT source AS "group", {_FOLD} AS fold FROM (SELECT DISTINCT source FROM documents)""")
+def folds(spark: SparkSession, d: str) -> DataFrame:
+    """Folds by hash order."""
+    return ranking.folds(t(spark, d, "documents"), "source").select("group", F.col("fold").cast("long").alias("fold"))
+
+
+@query(f"""
+WITH f AS (SELECT source, {_FOLD} AS fold FROM (SELECT DISTINCT source FROM documents))
+SELECT fold, count(*) AS pairs, count(DISTINCT d.source) AS groups, count(DISTINCT lang) AS langs, count(*) FILTER (l.quality = 1) AS good
+FROM documents d JOIN f USING (source) JOIN labels l USING (doc_id) GROUP BY fold""")
+def group_split_check(spark: SparkSession, d: str) -> DataFrame:
+    """What each fold holds; no source is in two."""
+    docs = t(spark, d, "documents")
+    rows = docs.join(ranking.folds(docs, "source"), F.col("source") == F.col("group")).join(t(spark, d, "labels"), "doc_id")
+    return rows.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("source").alias("groups"), F.count_distinct("lang").alias("langs"), F.count_if(F.col("quality") == 1).alias("good"))
+
+
+@query("SELECT lang, count(DISTINCT source) AS values FROM documents GROUP BY lang HAVING count(DISTINCT source) > 1")
+def conflicting_values(spark: SparkSession, d: str) -> DataFrame:
+    """Keys with more than one value (V9)."""
+    return validation.conflicting(t(spark, d, "documents"), "lang", "source")
+
+
+@query("SELECT conv_id, count(*) AS n, 'repeated' AS reason FROM conversations GROUP BY conv_id HAVING count(*) > 1")
+def repeated_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that are no keys (V1, V8)."""
+    return validation.bad_keys(t(spark, d, "conversations"), "conv_id")
+
+
+@query("SELECT vec_id FROM embeddings WHERE abs(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) - 1) > 0.0001")
+def bad_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors not of length one."""
+    return validation.bad_vectors(t(spark, d, "embeddings")).select("vec_id")
+
+
+@query()
+def index_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest an index is held against."""
+    e = t(spark, d, "embeddings").withColumn("text_sha256", F.sha2(F.col("vec_id").cast("string"), 256))
+    return validation.manifest(e, "vec_id")
+
+
+# ---- workspace -----------------------------------------------------------------------------------
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS c, max(o_orderstatus) AS status FROM orders GROUP BY o_custkey),
+r AS (SELECT n_name, c_custkey AS candidate_id, round(c_acctbal, 6) AS score, coalesce(status, 'new') AS status,
+      row_number() OVER (PARTITION BY n_name ORDER BY round(c_acctbal, 6) DESC, c_custkey) AS rank
+      FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN s ON s.c = c_custkey)
+SELECT n_name, candidate_id, score, status, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def shortlist_status(spark: SparkSession, d: str) -> DataFrame:
+    """A shortlist with review status."""
+    rows = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select("n_name", F.col("c_custkey").alias("candidate_id"), F.col("c_acctbal").alias("score"), F.lit(0.0).alias("skill_score"))
+    reviews = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("candidate_id")).agg(F.max("o_orderstatus").alias("status"))
+    return workspace.shortlist_order(workspace.with_status(rows, reviews, ["candidate_id"]), ["n_name"], 10).select("n_name", "candidate_id", "score", "status", "rank")
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "orders").select(F.col("o_custkey").alias("candidate_id"), F.col("o_orderkey").alias("vacancy_id"), "o_orderstatus")
+
+
+@query("SELECT c_custkey AS candidate_id, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
+def links_semi(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates linked to open vacancies."""
+    links = _links(spark, d)
+    return workspace.candidates_for(t(spark, d, "customer").select(F.col("c_custkey").alias("candidate_id"), "c_name"), links, links.filter("o_orderstatus = 'O'").select("vacancy_id"))
+
+
+@query("SELECT c_custkey AS candidate_id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def links_anti(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates without a link."""
+    return workspace.unassigned(t(spark, d, "customer").select(F.col("c_custkey").alias("candidate_id"), "c_name"), _links(spark, d))
+
+
+@query("""
+SELECT c_custkey AS candidate_id, coalesce(array_to_string(list_sort(list(DISTINCT o_orderkey) FILTER (o_orderkey IS NOT NULL)), ','), '') AS vacancy_ids
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def linked_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates with the ids of their vacancies."""
+    own = _links(spark, d).groupBy("candidate_id").agg(F.array_sort(F.collect_set("vacancy_id")).alias("v"))
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("candidate_id")).join(own, "candidate_id", "left")
+    return c.select("candidate_id", F.coalesce(F.array_join(F.col("v").cast("array<string>"), ","), F.lit("")).alias("vacancy_ids"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, true AS is_custom FROM customer UNION ALL SELECT s_suppkey, s_name, false FROM supplier")
+def union_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Two sources under one schema."""
+    a = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return workspace.union_sources(a, t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+
+
+@query("""
+SELECT count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_totalprice > 100000) AS large,
+       count(*) FILTER (o_orderpriority LIKE '1%') AS urgent, count(*) AS total FROM orders""")
+def stats_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Conditional counts."""
+    return workspace.counts(t(spark, d, "orders"), open="o_orderstatus = 'O'", done="o_orderstatus = 'F'", large="o_totalprice > 100000", urgent="o_orderpriority like '1%'", total="true")
+
+
+@query("""
+SELECT c_custkey, c_name, CASE WHEN c_custkey IN (SELECT s_suppkey FROM supplier) THEN s_acctbal ELSE c_acctbal END AS c_acctbal
+FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""")
+def upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Rows put in place of those of their keys (K1)."""
+    c = t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    new = t(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal")).join(c.select("c_custkey", "c_name"), "c_custkey")
+    return workspace.upsert(c, new.select(*c.columns), ["c_custkey"])
+
+
+@query("SELECT count(*) AS links FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)")
+def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Links left when candidates go (K3)."""
+    gone = t(spark, d, "customer").filter("c_nationkey < 5").select(F.col("c_custkey").alias("candidate_id"))
+    return workspace.delete({"links": _links(spark, d)}, ["candidate_id"], gone)["links"].agg(F.count(F.lit(1)).alias("links"))
+
+
+@query("""
+SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate > TIMESTAMP '1998-01-01' AND c_mktsegment = 'BUILDING'""")
+def authenticated(spark: SparkSession, d: str) -> DataFrame:
+    """An equality and a range in one join."""
+    tokens = t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("account_id"), F.unix_timestamp("o_orderdate").alias("expires_at"))
+    accounts = t(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("account_id"), "c_name")
+    return workspace.authenticated(tokens, accounts, 883612800).select("o_orderkey", "c_name")
+
+
+_TURNS = "SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS back FROM conversations"
+
+
+@query(f"SELECT * FROM ({_TURNS}) WHERE back <= 6")
+def recent_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The last six turns of each conversation."""
+    return workspace.recent(t(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn")
+
+
+@query(f"SELECT conv_id, turn, role FROM ({_TURNS}) WHERE back = 1")
+def latest_turn(spark: SparkSession, d: str) -> DataFrame:
+    """The last turn of each conversation."""
+    return workspace.latest(t(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn")
+
+
+# ---- labels, metrics, learning -------------------------------------------------------------------
+
+_JUDGED_SQL = "SELECT d.source AS query, d.doc_id AS item, quality + 1 - toxic AS label, round(ln(n_chars), 1) AS score FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE n_chars > 0"
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    docs = t(spark, d, "documents").filter("n_chars > 0").select(F.col("source").alias("query"), F.col("doc_id").alias("item"), F.round(F.log("n_chars"), 1).alias("score"))
+    return docs.join(t(spark, d, "labels").select(F.col("doc_id").alias("item"), (F.col("quality") + 1 - F.col("toxic")).alias("label")), "item")
+
+
+_NDCG_SQL = f"""
+WITH j AS ({_JUDGED_SQL}),
+t AS (SELECT *, dense_rank() OVER (PARTITION BY query ORDER BY score DESC) AS tie, row_number() OVER (PARTITION BY query ORDER BY score DESC, label DESC) AS rank,
+      row_number() OVER (PARTITION BY query ORDER BY label DESC) AS ir, max(label) OVER (PARTITION BY query) AS best FROM j),
+g AS (SELECT *, avg(label) OVER (PARTITION BY query, tie) AS gain FROM t),
+n AS (SELECT query, sum(CASE WHEN rank <= 5 THEN gain / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN ir <= 5 THEN label / log2(ir + 1) ELSE 0 END) AS ideal,
+      count(DISTINCT label) > 1 AS informative, avg(CASE WHEN tie = 1 THEN CASE WHEN label = best THEN 1.0 ELSE 0.0 END END) AS top1 FROM g GROUP BY query)"""
+
+
+@query(_NDCG_SQL + "SELECT query, round(dcg, 9) AS dcg, round(ideal, 9) AS ideal, round(CASE WHEN ideal > 0 THEN dcg / ideal END, 9) AS ndcg, informative, round(top1, 9) AS top1 FROM n")
+def ndcg_at_5(spark: SparkSession, d: str) -> DataFrame:
+    """NDCG over ties of each query."""
+    n = metrics.ndcg(_judged(spark, d))
+    return n.select("query", *[F.round(c, 9).alias(c) for c in ("dcg", "ideal", "ndcg")], "informative", F.round("top1", 9).alias("top1"))
+
+
+_PAIR_SQL = f"""
+SELECT a.query, count(*) AS pairs, round(avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END), 9) AS accuracy
+FROM ({_JUDGED_SQL}) a JOIN ({_JUDGED_SQL}) b ON a.query = b.query AND a.label > b.label GROUP BY a.query"""
+
+
+@query(_PAIR_SQL)
+def pairwise_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Credit of pairs of each query."""
+    return metrics.pairwise(_judged(spark, d)).select("query", "pairs", F.round("accuracy", 9).alias("accuracy"))
+
+
+@query(_NDCG_SQL + f""", p AS ({_PAIR_SQL})
+SELECT round(avg(CASE WHEN ideal > 0 THEN dcg / ideal END), 6) AS ndcg, round(avg(CASE WHEN ideal > 0 AND informative THEN dcg / ideal END), 6) AS ndcg_informative, round(avg(accuracy), 6) AS pairwise_accuracy,
+       round(avg(CASE WHEN informative THEN top1 END), 6) AS top1_informative, count(*) AS queries, count(*) FILTER (informative) AS informative_queries FROM n LEFT JOIN p USING (query)""")
+def ranking_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Means over queries."""
+    s = metrics.summary(_judged(spark, d))
+    return s.select(*[F.round(c, 6).alias(c) for c in ("ndcg", "ndcg_informative", "pairwise_accuracy", "top1_informative")], "queries", "informative_queries")
+
+
+@query(f"""
+WITH j AS ({_JUDGED_SQL}), s AS (SELECT query AS "case", min(item) AS a, max(item) AS b FROM j GROUP BY query HAVING min(item) < max(item))
+SELECT "case", count(*) FILTER (x.score > y.score) AS strict, count(*) FILTER (x.score = y.score) AS ties, count(*) FILTER (x.score < y.score) AS wrong
+FROM s JOIN j x ON x.query = "case" AND x.item = a JOIN j y ON y.query = "case" AND y.item = b GROUP BY "case" """)
+def declared_preferences(spark: SparkSession, d: str) -> DataFrame:
+    """Preferences held against scores."""
+    j = _judged(spark, d).select(F.col("query").alias("case"), F.col("item").alias("id"), "score")
+    pairs = j.groupBy("case").agg(F.min("id").alias("higher"), F.max("id").alias("lower")).filter("higher < lower")
+    return metrics.preferences(j, pairs).select("case", "strict", "ties", "wrong")
+
+
+@query(f"""
+WITH j AS ({_JUDGED_SQL}), p AS (SELECT a.query, a.score - b.score AS d_score FROM j a JOIN j b ON a.query = b.query AND a.label > b.label),
+w AS (SELECT query, d_score, 1.0 / count(*) OVER (PARTITION BY query) / (SELECT count(DISTINCT query) FROM p) AS weight FROM p)
+SELECT query, count(*) AS pairs, round(sum(weight), 9) AS weight, round(sum(weight * d_score), 9) + 0 AS pull FROM w GROUP BY query""")
+def preference_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted preference pairs, summed by query."""
+    p = ranking.preference_pairs(_judged(spark, d).withColumnRenamed("label", "relevance"), "query", ["score"])
+    return p.groupBy("query").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("weight"), 9).alias("weight"), (F.round(F.sum(F.col("weight") * F.col("d_score")), 9) + 0).alias("pull"))
+
+
+_FEATURE_SQL = "SELECT doc_id, n_chars / 1000.0 AS kilo, length(regexp_replace(text, '[^a-z]', '', 'g')) / greatest(1, n_chars) AS letters, (n_chars % 7) / 7.0 AS role_compatibility, (n_chars % 5 - 2) / 4.0 AS experience_compatibility FROM documents"
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_chars")
+    return t(spark, d, "documents").select(
+        "doc_id", (n / 1000.0).alias("kilo"), (F.length(F.regexp_replace("text", "[^a-z]", "")) / F.greatest(F.lit(1), n)).alias("letters"), ((n % 7) / 7.0).alias("role_compatibility"), ((n % 5 - 2) / 4.0).alias("experience_compatibility")
+    )
+
+
+_NAMES = ("kilo", "letters", "role_compatibility", "experience_compatibility")
+MODEL = ranking.LinearModel(_NAMES, (0.5, 0.0, 0.0, 0.0), (2.0, 1.0, 1.0, 0.5), (0.3, 0.25, 0.8, 0.1))
+
+
+@query(f"""WITH f AS ({_FEATURE_SQL}) """ + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 9) AS mean, round(CASE WHEN stddev_pop({c}) < 1e-8 THEN 1.0 ELSE stddev_pop({c}) END, 9) AS scale FROM f" for c in _NAMES))
+def feature_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and scale of each feature."""
+    return ranking.feature_stats(_features(spark, d), _NAMES).select("feature", F.round("mean", 9).alias("mean"), F.round("scale", 9).alias("scale"))
+
+
+_TERMS = [f"({c} - {m}) / {s} * {w}" for c, m, s, w in zip(MODEL.features, MODEL.mean, MODEL.scale, MODEL.weights, strict=True)]
+_SCORE_SQL = f"""
+WITH f AS ({_FEATURE_SQL}), r AS (SELECT *, {' + '.join(_TERMS)} AS raw FROM f),
+p AS (SELECT *, CASE WHEN role_compatibility > 0 AND experience_compatibility < 0 THEN greatest(0, least(1, 1 + experience_compatibility / role_compatibility)) ELSE 1.0 END AS factor FROM r)"""
+
+
+@query(_SCORE_SQL + "SELECT doc_id, round(raw, 9) AS raw_score, round(factor, 9) AS factor, round(raw - greatest(raw, 0) * (1 - factor), 9) AS score FROM p")
+def linear_score(spark: SparkSession, d: str) -> DataFrame:
+    """The linear score and its policy."""
+    return ranking.scored(_features(spark, d), MODEL).select("doc_id", F.round("raw_score", 9).alias("raw_score"), F.round("factor", 9).alias("factor"), F.round("score", 9).alias("score"))
+
+
+@query(f"WITH f AS ({_FEATURE_SQL}) " + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS feature, round({e}, 9) AS contribution FROM f" for c, e in zip(_NAMES, _TERMS, strict=True)))
+def explain_long(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each contribution."""
+    s = ranking.scored(_features(spark, d), MODEL).select("doc_id", F.explode("contributions").alias("c"))
+    return s.select("doc_id", "c.feature", F.round("c.contribution", 9).alias("contribution"))
+
+
+@query(f"""
+WITH f AS ({_FEATURE_SQL}), s AS (SELECT doc_id, round(0.25 * least(1, kilo) + 0.30 * letters + 0.15 * role_compatibility + 0.15 * role_compatibility + 0.10 * experience_compatibility + 0.05 * letters, 9) AS baseline_score FROM f),
+r AS (SELECT s.doc_id, source, baseline_score, row_number() OVER (PARTITION BY source ORDER BY baseline_score DESC, s.doc_id) AS baseline_rank FROM s JOIN documents d ON d.doc_id = s.doc_id)
+SELECT doc_id, source, baseline_score, CAST(baseline_rank AS INTEGER) AS baseline_rank FROM r""")
+def baseline_score(spark: SparkSession, d: str) -> DataFrame:
+    """The declared baseline and its ranks."""
+    rows = _features(spark, d).join(t(spark, d, "documents").select("doc_id", "source"), "doc_id").select(
+        "doc_id", "source", F.least(F.lit(1.0), "kilo").alias("hybrid_score"), F.col("letters").alias("required_skill_coverage"), F.col("role_compatibility").alias("demonstrated_skill_coverage"),
+        "role_compatibility", "experience_compatibility", F.col("letters").alias("languages"), F.lit(None).cast("string").alias("minimum_status"), F.lit(1.0).alias("relevant_years"), F.lit(True).alias("supported"),
+    )
+    out = ranking.baseline(rows).withColumn("baseline_score", F.round("baseline_score", 9))
+    return ranking.baseline_ranks(out, "source", "doc_id").select("doc_id", "source", "baseline_score", "baseline_rank")
+
+
+@query()
+def fit_ranker(spark: SparkSession, d: str) -> DataFrame:
+    """Weights learned from the labels."""
+    rows = _features(spark, d).join(_judged(spark, d).select(F.col("item").alias("doc_id"), "query", F.col("label").alias("relevance")), "doc_id")
+    scale = {r.feature: r["scale"] for r in ranking.feature_stats(rows, _NAMES).collect()}
+    scaled = rows.select("query", "relevance", *[(F.col(c) / scale[c]).alias(c) for c in _NAMES])
+    model, _ = ranking.fit(ranking.preference_pairs(scaled, "query", _NAMES), _NAMES, [scale[c] for c in _NAMES])
+    return spark.createDataFrame([(f, float(w)) for f, w in zip(model.features, model.weights, strict=True)], "feature string, weight double")
+
+
+@query("""
+SELECT d.source, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source""")
+def label_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of each source, as columns."""
+    rows = t(spark, d, "documents").select("doc_id", "source").join(t(spark, d, "labels"), "doc_id")
+    named = F.explode(F.filter(F.array(F.when(F.col("quality") == 0, "bad").otherwise("good"), F.when(F.col("toxic") == 1, "toxic")), lambda x: x.isNotNull()))
+    return rows.select("source", named.alias("label")).groupBy("source").pivot("label", ["bad", "good", "toxic"]).count().na.fill(0)
+
+
+# ---- spans ---------------------------------------------------------------------------------------
+
+
+@query("""
+WITH g AS (SELECT doc_id, 0 AS a, 1 AS b, 'q' || quality AS label FROM labels),
+p AS (SELECT doc_id, 0 AS a, 1 AS b, 'q' || CASE WHEN n_chars > 600 THEN 1 ELSE 0 END AS label FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+m AS (SELECT coalesce(g.label, p.label) AS label, CASE WHEN g.label IS NOT NULL AND p.label IS NOT NULL THEN 1 ELSE 0 END AS tp, CASE WHEN g.label IS NULL THEN 1 ELSE 0 END AS fp, CASE WHEN p.label IS NULL THEN 1 ELSE 0 END AS fn
+      FROM g FULL JOIN p ON g.doc_id = p.doc_id AND g.label = p.label),
+s AS (SELECT coalesce(label, 'OVERALL') AS label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM m GROUP BY ROLLUP (label)),
+r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS re FROM s)
+SELECT label, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(pr, 9) AS "precision", round(re, 9) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 9) AS f1 FROM r""")
+def ner_prf(spark: SparkSession, d: str) -> DataFrame:
+    """Precision, recall and F1 of exact spans, by label and over all."""
+    labels = t(spark, d, "labels")
+    gold = labels.select("doc_id", F.lit(0).alias("start"), F.lit(1).alias("end"), F.concat(F.lit("q"), "quality").alias("label"))
+    own = t(spark, d, "documents").select("doc_id", F.lit(0).alias("start"), F.lit(1).alias("end"), F.concat(F.lit("q"), F.when(F.col("n_chars") > 600, 1).otherwise(0)).alias("label"))
+    return ner.evaluate(gold, own).select("label", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query()
+def ner_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans by rules, with offsets."""
+    return ner.span_rows(t(spark, d, "documents"), ner.annotate("text", WORDS))
+
+
+@query()
+def features_pair(spark: SparkSession, d: str) -> DataFrame:
+    """The fifteen signals of each benchmark text's ten best documents."""
+    top = bm25_topk(spark, d)
+    pairs = top.join(t(spark, d, "documents").select("doc_id", F.col("text").alias("cv")), "doc_id").join(t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("demand")), "query_id")
+    none = F.lit("")
+    rows = pairs.select("query_id", "doc_id", evidence.pair_signals(WORDS)("cv", none, none, "demand", none, none).alias("e"))
+    return ranking.with_signals(rows).drop("e")
+
+
+@query("""
+WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)
+SELECT source, doc_id FROM r WHERE n = 1""")
+def canonical_versions(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each query and group."""
+    docs = t(spark, d, "documents").select("source", "lang", "doc_id")
+    w = Window.partitionBy("source", "lang").orderBy("doc_id")
+    return docs.withColumn("n", F.row_number().over(w)).filter("n = 1").select("source", "doc_id")
