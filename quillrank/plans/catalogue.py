@@ -279,8 +279,8 @@ def pii_anonymise(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def statements_split(spark: SparkSession, d: str) -> DataFrame:
     """Statements of the professional text (F12, F13, F23). Its pattern looks behind, which SQL's cannot."""
-    s = tx.statements(tx.professional_text("text"))
-    return t(spark, d, "documents").select("doc_id", F.size(s).alias("n"), F.size(F.filter(s, tx.positive)).alias("positive"))
+    s = t(spark, d, "documents").select("doc_id", tx.professional_text("text").alias("p")).select("doc_id", tx.statements("p").alias("s"))
+    return s.select("doc_id", F.size("s").alias("n"), F.size(F.filter("s", tx.positive)).alias("positive"))
 
 
 @query(r"""
@@ -295,8 +295,10 @@ def text_scalars(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def professional_scalars(spark: SparkSession, d: str) -> DataFrame:
     """Roles, levels, degrees and years of texts."""
-    p, m = tx.professional_text("text"), tx.minimum_years("text")
-    return t(spark, d, "documents").select(
+    p = "professional"
+    rows = t(spark, d, "documents").select("doc_id", "text", tx.professional_text("text").alias(p), tx.minimum_years("text").alias("m"))
+    m = F.col("m")
+    return rows.select(
         "doc_id", tx.roles(p).alias("roles"), tx.seniority(p).alias("levels"), tx.degree(p).alias("degree"), tx.claimed_years(p).alias("claimed"), tx.required_years("text").alias("required"),
         m["years"].alias("minimum"), m["status"].alias("minimum_status"), tx.valid_resume("text").alias("valid"), F.size(tx.numbered_lines("text")).alias("n_lines"),
     )
