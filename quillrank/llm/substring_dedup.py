@@ -55,10 +55,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     apart = classes.join(many, F.col("anchor") == F.col("x"), "left_semi")
     extended = written(_extensions(apart, docs), "substring-extensions")
     first = extended.groupBy("anchor", "window").agg(F.min("least").alias("earliest"), F.max("least").alias("latest")).filter("earliest < latest")
+    first = written(first, "substring-windows")  # read back, as the next two are: a join of two exchanges can split a hot key
     early = extended.join(first.select(F.col("anchor").alias("x"), F.col("window").alias("y"), "earliest"), (F.col("anchor") == F.col("x")) & (F.col("window") == F.col("y")))
-    early = early.filter("earliest < least").groupBy("anchor", "digest").agg(F.sort_array(F.collect_set("i")).alias("early"))
+    early = written(early.filter("earliest < least").select("anchor", "digest", "i"), "substring-early").groupBy("anchor", "digest").agg(F.sort_array(F.collect_set("i")).alias("early"))
     marks = classes.join(early.withColumnsRenamed({"anchor": "x", "digest": "y"}), (F.col("anchor") == F.col("x")) & (F.col("digest") == F.col("y")), "left")
-    marks = marks.select(F.col("anchor").alias("x"), F.col("digest").alias("y"), "least", "early")
+    marks = written(marks.select(F.col("anchor").alias("x"), F.col("digest").alias("y"), "least", "early"), "substring-marks")
     out = found.join(marks, (F.col("anchor") == F.col("x")) & (F.col("digest") == F.col("y")))
     out = out.filter((F.col("doc_id") > F.col("least")) | F.col("early").isNotNull())
     # a later document has the whole run from the class's first; the first itself what an earlier class has

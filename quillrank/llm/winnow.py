@@ -98,6 +98,7 @@ def repeated_runs(docs: DataFrame, tokens: Tokens, window: int, gram: int, name:
     """The runs whose anchor has more than one, written to the shared folder; ``within``: or lies more than once in its only one."""
     found = written(run_table(docs, tokens, window, gram, within), f"{name}-runs")
     twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.max("twice").alias("twice")).filter("times > 1 or twice").select(F.col("anchor").alias("x"))
+    twice = written(twice, f"{name}-anchors")  # read back, so that both sides of the join are exchanges and a hot anchor can be split
     return written(found.join(twice, F.col("anchor") == F.col("x"), "left_semi"), f"{name}-repeated")
 
 
