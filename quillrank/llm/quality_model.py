@@ -26,7 +26,7 @@ LABELLERS = {
     "symbols": ("n_symbols > 0.2 * n_words", "n_symbols < 0.05 * n_words"),
     "capitals": ("n_upper > 0.4 * word_chars", "n_upper < 0.2 * word_chars"),
     "repeats": ("n_repeat_words > 0.2 * n_words", "n_repeat_words < 0.05 * n_words"),
-    "lines": ("n_dup_lines > 0.3 * n_lines", "n_dup_lines <= 0.1 * n_lines"),
+    "lines": ("n_dup_lines > 0.5 * n_lines", "n_dup_lines <= 0.1 * n_lines"),
     "function words": ("n_words >= 20 and n_common < 0.02 * n_words", "n_common > 0.08 * n_words"),
     "length": ("n_words < 2", "n_words >= 20"),
     "word length": ("n_words >= 20 and (word_chars > 12 * n_words or word_chars < 2 * n_words)", "word_chars between 3 * n_words and 9 * n_words"),
@@ -38,40 +38,66 @@ _RATIOS = (("n_symbols", "n_words"), ("n_upper", "word_chars"), ("n_repeat_words
 _EDGES = np.array([0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.6, 1.0, 2.0, 4.0, 6.0, 9.0, 12.0])
 
 
+#: Which kind of bad document a labeller speaks of: style, repetition or language.
+KINDS = {"symbols": 0, "capitals": 0, "marks": 0, "repeats": 1, "lines": 1, "function words": 2, "length": 2, "word length": 2}
+GOOD = 3
+MOST_WRONG = 0.01
+
+
 @dataclass(frozen=True)
 class LabelModel:
-    """votes[j, y, v]: how likely labeller j votes v (0 bad, 1 good, 2 nothing) where the truth is y."""
+    """votes[j, y, v]: how likely a vote of labeller j is v (0 bad, 1 good) on a document of class y: a kind of bad ones, or GOOD.
+
+    No vote (2) says nothing: its likelihood is 1 for every class.
+    """
 
     prior: np.ndarray
     votes: np.ndarray
 
+    def classes(self, patterns: np.ndarray) -> np.ndarray:
+        """The probability of each class for each row of votes."""
+        logs = np.log(self.prior) + sum(np.log(self.votes[j][:, patterns[:, j]]).T for j in range(patterns.shape[1]))
+        p = np.exp(logs - logs.max(axis=1, keepdims=True)) if len(logs) else np.zeros((0, GOOD + 1))
+        return p / p.sum(axis=1, keepdims=True)
+
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """The probability of good for each row of votes."""
-        logs = np.log(self.prior) + sum(np.log(self.votes[j][:, patterns[:, j]]).T for j in range(patterns.shape[1]))
-        return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
+        return self.classes(patterns)[:, GOOD]
 
     def accuracies(self) -> dict[str, float]:
-        """For each labeller, how often a vote of its is right."""
-        hit = self.votes[:, 0, 0] * self.prior[0] + self.votes[:, 1, 1] * self.prior[1]
-        said = (self.votes[:, :, :2].sum(axis=2) * self.prior).sum(axis=1)
-        return dict(zip(LABELLERS, (hit / said).tolist(), strict=True))
+        """For each labeller, how often a vote of its is right, over documents as they come."""
+        hit = (self.votes[:, :GOOD, 0] * self.prior[:GOOD]).sum(axis=1) + self.votes[:, GOOD, 1] * self.prior[GOOD]
+        return dict(zip(LABELLERS, hit.tolist(), strict=True))
 
 
-def estimate(patterns: np.ndarray, n: np.ndarray, rounds: int = 200) -> LabelModel:
-    """Expectation-maximisation over vote patterns and their counts, from a majority of bad votes' start.
+def estimate(patterns: np.ndarray, n: np.ndarray, rounds: int = 300) -> LabelModel:
+    """Expectation-maximisation over vote patterns and their counts.
 
-    Smoothed by one document of each vote, so no probability is zero.
+    Bad documents are of several kinds, and one kind may be seen by few labellers; as one class, the rarer kind would end
+    as a vote that good documents sometimes get. So each kind is a class, and a pattern begins in the kinds its bad votes
+    speak of, or as good where it has none. Labellers are made to accuse few good documents: no more than MOST_WRONG of them
+    in any step. One document is added to each count, so no probability is zero.
     """
-    bad, good = (patterns == 0).sum(axis=1), (patterns == 1).sum(axis=1)
-    p = np.where(bad > 0, 0.1, 0.9) if len(patterns) else np.zeros(0)
-    p = np.where(bad >= good, 0.02, p)
-    model = LabelModel(np.array([0.5, 0.5]), np.full((patterns.shape[1], 2, 3), 1 / 3))
+    width = patterns.shape[1]
+    kind = np.array([KINDS[k] for k in LABELLERS])
+    p = np.full((len(patterns), GOOD + 1), 0.01)
+    for y in range(GOOD):
+        p[:, y] += 0.97 * (patterns[:, kind == y] == 0).any(axis=1)
+    p[~(patterns == 0).any(axis=1), GOOD] += 0.97
+    p = p / p.sum(axis=1, keepdims=True)
     for _ in range(rounds):
-        weight = np.stack([n * (1 - p), n * p])
-        total = weight.sum(axis=1)
-        votes = np.stack([np.stack([[weight[y][patterns[:, j] == v].sum() + 1.0 for v in range(3)] for y in range(2)]) for j in range(patterns.shape[1])])
-        model = LabelModel((total + 1) / (total.sum() + 2), votes / votes.sum(axis=2, keepdims=True))
-        new = model.posterior(patterns)
+        weight = p * n[:, None]
+        votes = np.ones((width, GOOD + 1, 3))
+        for j in range(width):
+            for v in range(2):
+                votes[j, :, v] += weight[patterns[:, j] == v].sum(axis=0)
+        votes[:, :, :2] /= votes[:, :, :2].sum(axis=2, keepdims=True)
+        votes[:, GOOD, 0] = np.minimum(votes[:, GOOD, 0], MOST_WRONG)
+        votes[:, GOOD, 1] = 1 - votes[:, GOOD, 0]
+        votes[:, :, 2] = 1
+        total = weight.sum(axis=0) + 1
+        model = LabelModel(total / total.sum(), votes)
+        new = model.classes(patterns)
         if len(p) == 0 or np.abs(new - p).max() < 1e-9:
             break
         p = new
