@@ -25,7 +25,7 @@ from . import text as tx
 LABELLERS = {
     "symbols": ("n_symbols > 0.2 * n_words", "n_symbols < 0.05 * n_words"),
     "capitals": ("n_upper > 0.4 * word_chars", "n_upper < 0.2 * word_chars"),
-    "repeats": ("n_repeat_words > 0.2 * n_words", "n_repeat_words < 0.05 * n_words"),
+    "repeats": ("n_repeat_words > 0.5 * n_words", "n_repeat_words < 0.3 * n_words"),
     "lines": ("n_dup_lines > 0.5 * n_lines", "n_dup_lines <= 0.1 * n_lines"),
     "function words": ("n_words >= 20 and n_common < 0.02 * n_words", "n_common > 0.08 * n_words"),
     "length": ("n_words < 2", "n_words >= 20"),
