@@ -136,6 +136,20 @@ DENIED_AFTER = (
     r"(?:(?:i|we|he|she)\s+)?(?:(?:have|has|had|did|do)\s+not|haven't|hasn't|hadn't|didn't|don't|never)\s+(?:use[ds]?|work(?:ed)?|built|created|developed)\b|"
     r"^\s*[:—–-]?\s*(?:(?:опыт\w*|практик\w*)[^.!?;]{0,50})?\bнет\b"
 )
+# Direct denials of use, and what keeps a language level from being a claim.
+_NOT_USED_RU = r"не\s+(?:использовал\w*|использую|работал\w*|работаю|знаю|применял\w*|применяю)"
+_NOT_USED_EN = r"(?:(?:have|has|had|did|do)\s+not|haven't|hasn't|hadn't|didn't|don't)"
+NEGATIVE_BEFORE = (
+    rf"(?:{_NOT_USED_RU}|нет\s+опыта(?:\s+работы)?|\bno\s+(?:work\s+)?experience|\bnever\s+(?:used|worked|applied)|"
+    rf"\b{_NOT_USED_EN}\s+(?:use[ds]?|work(?:ed)?|apply|applied))\s*(?:(?:с|в|with|in|of)\s*)?(?:[,/&]|\b(?:and|or|и|или)\b|\s)*$"
+)
+NEGATIVE_AFTER = (
+    rf"^\s*[:—–-]?\s*(?:{_NOT_USED_RU}|нет\s+опыта|(?:опыт\w*|практик\w*)[^.!?;]{{0,50}}\bнет\b|\bno\s+experience|\bnever\s+(?:used|worked|applied)|"
+    r"(?:(?:is|was)\s+(?:a[n]?\s+)?(?:tool|technology|framework|language|database)\s+(?:(?:that|which)\s+)?)?(?:(?:i|we|he|she)\s+)?"
+    rf"(?:{_NOT_USED_EN}|never)\s+(?:use[ds]?|work(?:ed)?|apply|applied))"
+)
+LANGUAGE_WISH = r"\b(?:want|hope|plan|aim)\s+to\b|\btarget\b|\bgoal\b|\baspir\w*|\b(?:learning|studying)\b|хочу|планирую|намерен|изучаю|осваиваю|\bцель\b|целев\w*|желаем\w*"
+LANGUAGE_DENIAL = r"не\s+(?:владею|знаю|говорю|достиг\w*)|\b(?:cannot|can't|don't|do not)\s+(?:speak|know|use)\b|\b(?:no|without)\s+(?:knowledge|proficiency)\b"
 # Where a text falls into statements; lines that say nothing of a profession.
 STATEMENT_CUT = (
     r"\n+|(?<=[.!?;])\s+|,?\s+(?:но|однако|but|however)\s+|"

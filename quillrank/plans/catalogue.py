@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import evidence, pii
+from ..functions import baseline, evidence, headings, pii
 from ..functions import skills as sk
 from ..functions import text as tx
-from ..operators import dedupe, grouping, metrics, ner, quality, ranking, retrieval, validation, workspace
+from ..operators import assistant, dedupe, grouping, metrics, ner, quality, ranking, retrieval, validation, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -23,6 +23,8 @@ _SQL: dict[str, str] = {}
 
 #: A lexicon of words that the test documents have.
 WORDS = {w: [] for w in "the and that was for with this are from than que des".split()}
+#: A lexicon of rarer words, as skills are, for what looks at every mention in context.
+RARE = {w: [] for w in "from than par".split()}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -682,10 +684,35 @@ def features_pair(spark: SparkSession, d: str) -> DataFrame:
     top = bm25_topk(spark, d)
     pairs = top.join(t(spark, d, "documents").select("doc_id", F.col("text").alias("cv")), "doc_id").join(t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("demand")), "query_id")
     none = F.lit("")
-    rows = pairs.select("query_id", "doc_id", evidence.pair_signals(WORDS)("cv", none, none, "demand", none, none).alias("e"))
+    rows = pairs.select("query_id", "doc_id", evidence.pair_signals(RARE)("cv", none, none, "demand", none, none).alias("e"))
     return ranking.with_signals(rows).drop("e")
 
 
+@query()
+def baseline_pair(spark: SparkSession, d: str) -> DataFrame:
+    """The declared baseline of each benchmark text's ten best documents, read from texts."""
+    top = bm25_topk(spark, d).withColumn("hybrid", 1 / (1 + F.col("rank").cast("double")))
+    pairs = top.join(t(spark, d, "documents").select("doc_id", F.col("text").alias("cv")), "doc_id").join(t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("demand")), "query_id")
+    none = F.lit("")
+    rows = pairs.select("query_id", "doc_id", "rank", baseline.pair_baseline(RARE)("cv", none, none, "demand", none, none, "hybrid").alias("b"))
+    return ranking.baseline_ranks(rows.select("query_id", "doc_id", "rank", F.col("b.total").alias("baseline_score"), "b.statuses"), "query_id", "rank")
+
+
+@query()
+def heading_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Spaced headings made readable."""
+    return t(spark, d, "documents").select("doc_id", headings.repair(tx.cleaned("text")).alias("text"))
+
+
+@query()
+def vacancy_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Each benchmark text as a question about the five documents that fit it best."""
+    rows = bm25_distinct_source_top5(spark, d).join(t(spark, d, "documents").select("doc_id", "text", F.col("source").alias("company")), "doc_id")
+    rows = rows.join(t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    blank = [F.lit("").alias(c) for c in ("title", "requirements", "responsibilities", "salary", "city", "experience")]
+    return assistant.answers(rows.select("query_id", "doc_id", "question", "text", "company", *blank), WORDS).select("query_id", "doc_id", "topic", "value", "quotes")
+
+
 @query("""
 WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)
 SELECT source, doc_id FROM r WHERE n = 1""")

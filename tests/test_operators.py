@@ -233,3 +233,75 @@ def test_validation(spark):
     m = validation.manifest(v)
     assert validation.manifest_differences(m, validation.manifest(v.repartition(3))) == []
     assert "identity_hash" in validation.manifest_differences(m, validation.manifest(v.withColumn("text_sha256", F.lit("g"))))
+
+
+def test_declared_baseline_from_texts(spark):
+    from quillrank.functions import baseline as bl
+
+    cv = "Backend Developer.\nОпыт backend-разработки 3 года.\nРазработал REST API на Python и Django.\nОптимизировал запросы PostgreSQL и разворачивал backend-сервисы с Docker.\nEnglish B1."
+    good = ("Python Backend Developer", "Опыт backend-разработки от 2 лет", "Требуются Python, Django и PostgreSQL. English B1.", "", "")
+    df = spark.createDataFrame([(cv, *good, 0.612), (cv, *good, 1.5), ("", *good, 0.5)], "cv string, a string, b string, c string, d string, e string, h double")
+    got = [r.x for r in df.select(bl.pair_baseline()("cv", "a", "b", "c", "d", "e", "h").alias("x")).collect()]
+    assert got[0].total == pytest.approx(0.903) and got[0].statuses == ["provided", *["match"] * 5] and got[1].total is None and got[2].total is None
+    sk = ev.Skills(lx.SKILLS)
+    assert bl.denies(sk, "не использовал docker", "docker") and not bl.denies(sk, "used python, but not docker", "python")
+    vacancy = dict(zip(("title", "experience", "requirements", "responsibilities", "text"), good, strict=True))
+    r = bl.assess(sk, cv + "\nНе использовал Django.", vacancy, 0.5)
+    assert r["conflicts"] == ["django"] and r["excluded"] and r["total"] < 0.9
+
+
+def test_configurations(spark):
+    from quillrank.operators import selection
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for c in range(9):
+        for v in range(5):
+            a, b = rng.random(2)
+            rows.append((f"c{c}", f"v{v}", f"g{c}", int(3 * a), float(a), float(b), 1.0, 0.0))
+    df = spark.createDataFrame(rows, "cv_id string, vacancy_id string, candidate_group_id string, relevance int, a double, b double, role_compatibility double, experience_compatibility double")
+    got = selection.select_configuration(df, ["a", "b"], l2=(0.1, 1.0), hr=(0.5,), gaps=(False,))
+    best = ranking.pick(got).first()
+    assert got.count() == 2 and 0.5 < best.ndcg <= 1 and best.pairwise > 0.6
+    model, _ = selection.train(df, ["a", "b"], 0.1, 0.5)
+    assert model.weights[0] > model.weights[1]
+    cases = ranking.scored(df, model).select(F.col("cv_id").alias("case"), F.col("vacancy_id").alias("id"), "relevance", "score")
+    pairs = spark.createDataFrame([("c0", "v0", "v1")], "case string, higher string, lower string")
+    r = selection.hr_benchmark(cases, pairs).first()
+    assert r.strict + r.ties + r.wrong == 1 and r.queries == 9
+
+
+def test_headings():
+    from quillrank.functions.headings import repaired
+
+    golden = {
+        "S K I L L S": "SKILLS", "P R O F I L E S U M M A R Y": "PROFILE SUMMARY", "C E R T I F I C A T E S & L A N G U A G E S": "CERTIFICATES & LANGUAGES",
+        "B a c h e l o r of S c i e n c e": "Bachelor of Science", "Python, Java, C#": "Python, Java, C#", "M U R A T B E K K A R A K O Z": "M U R A T B E K K A R A K O Z", "": "",
+        "Ж О Б А Л А Р": "ЖОБАЛАР", "C Y B E R S E C U R I T Y S T U D E N T I N T E R N": "CYBERSECURITY STUDENT INTERN",
+    }
+    assert {k: repaired(k) for k in golden} == golden
+
+
+def test_two_columns_are_read_one_after_the_other(spark):
+    from quillrank.operators import layout
+
+    boxes = [("d", 1, 600.0, 40.0, 20.0, 560.0, 40.0, "Name")]
+    for i in range(6):
+        boxes += [("d", 1, 600.0, 40.0, 60.0 + 20 * i, 260.0, 74.0 + 20 * i, f"left {i}"), ("d", 1, 600.0, 320.0, 60.0 + 20 * i, 560.0, 74.0 + 20 * i, f"right {i}")]
+    boxes += [("d", 2, 600.0, 40.0, 20.0 + 20 * i, 560.0, 34.0 + 20 * i, f"line {i}") for i in range(3)]
+    df = spark.createDataFrame(boxes, "document_id string, page int, width double, x0 double, y0 double, x1 double, y1 double, text string")
+    got = {r.page: r for r in layout.pages(df).collect()}
+    assert got[1].columns == 2 and got[1].text.split("\n") == ["Name", "", *[f"left {i}" for i in range(6)], "", *[f"right {i}" for i in range(6)]]
+    assert got[2].columns == 1 and got[2].text == "line 0\nline 1\nline 2"
+
+
+def test_answers_quote_the_vacancy(spark):
+    from quillrank.operators import assistant
+
+    fields = ("Dev", "Требуется Python. English B2.", "Работа в офисе, график 5/2", "", None, "Алматы", "3 года", "Acme")
+    asked = ["Какая зарплата?", "Где работа?", "Есть удалёнка?", "Какой уровень языка?", "Нужен ли Docker?", "Что за офисе требуется?", "zzzz"]
+    df = spark.createDataFrame([(q, *fields) for q in asked], "question string, title string, requirements string, responsibilities string, text string, salary string, city string, experience string, company string")
+    got = {r.question: r for r in assistant.answers(df).collect()}
+    assert (got[asked[0]].topic, got[asked[0]].value) == ("salary", None) and (got[asked[1]].topic, got[asked[1]].value) == ("location", "Алматы")
+    assert got[asked[2]].topic == "employment" and got[asked[2]].quotes == ["Работа в офисе, график 5/2"]
+    assert got[asked[3]].topic == "languages" and got[asked[3]].quotes == ["English B2."] and got[asked[4]].topic == "requirements" and got[asked[6]].topic == "unknown"
