@@ -218,5 +218,6 @@ def fit(docs: DataFrame, most: int = MAX_FIT_ROWS) -> QualityModel:
 
     rows = sample.mapInArrow(run, ", ".join(f"{c} bigint" for c in st.COUNTS) + ", x binary").select(*vote_columns(), "x").orderBy(F.xxhash64("x")).limit(2 * most).toArrow()
     votes = np.stack([rows[f"v{j}"].to_numpy() for j in range(len(LABELLERS))], axis=1).astype(np.int64) if rows.num_rows else np.zeros((0, len(LABELLERS)), np.int64)
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), dtype=np.float16).reshape(-1, DIM).astype(np.float32)
+    packed = rows["x"].combine_chunks()
+    x = np.frombuffer(packed.buffers()[2], dtype=np.float16)[: rows.num_rows * DIM].reshape(-1, DIM).astype(np.float32) if rows.num_rows else np.zeros((0, DIM), np.float32)
     return QualityModel(labels, train(x, labels.posterior(votes)))
