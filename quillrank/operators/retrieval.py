@@ -108,22 +108,26 @@ def hybrid(skill: Column, semantic: Column, alpha: float = lx.ALPHA) -> Column:
     return alpha * skill + (1 - alpha) * semantic
 
 
-def vector_scores(queries: DataFrame, candidates: DataFrame, most_queries: int = 1000) -> DataFrame:
-    """query_id, vec_id, semantic of every query against every candidate but itself.
-
-    Queries are a stated set; they are broadcast in blocks of at most ``most_queries`` vectors, whatever
-    their number, so no plan broadcasts more than a block.
-    """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    blocks = max(1, -(-q.count() // most_queries))
+def against_all(rows: DataFrame, queries: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """Every row with every query (J1). Queries are a stated set; their number is counted first, and they are broadcast in
+    blocks of about ``most`` rows, dealt by a hash of ``key``, so that no broadcast grows with the data."""
+    n = queries.count()
+    blocks = 1 if n <= most else -(-2 * n // most)
     out = None
     for i in range(blocks):
-        own = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scored = candidates.join(F.broadcast(own), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("semantic"))
-        out = scored if out is None else out.unionByName(scored)
+        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == i)
+        met = rows.crossJoin(F.broadcast(own))
+        out = met if out is None else out.unionByName(met)
     return out
 
 
+def vector_scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """query_id, vec_id, semantic of every query against every candidate but itself."""
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    met = against_all(candidates, q, "query_id").filter(F.col("vec_id") != F.col("query_id"))
+    return met.select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("semantic"))
+
+
 def hybrid_match(resume: DataFrame, vacancies: DataFrame, k: int = 10, alpha: float = lx.ALPHA) -> DataFrame:
     """The k best vacancies of each resume (R1): resume_id, skills, embedding against vacancy_id, skills, embedding.
 
@@ -132,7 +136,7 @@ def hybrid_match(resume: DataFrame, vacancies: DataFrame, k: int = 10, alpha: fl
     if k < 1:
         raise ValueError("k is positive")
     r = resume.select("resume_id", F.col("skills").alias("own"), F.col("embedding").alias("q"))
-    pair = vacancies.crossJoin(F.broadcast(r))
+    pair = against_all(vacancies, r, "resume_id")
     pair = pair.withColumn("semantic_score", cosine(F.col("q"), F.col("embedding"))).withColumn("skill_score", sk.skill_score("own", "skills"))
     pair = pair.withColumn("hybrid_score", hybrid(F.col("skill_score"), F.col("semantic_score"), alpha)).withColumn("d", sk.details("own", "skills"))
     top = ranked(pair, ["resume_id"], "hybrid_score", ["vacancy_id"], k)

@@ -235,9 +235,9 @@ def skill_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Brands a customer has against brands a type of part needs."""
     lines = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(t(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     own = lines.join(t(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("custkey")).agg(F.collect_set("p_brand").alias("have"))
-    need = t(spark, d, "part").filter("p_size <= 3").groupBy("p_type").agg(F.collect_set("p_brand").alias("need"))  # as many rows as there are types
+    need = t(spark, d, "part").filter("p_size <= 3").groupBy("p_type").agg(F.collect_set("p_brand").alias("need"))
     m = sk.details("have", "need")["matched"]
-    return own.crossJoin(F.broadcast(need)).select("custkey", "p_type", F.size(m).cast("long").alias("matched"), F.round(sk.skill_score("have", "need"), 9).alias("skill_score"), F.round(sk.jaccard("have", "need"), 9).alias("jaccard"))
+    return retrieval.against_all(own, need, "p_type").select("custkey", "p_type", F.size(m).cast("long").alias("matched"), F.round(sk.skill_score("have", "need"), 9).alias("skill_score"), F.round(sk.jaccard("have", "need"), 9).alias("jaccard"))
 
 
 _STOP = "['the','and','of','to','in','for','with','on','at','from','by','as','is','are','be','this','that','a','an','or']"
