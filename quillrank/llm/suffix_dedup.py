@@ -158,15 +158,15 @@ def _segments(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, _SEGMENTS)
 
 
-_OUT = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("i", pa.int32()), ("n", pa.int32()), ("window", pa.int64()), ("copies", pa.int64())])
-_OUT_DDL = "anchor bigint, digest bigint, i int, n int, window bigint, copies bigint"
+_OUT = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("i", pa.int32()), ("n", pa.int32()), ("window", pa.int64()), ("copies", pa.int64()), ("m", pa.int64())])
+_OUT_DDL = "anchor bigint, digest bigint, i int, n int, window bigint, copies bigint, m bigint"
 
 
 def _by_shard(table: pa.Table) -> pa.Table:
     """The repeated windows of a shard as runs (window null). Of a spread anchor, too, a row for each
     different window, with its hash and copies, to be looked up in the other shards."""
     anchor, digest, copies = (table[c].to_numpy() for c in ("anchor", "digest", "copies"))
-    spread = table["spread"].to_numpy(zero_copy_only=False)
+    shards = table["m"].fill_null(0).to_numpy()  # how many shards the anchor is spread over; 0: this one alone
     parts = table["segment"].to_pylist()
     buf = np.frombuffer(b"".join(x for part in parts for x in (part, bytes([END]))), np.uint8)
     sizes = np.array([len(x) for x in parts], dtype=np.int64)
@@ -176,16 +176,16 @@ def _by_shard(table: pa.Table) -> pa.Table:
     on = np.sort(at[total[group] > 1])
     owner = np.searchsorted(end, on, side="right")
     seg, i, n = _as_runs(owner, on - begin[owner])
-    out = [pa.table([pa.array(anchor[seg]), pa.array(digest[seg]), pa.array(i.astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(seg), pa.int64()), pa.nulls(len(seg), pa.int64())], schema=_OUT)]
-    if spread.any() and len(at):
+    out = [pa.table([pa.array(anchor[seg]), pa.array(digest[seg]), pa.array(i.astype(np.int32)), pa.array(n.astype(np.int32)), *[pa.nulls(len(seg), pa.int64())] * 3], schema=_OUT)]
+    if shards.any() and len(at):
         first = np.ones(len(at), dtype=bool)
         first[1:] = group[1:] != group[:-1]
         one = at[first]
         own = np.searchsorted(end, one, side="right")
-        hot = spread[own]
+        hot = shards[own] > 0
         one, own, many = one[hot], own[hot], total[hot]
         hashes = tx.rolled(tx.BYTE[buf], WINDOW)[one].view(np.int64)
-        out.append(pa.table([pa.array(anchor[own]), pa.array(digest[own]), pa.array((one - begin[own]).astype(np.int32)), pa.array(np.ones(len(one), np.int32)), pa.array(hashes), pa.array(many)], schema=_OUT))
+        out.append(pa.table([pa.array(anchor[own]), pa.array(digest[own]), pa.array((one - begin[own]).astype(np.int32)), pa.array(np.ones(len(one), np.int32)), pa.array(hashes), pa.array(many), pa.array(shards[own])], schema=_OUT))
     return pa.concat_tables(out)
 
 
@@ -218,15 +218,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # a spread anchor's shards are its own; the others share theirs by hash
     shard = F.when(spread, F.xxhash64("anchor")).otherwise(F.pmod(F.xxhash64("anchor", F.lit(1)), F.lit(n_shards)))
     sub = F.when(spread, F.pmod(F.col("digest"), F.col("m")) + 1).otherwise(F.lit(0))
-    rows = rows.select("anchor", "digest", "copies", "segment", spread.alias("spread"), shard.alias("shard"), sub.cast("long").alias("sub"))
+    rows = rows.select("anchor", "digest", "copies", "segment", F.col("m").cast("long").alias("m"), shard.alias("shard"), sub.cast("long").alias("sub"))
 
     def sharded(key: tuple, table: pa.Table) -> pa.Table:
         out = _by_shard(table)
         return out.append_column("sub", pa.array([key[1].as_py()] * out.num_rows, pa.int64()))
 
     groups = written(rows.groupBy("shard", "sub").applyInArrow(sharded, _OUT_DDL + ", sub bigint"), "suffix-shards")
-    ranges = groups.filter("window is not null").join(hot, F.col("anchor") == F.col("x"))
-    ranges = ranges.select("anchor", "digest", "i", "n", "window", "copies", "sub", F.pmod(F.shiftright("window", 32), 8 * F.col("m")).alias("part"))
+    ranges = groups.filter("window is not null").select("anchor", "digest", "i", "n", "window", "copies", "sub", F.pmod(F.shiftright("window", 32), 8 * F.col("m")).alias("part"))
     crossed = ranges.groupBy("anchor", "part").applyInArrow(_across, "anchor bigint, digest bigint, i int, n int")
     marks = groups.filter("window is null").select("anchor", "digest", "i", "n").unionByName(crossed)
     marks = marks.select(F.col("anchor").alias("x"), F.col("digest").alias("y"), "i", F.col("n").alias("k"))
