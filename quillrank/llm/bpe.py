@@ -25,6 +25,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .storage import bounded_batches
+
 LONG = 4096
 LEAF = 2048
 WINDOW = 8
@@ -158,7 +160,7 @@ def _mapped(docs: DataFrame, path: str, row: Callable[[Tokenizer, np.ndarray], t
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *(f[0] for f in fields)])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(f[0], f[1]) for f in fields)])
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, schema)
+    return bounded_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -180,7 +182,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), lists, pa.array(back)], ["doc_id", "n_tokens", "ids", "round_trip"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean")
+    return bounded_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

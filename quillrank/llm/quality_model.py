@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from . import stats as st
 from . import text as tx
+from .storage import bounded_batches
 
 #: name: (bad if, good if) over the counts; neither: no vote.
 LABELLERS = {
@@ -194,7 +195,7 @@ class QualityModel:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(scores), pa.array(kept)], [batch.schema.names[0], "n_words", "score", "kept"])
 
         schema = T.StructType([rows.schema[0], T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
-        return rows.mapInArrow(run, schema)
+        return bounded_batches(rows).mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, most: int = MAX_FIT_ROWS) -> QualityModel:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .storage import written
+from .storage import bounded_batches, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 TILE = 1024
@@ -73,7 +73,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return bounded_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import text as tx
+from .storage import bounded_batches
 
 WINDOW = 5
 #: Frequent function words of the four languages, told apart from content by any reader.
@@ -95,4 +96,4 @@ def text_stats(docs: DataFrame) -> DataFrame:
                 cols = [pa.array(np.concatenate([p[c] for p in parts]).astype(np.int64)) for c in COUNTS]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], schema=SCHEMA)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, DDL)
+    return bounded_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, DDL)

@@ -17,6 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+BATCH_ROWS, BATCH_BYTES = 2000, "16m"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches kept to BATCH_ROWS rows and BATCH_BYTES: texts can be long, and a batch is held whole on both sides."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .storage import written
+from .storage import bounded_batches, written
 
 RUNS = "rid bigint, doc_id bigint, anchor bigint, digest bigint, p int, n int, twice boolean"
 _SCHEMA = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("anchor", pa.int64()), ("digest", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("twice", pa.bool_())])
@@ -42,7 +42,7 @@ def byte_tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def keyed(docs: DataFrame, *others: str) -> DataFrame:
     """``rid, doc_id, text`` and other columns: rid tells rows of one id and different texts apart; null texts are empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.xxhash64("doc_id", text).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *others)
+    return bounded_batches(docs).select(F.xxhash64("doc_id", text).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *others)
 
 
 def same_row(other_rid: str, other_id: str) -> Column:
