@@ -82,22 +82,27 @@ def common_prefixes(buf: np.ndarray, sa: np.ndarray, most: int, limit: np.ndarra
 
     Kasai's rule: the prefix of the next position of the text is shorter by one at most. Lanes of
     LANE consecutive positions go side by side, each carrying its own length from position to position.
+    Suffixes that ``sa`` left tied may lie the other way round one byte on; there the length is counted anew.
     ``limit``: bytes from each position to its segment's end, which no prefix passes.
     """
     n = len(buf)
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
+    place = np.empty(n, dtype=np.int64)
+    place[sa] = np.arange(n)
     key = packed(buf)
     prefix = np.zeros(n, dtype=np.int64)
     lanes = np.arange(0, n, LANE)
     h = np.zeros(len(lanes), dtype=np.int64)
+    last = np.full(len(lanes), -1, dtype=np.int64)
     for t in range(min(LANE, n)):
         if lanes[-1] + t >= n:
-            lanes, h = lanes[:-1], h[:-1]
+            lanes, h, last = lanes[:-1], h[:-1], last[:-1]
         i = lanes + t
         j = before[i]
         top = np.minimum(np.minimum(limit[i], limit[np.maximum(j, 0)]), most)
         top[j < 0] = 0
+        h[place[np.minimum(last + 1, n - 1)] > place[i]] = 0
         h = np.minimum(np.maximum(h - 1, 0), top)
         live = np.flatnonzero(h < top)
         while len(live):
@@ -109,6 +114,7 @@ def common_prefixes(buf: np.ndarray, sa: np.ndarray, most: int, limit: np.ndarra
             h[live] = np.minimum(h[live] + gain, top[live])
             live = live[(gain == 8) & (h[live] < top[live])]
         prefix[i] = h
+        last = j
     return prefix[sa]
 
 

@@ -113,3 +113,22 @@ def test_equal_windows_have_equal_anchors():
         start = len(h) - 120
         seen.append([at[start + k] for k in range(41)])
     assert all(s == seen[0] for s in seen)
+
+
+def test_prefixes_where_suffixes_stay_tied():
+    rng = np.random.default_rng(2)
+    wrong = 0
+    for _ in range(40):
+        # near copies that share over 512 bytes and then differ, among windows that agree with them by chance
+        common = rng.integers(97, 99, 700).astype(np.uint8)
+        parts = [np.concatenate([common[int(rng.integers(0, 60)) :], rng.integers(97, 99, 500).astype(np.uint8)]) for _ in range(6)]
+        end = np.cumsum([len(x) + 1 for x in parts]) - 1
+        begin = end - [len(x) for x in parts]
+        buf = np.concatenate([y for x in parts for y in (x, np.array([suffix_dedup.END], np.uint8))])
+        at, group, _ = suffix_dedup.shard_groups(buf, begin, end, np.ones(len(parts), np.int64))
+        windows: dict[int, set] = {}
+        for p, g in zip(at.tolist(), group.tolist(), strict=True):
+            windows.setdefault(g, set()).add(bytes(buf[p : p + suffix_dedup.WINDOW]))
+        wrong += any(len(w) > 1 for w in windows.values())
+        assert len(windows) == len(set().union(*windows.values()))
+    assert not wrong
