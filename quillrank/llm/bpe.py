@@ -74,13 +74,15 @@ class Tokenizer:
     def _ordinary(self, text: str, pool: ThreadPoolExecutor | None) -> np.ndarray:
         if len(text) <= LONG or not _LONG_RUN.search(text):
             return self.core.encode_to_numpy(text)
-        out, at = [], 0
+        out, at, last = [], 0, 0
         for m in self.word.finditer(text):
             if m.end() - m.start() > LONG:
-                if at < m.start():
-                    out.append(self.core.encode_to_numpy(text[at : m.start()]))
+                # the pattern looks ahead from white space: the piece before a long one stands alone, as it was split in sight of it
+                out += [self.core.encode_to_numpy(text[a:b]) for a, b in ((at, last), (last, m.start())) if a < b]
                 out.append(self.encode_piece(m[0].encode(), pool))
-                at = m.end()
+                at = last = m.end()
+            else:
+                last = m.start()
         if at < len(text):
             out.append(self.core.encode_to_numpy(text[at:]))
         return np.concatenate(out)

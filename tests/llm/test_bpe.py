@@ -57,3 +57,11 @@ def test_rows(make_docs, odd_texts, both):
     back = sorted(map(str, map(tuple, bpe.decode_documents(encoded, PATH).collect())))
     assert back == sorted(str((i, t or "")) for i, t in rows)
     assert bpe.digests(make_docs([]), PATH).count() == 0
+
+
+@pytest.mark.parametrize("gap", ["\n\n", " \n\n", "\t\t\t", "\n \n", "\n\n ", " "])
+def test_white_space_before_a_long_piece(both, gap):
+    own, ref = both
+    for long in ("a" * 5000, "=" * 5000, "7" * 5000):
+        for t in ("foo" + gap + long + gap + "bar", gap + long + gap + long + gap):
+            assert own.encode(t).tolist() == ref.encode(t, add_special_tokens=False).ids
