@@ -43,7 +43,8 @@ def threshold_topk(x: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | Non
     n, d = x.shape
     order = np.argsort(x, axis=0, kind="stable")
     lists = np.take_along_axis(x, order, axis=0)
-    live = np.arange(len(q))
+    some = q.any(axis=1)
+    live = np.flatnonzero(some)  # a query of zeros has no list to walk; all of x ties
     kth = np.full(len(q), -np.inf) if floor is None else floor.astype(float)
     seen = np.zeros((len(q), n), dtype=bool)
     found: list[list[np.ndarray]] = [[] for _ in range(len(q))]
@@ -62,19 +63,19 @@ def threshold_topk(x: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | Non
         seen[live] |= meets
         rows, cols = np.nonzero(meets)
         if len(rows):
-            some = np.unique(cols)
-            scores = own @ xf[some].T
-            value = np.where(meets[:, some], scores, -np.inf)
+            met = np.unique(cols)
+            scores = own @ xf[met].T
+            value = np.where(meets[:, met], scores, -np.inf)
             top = np.concatenate([best[live], value], axis=1)
             best[live] = -np.partition(-top, k - 1, axis=1)[:, :k]
             kth[live] = np.maximum(kth[live], best[live].min(axis=1))
             good = value >= kth[live][:, None]
             for r in np.flatnonzero(good.any(axis=1)).tolist():
-                found[live[r]].append(some[good[r]])
+                found[live[r]].append(met[good[r]])
         bound = np.where(own > 0, own * lists[n - to], own * lists[to - 1]).sum(axis=1)
         live = live[bound >= kth[live]]
         depth, to = to, min(n, 2 * to)
-    return [np.concatenate(f) if f else np.zeros(0, np.int64) for f in found]
+    return [np.concatenate(f) if f else np.zeros(0, np.int64) if s else np.arange(n) for f, s in zip(found, some.tolist(), strict=True)]
 
 
 def _packed(vectors: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:

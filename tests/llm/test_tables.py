@@ -131,3 +131,10 @@ def test_the_walk_stops_early():
     x[17] = [200, 200, 200]
     found = topk.threshold_topk(x, np.array([[5, 4, 3]]), 1)[0]
     assert 17 in found and len(found) < 400
+
+
+def test_a_query_of_zeros_meets_all(spark):
+    rows = [(i, [0.0, 0.001] if i in (7, 40) else [i / 16, -i / 16]) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = topk.topk(df.select("vec_id", topk.quantised().alias("v")), F.col("vec_id") == 7).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(n + 1, i, 0) for n, i in enumerate((1, 2, 3, 4, 5))]
