@@ -61,7 +61,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     marks = classes.join(early.withColumnsRenamed({"anchor": "x", "digest": "y"}), (F.col("anchor") == F.col("x")) & (F.col("digest") == F.col("y")), "left")
     marks = written(marks.select(F.col("anchor").alias("x"), F.col("digest").alias("y"), "least", "early"), "substring-marks")
     out = found.join(marks, (F.col("anchor") == F.col("x")) & (F.col("digest") == F.col("y")))
-    out = out.filter((F.col("doc_id") > F.col("least")) | F.col("early").isNotNull())
+    out = out.filter(F.col("doc_id").isNotNull() & ((F.col("doc_id") > F.col("least")) | F.col("early").isNotNull()))
     # a later document has the whole run from the class's first; the first itself what an earlier class has
     whole = F.array(F.struct(F.col("p"), F.col("n")))
     some = F.transform("early", lambda i: F.struct((F.col("p") + i).alias("p"), F.lit(1).alias("n")))

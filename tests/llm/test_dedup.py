@@ -132,3 +132,10 @@ def test_prefixes_where_suffixes_stay_tied():
         wrong += any(len(w) > 1 for w in windows.values())
         assert len(windows) == len(set().union(*windows.values()))
     assert not wrong
+
+
+def test_substring_dedup_takes_nothing_from_a_row_without_id(make_docs):
+    a, b = (" ".join(f"{x}{i}" for i in range(90)) for x in "ab")
+    rows = [(1, a[:-4] + " tail"), (5, a + " " + b), (None, a + " " + b), (9, b)]
+    got = substring_dedup.dedup(make_docs(rows), digest=True).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_words(rows)
