@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import bpe, mixing, quality_model, simhash, suffix_dedup
+from quillrank.llm import bpe, mixing, near_copies, quality_model, suffix_dedup
 from quillrank.llm.queries import table, vocabulary
 from quillrank.llm.storage import written
 
@@ -21,8 +21,8 @@ def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least id. Rows repeated under that id all stay; so do groups without any id."""
-    kept = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    """Of each group of near copies (five-word shingles, Jaccard 0.8) the document of the least id. Rows repeated under that id all stay; so do groups without any id."""
+    kept = near_copies.near_copies(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
