@@ -1,21 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on toxic text. A text is cut
-at words into windows of about ``WINDOW`` bytes, and each is compressed with either dictionary: what
-the toxic one saves is the window's gain. The toxic dictionary holds the ordinary one's content
-too, so what both kinds of text share cancels, and then the passages that toxic texts prefer. A
-window that has no string of GRAM bytes of these has nothing to gain; it is not compressed. Thresholds on
-gains, and the weights of the few numbers that sum a text up, are calibrated on labelled texts that
-neither dictionary has seen.
+Texts are cut at words into windows of about ``WINDOW`` bytes, and every window is compressed with two zstandard
+dictionaries. One is trained on ordinary text. The other begins with the same content, so what both kinds of
+text share cancels, and ends with strings from toxic texts. What the toxic one saves is the window's gain.
+Thresholds on gains, and the weights of the few numbers that sum a text up, are calibrated on labelled texts
+that neither dictionary has seen.
+
+The toxic part is not what the library's trainer makes of whole toxic windows: where toxic texts are mostly made of the
+words that all texts have, such a pair tells them apart hardly better than chance (README). It is the strings that
+toxic texts prefer by a likelihood-ratio test against ordinary ones, as many as DICT_BYTES hold.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,11 @@ MAX_FIT_ROWS = 10_000
 WINDOW = 64
 LEVEL = 5
 DICT_BYTES = 8 << 10
-DICT_TEXTS = 1_500
-TERMS = 64
-LEAST_SHARE = 0.005
-GRAM = 6
-LEAST_TEXTS, LEAST_RATIO, LEAST_Z, LEAST_SURPRISE = 4, 3.0, 4.25, 5.0
+DICT_WINDOWS = 20_000
+GRAM, LEAST_MATCH = 6, 5
+THRESHOLDS = (1.0, 2.0, 3.0, 4.0)
+LEAST_TEXTS, LEAST_RATIO = 4, 8.0
+COPY_WORDS, COPY_PART, COPY_SHARE = 8, 8, 0.5
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -45,7 +46,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where windows begin: at each text, and at the first word at or after every WINDOW bytes of it; the end comes last."""
+    """Where windows begin: at each text, and before the first word at or after every WINDOW bytes of it; the end comes last."""
     starts, _, first = tx.words(buf, offsets)
     if not len(starts):
         return np.unique(offsets)
@@ -53,63 +54,70 @@ def _cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cell = (starts - offsets[doc]) // WINDOW
     new = np.ones(len(starts), dtype=bool)
     new[1:] = (cell[1:] != cell[:-1]) | (doc[1:] != doc[:-1])
-    return np.unique(np.concatenate([starts[new], offsets]))
+    return np.unique(np.concatenate([np.maximum(starts[new] - 1, offsets[doc[new]]), offsets]))
 
 
-class _Sizes:
+class Sizes:
     """Compressed sizes of many spans with one dictionary."""
 
     def __init__(self, content: bytes) -> None:
-        params = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, window_log=15, hash_log=15, chain_log=15, search_log=6, write_content_size=False, write_dict_id=False, write_checksum=False)
+        params = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, window_log=15, hash_log=15, chain_log=15, search_log=6, min_match=LEAST_MATCH, write_content_size=False, write_dict_id=False, write_checksum=False)
         made = zstd.ZstdCompressionDict(content or b"\0" * 16, dict_type=zstd.DICT_TYPE_AUTO)
         made.precompute_compress(compression_params=params)
         self.z = zstd.ZstdCompressor(dict_data=made, compression_params=params)
 
-    def of(self, data: bytes, spans: np.ndarray) -> np.ndarray:
-        compress = self.z.compress
-        view = memoryview(data)
-        return np.fromiter((len(compress(view[a:b])) for a, b in spans.tolist()), dtype=np.int64, count=len(spans))
+    def of(self, data: bytes, cuts: np.ndarray) -> np.ndarray:
+        """Of the spans between neighbouring cuts, all in one call of the library."""
+        segments = np.stack([cuts[:-1], np.diff(cuts)], axis=1).astype(np.uint64)
+        out = self.z.multi_compress_to_buffer(zstd.BufferWithSegments(data, segments.tobytes()))
+        return np.fromiter(map(len, out), dtype=np.int64, count=len(segments))
+
+
+@dataclass(frozen=True)
+class Gains:
+    """Of each window of some texts: its text, its size with the ordinary dictionary and what the toxic one saves."""
+
+    doc: np.ndarray
+    plain: np.ndarray
+    gain: np.ndarray
+    length: np.ndarray  # bytes of each text
+
+    def summed(self, least: float) -> np.ndarray:
+        """For each text: what its best window saves, windows that save ``least`` or more, their share, all they save, windows, ordinary size of a byte."""
+        n = len(self.length)
+        over = self.gain >= least
+        windows, many = np.bincount(self.doc, minlength=n), np.bincount(self.doc[over], minlength=n)
+        best = np.zeros(n)
+        np.maximum.at(best, self.doc, self.gain)
+        saved = np.bincount(self.doc[over], weights=self.gain[over], minlength=n)
+        plain = np.bincount(self.doc, weights=self.plain, minlength=n)
+        return np.stack([best / 4, np.log1p(many), np.sqrt(many / np.maximum(1, windows)), np.log1p(saved), np.log1p(windows), plain / np.maximum(1, self.length)], axis=1)
+
+
+FACTS = 6
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     common: bytes
-    passages: tuple[bytes, ...]
+    toxic: bytes
     least: float
     weights: tuple[float, ...]
 
-    def gains(self, buf: np.ndarray, offsets: np.ndarray, sizes: tuple[_Sizes, _Sizes]) -> np.ndarray:
-        """What sums up each text: bytes its best window saves, windows over the threshold, their share, all they save."""
-        n = len(offsets) - 1
-        out, per = np.zeros((n, 4)), np.zeros(n)
+    def gains(self, buf: np.ndarray, offsets: np.ndarray, sizes: tuple[Sizes, Sizes]) -> Gains:
+        """Every window of every text of a chunk, compressed with both dictionaries."""
         cuts = _cuts(buf, offsets)
-        buf = _FOLDED[buf]
-        seeds = seeds_of(self.passages)
-        if len(cuts) < 2 or not len(seeds) or len(buf) < GRAM:
-            return out
-        h = tx.rolled(tx.BYTE[buf], GRAM)
-        hits = np.flatnonzero(seeds[np.minimum(np.searchsorted(seeds, h), len(seeds) - 1)] == h)
-        at = np.unique(np.searchsorted(cuts, hits + GRAM // 2, side="right") - 1)
-        data = buf.tobytes()
-        spans = np.stack([cuts[at], cuts[at + 1]], axis=1)
-        gain = (sizes[0].of(data, spans) - sizes[1].of(data, spans)).astype(float)
-        np.add.at(per, np.searchsorted(offsets, cuts[:-1], side="right") - 1, 1)
-        doc = np.searchsorted(offsets, spans[:, 0], side="right") - 1
-        over = gain >= self.least
-        np.maximum.at(out[:, 0], doc, gain)
-        out[:, 1] = np.bincount(doc[over], minlength=n)
-        out[:, 2] = out[:, 1] / np.maximum(1, per)
-        out[:, 3] = np.bincount(doc, weights=np.where(over, gain, 0), minlength=n)
-        return summed(out)
-
-    def sizes(self) -> tuple[_Sizes, _Sizes]:
+        data = _FOLDED[buf].tobytes()
+        plain, own = (s.of(data, cuts) for s in sizes)
+        return Gains(np.searchsorted(offsets, cuts[:-1], side="right") - 1, plain, plain - own, np.diff(offsets))
+
+    def sizes(self) -> tuple[Sizes, Sizes]:
         """With the ordinary dictionary and with the toxic one.
 
-        What follows a dictionary's content is content too; the filler keeps the common part at the
-        same distance in both.
+        What follows a dictionary's content is content too; the filler keeps the ordinary part at
+        the same distance in both.
         """
-        found = b"".join(self.passages)
-        return _Sizes(self.common + b"\0" * len(found)), _Sizes(self.common + found)
+        return Sizes(self.common + b"\0" * len(self.toxic)), Sizes(self.common + self.toxic)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         w = np.array(self.weights)
@@ -123,26 +131,13 @@ class ToxicityModel:
             sizes = model.sizes()
             for batch in batches:
                 buf, offsets = tx.flat(batch.column(1))
-                parts = [model.score(model.gains(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], sizes)) for a, b in tx.chunks(offsets)]
+                parts = [model.score(model.gains(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], sizes).summed(model.least)) for a, b in tx.chunks(offsets)]
                 if parts:
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(np.concatenate(parts), 6))], schema=_SCHEMA)
 
         return bounded_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, score double")
 
 
-def seeds_of(passages: tuple[bytes, ...]) -> np.ndarray:
-    """The hashes of the strings of GRAM bytes in passages, sorted. A window without any has nothing to gain and is not compressed."""
-    return np.unique(np.concatenate([np.zeros(0, tx.U), *(tx.rolled(tx.BYTE[np.frombuffer(w, np.uint8)], GRAM) for w in passages if len(w) >= GRAM)]))
-
-
-def summed(out: np.ndarray) -> np.ndarray:
-    out[:, 0] = np.maximum(out[:, 0], 0) / 4
-    out[:, 1] = np.log1p(out[:, 1])
-    out[:, 2] = np.sqrt(out[:, 2])
-    out[:, 3] = np.log1p(out[:, 3])
-    return out
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.01) -> tuple[float, ...]:
     """Newton's method; the intercept is not shrunk."""
     a = np.concatenate([np.ones((len(x), 1)), x], axis=1)
@@ -204,44 +199,64 @@ def _likelihood_ratio(n: np.ndarray, m: np.ndarray, a: int, b: int) -> np.ndarra
     return out
 
 
-def _preferred(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The passages of toxic texts that are made of strings they prefer, the most frequent last.
+def preferred(own: list[bytes], other: list[bytes]) -> bytes:
+    """The runs of strings that ``own`` texts prefer to the ``other``, each once for every text that has it.
 
-    A string of GRAM bytes is preferred by the log odds of a text having it, over their error, and by the
-    likelihood ratio; a passage is what overlapping preferred strings cover. One that shares GRAM - 1 bytes with a more frequent one adds nothing.
+    A string of GRAM bytes is preferred by the likelihood ratio of the numbers of texts that have it; a run is what
+    overlapping preferred strings cover.
     """
-    hashes, n = _texts_with(toxic)
+    hashes, n = _texts_with(own)
     hashes, n = hashes[n >= LEAST_TEXTS], n[n >= LEAST_TEXTS].astype(float)
     if not len(hashes):
-        return []
-    known, times = _texts_with(ordinary, hashes)
+        return b""
+    known, times = _texts_with(other, hashes)
     m = np.zeros(len(hashes))
     m[np.searchsorted(hashes, known)] = times
-    a, b = len(toxic), len(ordinary)
-    odds = np.log((n + 0.5) / (a - n + 0.5)) - np.log((m + 0.5) / (b - m + 0.5))
-    z = odds / np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
+    a, b = len(own), len(other)
     surprise = np.sqrt(np.maximum(0.0, _likelihood_ratio(n, m, a, b)))
-    chosen = np.sort(hashes[(z > LEAST_Z) & (surprise > LEAST_SURPRISE) & (n / a > LEAST_RATIO * m / b)])
+    least = math.sqrt(2 * math.log(len(hashes)) + 1e-9)  # what the most surprising of as many strings reaches by chance
+    on = (surprise > least) & ((n + 0.5) / a > LEAST_RATIO * (m + 0.5) / b)
+    chosen, times = hashes[on], n[on]
     if not len(chosen):
-        return []
-    buf, offsets = _flat(toxic)
+        return b""
+    buf, offsets = _flat(own)
     buf = _FOLDED[buf]
     at, _ = _grams(buf, offsets)
-    hit = np.flatnonzero(chosen[np.minimum(np.searchsorted(chosen, at), len(chosen) - 1)] == at)
+    place = np.minimum(np.searchsorted(chosen, at), len(chosen) - 1)
+    seen = np.where(chosen[place] == at, times[place], 0)
+    # a string that overlaps one found twice as often is that one and whatever happens to stand beside it
+    around = -tx.sliding_min(-np.pad(seen, GRAM - 1), 2 * GRAM - 1)
+    hit = np.flatnonzero((seen > 0) & (2 * seen >= around))
     inside = np.concatenate([[0], tx.covered(len(buf), hit, GRAM).astype(np.int8), [0]])
     begin, end = np.flatnonzero(np.diff(inside) == 1), np.flatnonzero(np.diff(inside) == -1)
     data = buf.tobytes()
-    some = Counter(data[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True))
+    doc = np.searchsorted(offsets, begin - 1, side="right") - 1
+    runs = set(zip(doc.tolist(), (data[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)), strict=True))
     kept: list[bytes] = []
     held: set[bytes] = set()
-    for w, c in sorted(some.items(), key=lambda e: (-e[1], e[0])):
-        if c < max(2, LEAST_SHARE * a) or len(kept) == TERMS:
-            break
+    room = DICT_BYTES
+    for w, _ in sorted(Counter(w for _, w in runs).items(), key=lambda e: (-e[1], e[0])):
         parts = {w[i : i + GRAM - 1] for i in range(len(w) - GRAM + 2)}
-        if not parts & held:
+        if not parts & held and len(w) <= room:
             kept.append(w)
             held |= parts
-    return kept[::-1]
+            room -= len(w)
+    return b"".join(kept[::-1])
+
+
+def _first_of_copies(texts: list[bytes]) -> list[int]:
+    """The texts of which less than COPY_SHARE stands in those taken before, told by a part of their strings of COPY_WORDS words."""
+    seen: set[int] = set()
+    out = []
+    for i, text in enumerate(texts):
+        buf = _FOLDED[np.frombuffer(text, np.uint8)]
+        starts, ends, _ = tx.words(buf, np.array([0, len(buf)]))
+        h = tx.rolled(tx.span_hashes(buf, starts, ends), min(COPY_WORDS, max(1, len(starts))))
+        own = set(h[h % tx.U(COPY_PART) == 0].tolist() or h[:1].tolist())
+        if not own or len(own & seen) < COPY_SHARE * len(own):
+            out.append(i)
+            seen |= own
+    return out
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -255,39 +270,35 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 
 def train(texts: list[bytes], toxic: np.ndarray) -> ToxicityModel:
-    """Train the dictionaries on two thirds of the texts, and calibrate on the others. Copies count once."""
-    first = np.unique([hashlib.sha256(t).digest() for t in texts], return_index=True)[1] if texts else np.zeros(0, np.int64)
-    first.sort()
+    """Train the dictionaries on two thirds of the texts, and calibrate on the others. Copies, near ones too, count once."""
+    first = _first_of_copies(texts)
     texts, toxic = [texts[i] for i in first], toxic[first]
     part = np.arange(len(texts)) % 3 == 2
     own = {v: [t for t, y, p in zip(texts, toxic, part, strict=True) if y == v and not p] for v in (0, 1)}
     if not own[0] or not own[1]:
         share = float(toxic.mean()) if len(texts) else 0.0
         base = math.log((share * len(texts) + 0.5) / ((1 - share) * len(texts) + 0.5)) if len(texts) else -4.0
-        return ToxicityModel(b"", (), 1.0, (base, 0.0, 0.0, 0.0, 0.0))
-
-    def windows(side: list[bytes]) -> list[bytes]:
-        buf, offsets = _flat(side)
-        cuts, data = _cuts(buf, offsets).tolist(), _FOLDED[buf].tobytes()
-        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return ToxicityModel(b"", b"", 1.0, (base, *(0.0,) * FACTS))
 
-    plain = windows(own[0][:DICT_TEXTS])
-    plain = plain[:: max(1, len(plain) // 20_000)]
-    common = _trained(plain, DICT_BYTES)
-    passages = tuple(_preferred(own[1], own[0]))
+    buf, offsets = _flat(own[0])
+    cuts, data = _cuts(buf, offsets).tolist(), _FOLDED[buf].tobytes()
+    plain = list(zip(cuts[:-1], cuts[1:], strict=True))
+    common = _trained([data[a:b] for a, b in plain[:: max(1, len(plain) // DICT_WINDOWS)]], DICT_BYTES)
+    made = ToxicityModel(common, preferred(own[1], own[0]), 1.0, (0.0,) * (FACTS + 1))
 
     held = [t for t, p in zip(texts, part, strict=True) if p]
     y = toxic[part].astype(float)
-    sizes, best = ToxicityModel(common, passages, 1.0, (0.0,) * 5).sizes(), None
-    for least in (1.0, 2.0, 3.0, 4.0):
-        model = ToxicityModel(common, passages, least, (0.0,) * 5)
-        x = np.concatenate([model.gains(*_flat(held[i : i + 200]), sizes) for i in range(0, len(held), 200)])
-        w = _logistic(x, y)
-        p = np.clip(ToxicityModel(b"", (), least, w).score(x), 1e-9, 1 - 1e-9)
+    sizes, best = made.sizes(), made
+    parts = [made.gains(*_flat(held[i : i + 200]), sizes) for i in range(0, len(held), 200)]
+    lowest = math.inf
+    for least in THRESHOLDS if parts else ():
+        x = np.concatenate([g.summed(least) for g in parts])
+        model = replace(made, least=least, weights=_logistic(x, y))
+        p = np.clip(model.score(x), 1e-9, 1 - 1e-9)
         loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-        if best is None or loss < best[0] - 1e-9:
-            best = (loss, least, w)
-    return ToxicityModel(common, passages, best[1], best[2])
+        if loss < lowest - 1e-9:
+            lowest, best = loss, model
+    return best
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_FIT_ROWS) -> ToxicityModel:

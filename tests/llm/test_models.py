@@ -62,6 +62,14 @@ def test_counts(make_docs, odd_texts):
     assert have == sorted(str((i, *brute_counts(t))) for i, t in odd_texts)
 
 
+def test_equal_lines_are_equal_bytes(make_docs):
+    from .test_dedup import thue_morse
+
+    a, b = thue_morse(10, "x", "y")
+    got = {r.doc_id: r.n_dup_lines for r in stats.text_stats(make_docs([(1, f"{a}\n{b}"), (2, f"{a}\n{b}\n{a}")])).collect()}
+    assert got == {1: 0, 2: 1}
+
+
 def test_rules_are_learned_and_are_spark_expressions(tables):
     docs, labels, rows = tables
     rules = quality_rules.fit(docs, labels)
@@ -141,6 +149,53 @@ def test_toxicity_on_held_out_texts(tables):
     assert right > 0.9 and clean > 0.95
 
 
+def area(scores, labels):
+    order = sorted(zip(scores, labels, strict=True))
+    low = [x for x, y in order if not y]
+    high = [x for x, y in order if y]
+    return np.mean([(x > np.array(low)).mean() + (x == np.array(low)).mean() / 2 for x in high])
+
+
+def test_toxicity_needs_both_dictionaries(tables):
+    """Without either one, what is left tells held-out texts apart less well."""
+    import dataclasses
+
+    docs, labels, rows = tables
+    model = toxicity.fit(docs, labels)
+    texts = [t.encode() for i, t, _, _ in rows if i % 7 == 0 or i % 5 == 0]
+    own = [y for i, _, _, y in rows if i % 7 == 0 or i % 5 == 0]
+    buf, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    both = model.sizes()
+    whole = area(model.gains(buf, offsets, both).summed(model.least)[:, 3], own)
+    no_toxic = area(model.gains(buf, offsets, (both[0], both[0])).summed(model.least)[:, 3], own)
+    bare = toxicity.Sizes(b"")
+    no_ordinary = area(model.gains(buf, offsets, (bare, toxicity.Sizes(model.common))).summed(model.least)[:, 3], own)
+    assert whole > 0.9 and no_toxic == 0.5 and no_ordinary < whole - 0.1
+    assert dataclasses.replace(model, toxic=b"").sizes()[1].of(b"some text here", np.array([0, 14])) == both[0].of(b"some text here", np.array([0, 14]))
+
+
+def test_gains_are_differences_of_compressed_sizes(tables):
+    docs, labels, rows = tables
+    model = toxicity.fit(docs, labels)
+    texts = [rows[5][1].encode(), b"", b"An IDIOT\tspeaks", rows[7][1].encode()]
+    buf, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    sizes = model.sizes()
+    got = model.gains(buf, offsets, sizes)
+    at = 0
+    for k, text in enumerate(texts):
+        low = bytes(32 if c in b" \t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in text)
+        cuts, cell = [0] if low else [], 0
+        for i, c in enumerate(low):
+            if c != 32 and (i == 0 or low[i - 1] == 32) and i // toxicity.WINDOW > cell:
+                cuts.append(i - 1)
+                cell = i // toxicity.WINDOW
+        for a, b in zip(cuts, [*cuts, len(low)][1:], strict=True):
+            plain, own = (len(s.z.compress(low[a:b])) for s in sizes)
+            assert (got.doc[at], got.plain[at], got.gain[at]) == (k, plain, plain - own)
+            at += 1
+    assert at == len(got.doc)
+
+
 def test_toxicity_learns_from_no_held_out_label(tables):
     docs, labels, _ = tables
     changed = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -153,3 +208,17 @@ def test_toxicity_without_labels_and_on_odd_rows(make_docs, odd_texts, tables):
     docs = make_docs(odd_texts, extra=True)
     got = toxicity.fit(docs, labels.filter("false")).apply(docs).collect()
     assert len(got) == len(odd_texts) and all(0 <= r.score <= 1 for r in got)
+    known = toxicity.fit(tables[0], labels)
+    assert all(0 <= r.score <= 1 for r in known.apply(docs).collect()) and known.apply(make_docs([])).count() == 0
+    assert toxicity.fit(make_docs([]), labels).apply(make_docs([])).count() == 0
+
+
+def test_rules_of_empty_tables(make_docs, tables):
+    rules = quality_rules.fit(make_docs([]), tables[1])
+    assert rules == [] and quality_rules.judge(make_docs([]), rules).count() == 0
+
+
+def test_a_word_once_and_one_that_is_very_long(make_docs):
+    long = "x" * 300_000
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_repeat_words) for r in stats.text_stats(make_docs([(1, long), (2, f"{long} a b c d {long} a b c d"), (3, "one")])).collect()}
+    assert got == {1: (1, 300_000, 0), 2: (10, 600_008, 10), 3: (1, 3, 0)}
