@@ -5,8 +5,9 @@ is given to each, and the fractions are rounded dependently. Two documents excha
 by size and in a random direction that keeps both expectations, until one of them is integral; the
 other goes on. Groups of about ``FAN`` documents of one source are folded so, each leaves one
 document that may still be fractional, and these are grouped again: a reduction tree of depth
-log(documents) / log(FAN) whose every level shuffles a FAN-th of the level before. A source's taken
-words thus differ from its target by less than one document.
+log(documents) / log(FAN) whose every level shuffles a FAN-th of the level before. Of each source one document
+is left, and rounded to the nearer side; the words this leaves over or short are settled with a few smaller
+documents, largest first, so a source's taken words differ from its target by about a small document.
 
 Random numbers are hashes of the pair's ids and the seed, so reruns agree.
 """
@@ -22,7 +23,7 @@ from pyspark.sql.window import Window
 from .storage import written
 from .text import WORD_SQL
 
-FAN = 32
+FAN, EACH = 32, 4
 WEIGHTS = (5, 2, 1)
 MOST = 3
 _EPS = 1e-9
@@ -96,11 +97,35 @@ def _fold(items: Column, seed: int) -> Column:
     return F.aggregate(F.slice(items, 2, F.size(items)), F.struct(items[0].alias("last"), F.array().cast(kind).alias("done")), step)
 
 
+def _settled(done: DataFrame, short: DataFrame, seed: int) -> DataFrame:
+    """``f_source, f_id, f_size, flip``: documents raised (1) or lowered (-1) by a copy, so that a source's words are no longer ``short`` (s, short).
+
+    Of every power of two of sizes EACH documents that can move the right way are offered, so a source offers a few
+    hundred at most; they are taken from the largest on while what is short is as much as they are.
+    """
+    d = done.select("source", "d.doc_id", "d.size", "d.m", (F.col("d.ones") + F.col("d.x").cast("long")).alias("raised"))
+    able = F.when(F.col("short") > 0, F.col("raised") < F.col("m")).otherwise(F.col("raised") > 0)
+    d = d.filter("size > 0").join(short, F.col("source").eqNullSafe(F.col("s"))).filter(able & (F.col("size") <= F.abs("short")))
+    order = F.row_number().over(Window.partitionBy("source", F.floor(F.log2("size"))).orderBy(F.xxhash64("doc_id", "size", F.lit(seed)), "doc_id", "size"))
+    offered = d.withColumn("turn", order).filter(F.col("turn") <= EACH)
+    item = F.struct("size", "doc_id")
+    per = offered.groupBy("source").agg(F.first("short").alias("short"), F.sort_array(F.collect_list(item), asc=False).alias("items"))
+    start = F.struct(F.abs("short").alias("left"), F.array().cast("array<struct<size:bigint,doc_id:bigint>>").alias("taken"))
+
+    def step(acc: Column, e: Column) -> Column:
+        more = F.struct((acc["left"] - e["size"]).alias("left"), F.concat(acc["taken"], F.array(e)).alias("taken"))
+        return F.when(e["size"] <= acc["left"], more).otherwise(acc)
+
+    flip = F.when(F.col("short") > 0, 1).otherwise(-1)
+    taken = per.select(F.col("source").alias("f_source"), flip.alias("flip"), F.explode(F.aggregate("items", start, step)["taken"]).alias("e"))
+    return taken.select("f_source", F.col("e.doc_id").alias("f_id"), F.col("e.size").alias("f_size"), "flip")
+
+
 def mix_sources(docs: DataFrame, size: Column, weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: int = MOST, seed: int = 42) -> DataFrame:
     """A row per row of ``docs`` (doc_id, source): ``doc_id, source, size, source_size, target, copies, taken``.
 
     A null source is a source of its own, last in order; a null doc_id is an id like another; a
-    size of 0 takes 0; rows repeated in full are rounded together (m equal rows with fraction f: the
+    size of 0 takes 0 words, and gets the whole part of its source's rate in copies; rows repeated in full are rounded together (m equal rows with fraction f: the
     whole part of m * f are raised, one row keeps the rest) and then told apart again. An empty
     table gives an empty result. Other columns of ``docs`` are not read.
     """
@@ -132,13 +157,15 @@ def mix_sources(docs: DataFrame, size: Column, weights: Sequence[float] = WEIGHT
         deepest = -(-deepest // FAN)
         if deepest <= 1:
             break
-    last = F.round("e.x")  # one document a source, rounded to the nearer side: the taken words come as near the target as it lets them
-    done.append(left.select("source", F.struct("e.size", "e.doc_id", "e.m", "e.ones", last.alias("x")).alias("d")))
-
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    out = out.select("source", "d.doc_id", "d.size", "d.m", (F.col("d.ones") + F.col("d.x").cast("long")).alias("raised"))
+    short = left.select(F.col("source").alias("s"), ((F.col("e.x") - F.round("e.x")) * F.col("e.size")).alias("short")).filter("abs(short) >= 1")
+    flips = _settled(out, short, seed)
+    last = left.select("source", F.struct("e.size", "e.doc_id", "e.m", "e.ones", F.round("e.x").alias("x")).alias("d"))
+    out = out.unionByName(last).select("source", "d.doc_id", "d.size", "d.m", (F.col("d.ones") + F.col("d.x").cast("long")).alias("raised"))
+    same = F.col("source").eqNullSafe(F.col("f_source")) & F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("size") == F.col("f_size"))
+    out = out.join(flips, same, "left").select("source", "doc_id", "size", "m", (F.col("raised") + F.coalesce("flip", F.lit(0))).alias("raised"))
     out = out.select("source", "doc_id", "size", "raised", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("i"))
     ends = targets.select(F.col("source").alias("s"), "source_size", "target", F.floor(rate + _EPS).alias("whole"))
     out = out.join(ends, F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -147,15 +174,20 @@ def mix_sources(docs: DataFrame, size: Column, weights: Sequence[float] = WEIGHT
 
 
 def repeated_rows(docs: DataFrame, mixed: DataFrame, size: Column) -> DataFrame:
-    """The rows of docs, each as often as ``mixed`` (of :func:`mix_sources`) takes it, with all their columns."""
+    """The rows of docs, each as often as ``mixed`` (of :func:`mix_sources`) takes it, with all their columns, whatever their names.
+
+    Rows that the mix takes no copy of go; an empty table stays empty.
+    """
     own = mixed.groupBy(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("k_copies")).filter("k_copies[0] > 0")
     names = docs.columns
-    rows = docs.withColumn("k", size.cast("long"))
-    on = F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("k") == F.col("k_size"))
-    rows = rows.join(own, on)
+    # the row goes along as one struct, so that no name of its columns meets ours
+    columns = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(names)]
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("r_id"), F.col("source").alias("r_source"), size.cast("long").alias("r_size"), F.xxhash64("text").alias("r_text"))
+    on = F.col("r_id").eqNullSafe(F.col("k_id")) & F.col("r_source").eqNullSafe(F.col("k_source")) & (F.col("r_size") == F.col("k_size"))
+    rows = rows.join(own, on).drop("r_id", "r_source", "r_size")
     # rows that share id, source and size are told apart by number; almost all stand alone
     single = rows.filter(F.size("k_copies") == 1).withColumn("k_n", F.col("k_copies")[0])
-    turn = F.row_number().over(Window.partitionBy("k_id", "k_source", "k_size").orderBy(F.xxhash64("text")))
+    turn = F.row_number().over(Window.partitionBy("k_id", "k_source", "k_size").orderBy("r_text"))
     shared = rows.filter(F.size("k_copies") > 1).withColumn("k_n", F.element_at("k_copies", turn))
     every = single.unionByName(shared)
-    return every.withColumn("k_each", F.explode(F.array_repeat(F.lit(1), F.col("k_n").cast("int")))).select(*names)
+    return every.withColumn("k_each", F.explode(F.array_repeat(F.lit(1), F.col("k_n").cast("int")))).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])

@@ -53,6 +53,25 @@ def test_mixing(make_docs):
     assert mixing.mix_sources(make_docs([]), mixing.word_count("text")).count() == 0
 
 
+def test_what_a_large_document_leaves_over_is_settled_with_small_ones(make_docs):
+    rows = [(i, "w " * (3000 + 17 * i), "a") for i in range(5)] + [(10 + i, "w " * (1 + i % 40), "a") for i in range(400)] + [(1000 + i, "w " * 50, f"z{i % 4}") for i in range(300)]
+    for seed in (1, 2, 3):
+        mixed = mixing.mix_sources(make_docs(rows), mixing.word_count("text"), seed=seed).collect()
+        for s in {r.source for r in mixed}:
+            own = [r for r in mixed if r.source == s]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= (2 if s == "a" else 50)
+            assert all(abs(r.copies - r.target / r.source_size) < 1 + 1e-9 for r in own)
+
+
+def test_rows_keep_columns_of_any_name(make_docs):
+    docs = make_docs([(1, "a b c", "s"), (1, "a b d", "s"), (2, "a b", None), (None, "x", "s"), (3, None, "s")])
+    for c in ("k", "k_id", "k_n", "k_size", "row", "r_id", "a b.c"):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c}:"), F.coalesce("text", F.lit("-"))))
+    out = mixing.repeated_rows(docs, mixing.mix_sources(docs, mixing.word_count("text"), most=1), mixing.word_count("text"))
+    rows = out.collect()
+    assert out.columns == docs.columns and len(rows) == 4 and all(r["k"] == f"k:{r.text}" and r["k_id"] == f"k_id:{r.text}" and r["a b.c"] == f"a b.c:{r.text}" for r in rows)
+
+
 def test_mixing_is_fair(make_docs):
     """Over seeds, a document's copies average its rate."""
     docs = make_docs([(i, "w " * (3 + i % 5), "ab"[i % 2]) for i in range(40)])
@@ -116,10 +135,11 @@ def test_topk(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "QUERIES", 3)
     rng = np.random.default_rng(7)
     rows = [(i, [float(v) for v in rng.integers(-4, 5, 6) / 16]) for i in range(260)] + [(400 + i, [0.25] * 6) for i in range(30)]
-    odd = [(900, None), (None, [0.1] * 6), (901, [None] * 6), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (904, [1.0]), (950, [])]
+    rows += [(300, [0.25, 0.5])]  # as if filled up with zeros
+    odd = [(900, None), (None, [0.1] * 6), (901, [None] * 6), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (950, [])]
     df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>").withColumn("block", F.lit(1))
     got = topk.topk(df.select("vec_id", topk.quantised().alias("v")), F.col("vec_id") % 50 == 0).collect()
-    ints = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows]
+    ints = [(i, np.floor(256 * np.array(v + [0.0] * (6 - len(v)), np.float32).astype(float)).astype(int)) for i, v in rows]
     want = brute_topk(ints, [i for i, _ in rows if i % 50 == 0], 5)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
     assert topk.topk(df.filter("false").select("vec_id", topk.quantised().alias("v")), F.lit(True)).count() == 0
@@ -138,3 +158,12 @@ def test_a_query_of_zeros_meets_all(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got = topk.topk(df.select("vec_id", topk.quantised().alias("v")), F.col("vec_id") == 7).collect()
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(n + 1, i, 0) for n, i in enumerate((1, 2, 3, 4, 5))]
+
+
+def test_topk_of_large_components(spark):
+    rows = [(50, [1e7, 1.0]), (51, [1e7, 2.0]), (52, [1e7 + 1, -5.0]), (53, [3e7, 0.0]), (54, [-1e7, 9.0]), (55, [1e7, 1.0 + 1 / 256]), (56, [1.0, 2.0]), (57, [1e7, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = topk.topk(df.select("vec_id", topk.quantised().alias("v")), F.col("vec_id") == 50).collect()
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = sorted((-sum(a * b for a, b in zip(ints[50], v, strict=True)), i) for i, v in ints.items() if i != 50)[:5]
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
