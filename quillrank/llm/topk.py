@@ -38,9 +38,12 @@ def quantised(column: str = "embedding", scale: float = SCALE) -> Column:
 def threshold_topk(x: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[np.ndarray]:
     """For each query (row of q) the rows of x among which its k best lie, ties of the k-th too: found without seeing all of x.
 
-    ``floor``: scores that k candidates elsewhere are known to reach, for each query.
+    ``floor``: scores that k candidates elsewhere are known to reach, for each query. Where a score may pass
+    2 ** 53 the bound would not be exact: nothing is left out then.
     """
     n, d = x.shape
+    if not _exact(x, q):
+        return [np.arange(n)] * len(q)
     order = np.argsort(x, axis=0, kind="stable")
     lists = np.take_along_axis(x, order, axis=0)
     some = q.any(axis=1)
@@ -78,15 +81,25 @@ def threshold_topk(x: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | Non
     return [np.concatenate(f) if f else np.zeros(0, np.int64) if s else np.arange(n) for f, s in zip(found, some.tolist(), strict=True)]
 
 
-def _packed(vectors: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Rows of about ``size`` vectors: ``block, ids, data`` (int32), ``rows``; and the number of blocks."""
+def _exact(x: np.ndarray, q: np.ndarray) -> bool:
+    """Whether every product and sum of x and q is below 2 ** 53, so that float64 holds it."""
+    most = [max(abs(int(v.max(initial=0))), abs(int(v.min(initial=0)))) for v in (x, q)]
+    return most[0] * most[1] * x.shape[1] < 1 << 53
+
+
+def _packed(vectors: DataFrame, size: int, length: int, name: str) -> tuple[DataFrame, int]:
+    """Rows of about ``size`` vectors: ``block, ids, data`` (int64, filled up with zeros to ``length``), ``rows``; and the number of blocks."""
     n = vectors.count()
     blocks = max(1, -(-n // size))
     dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
 
     def pack(table: pa.Table) -> pa.Table:
         v = table["v"].combine_chunks()
-        return pa.table({"block": table["block"][:1], "ids": pa.array([table["vec_id"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()), "data": pa.array([v.values.to_numpy().astype(np.int32).tobytes()], pa.binary()), "rows": pa.array([table.num_rows], pa.int64())})
+        size = np.diff(v.offsets.to_numpy())
+        x = np.zeros((len(v), length), dtype=np.int64)
+        x[np.arange(length)[None, :] < size[:, None]] = v.flatten().to_numpy()
+        ids = table["vec_id"].combine_chunks().to_numpy().astype(np.int64)
+        return pa.table({"block": table["block"][:1], "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([x.tobytes()], pa.binary()), "rows": pa.array([table.num_rows], pa.int64())})
 
     return written(dealt.groupBy("block").applyInArrow(pack, "block bigint, ids binary, data binary, rows bigint"), name), blocks
 
@@ -94,36 +107,40 @@ def _packed(vectors: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
 def topk(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best candidates of each query.
 
-    ``vectors``: ``vec_id, v`` (array of bigint; rows with a null of either, or not of the most
-    frequent length, take no part). ``queries`` marks the rows that are queries; a candidate is every row whose id is not the
+    ``vectors``: ``vec_id, v`` (array of bigint; rows with a null of either take no part; a vector shorter than others
+    counts as filled up with zeros; scores are bigint and wrap around as Spark's sums of bigint do). ``queries`` marks the rows that are queries; a candidate is every row whose id is not the
     query's own. Ties go to the smaller vec_id. Rows repeated under one id are candidates each, and one
     query. Without queries or candidates there are no rows.
     """
     own = vectors.filter("vec_id is not null and v is not null")
-    usual = own.agg(F.mode(F.size("v"))).first()[0]
-    own = own.filter(F.size("v") == F.lit(usual))
-    candidates, blocks = _packed(own, BLOCK, "topk-candidates")
-    asked, _ = _packed(own.filter(queries).dropDuplicates(["vec_id"]), QUERIES, "topk-queries")
+    length = own.agg(F.max(F.size("v"))).first()[0] or 0
+    candidates, blocks = _packed(own, BLOCK, length, "topk-candidates")
+    asked, _ = _packed(own.filter(queries).dropDuplicates(["vec_id"]), QUERIES, length, "topk-queries")
     every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
     both = asked.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("rows").alias("q_rows"), F.explode(every).alias("b"))
     pairs = candidates.join(both, F.col("block") == F.col("b")).select("ids", "data", "rows", "q_ids", "q_data", "q_rows").repartition(F.xxhash64("ids", "q_ids"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors: dict[int, np.ndarray] = {}  # for each block of queries of this task, what k + 1 candidates of a block before reach
         for batch in batches:
             for r in range(batch.num_rows):
                 ids, data, rows, q_ids, q_data, q_rows = (c[r].as_py() for c in batch.columns)
+                x = np.frombuffer(data, np.int64).reshape(rows, -1)
+                q = np.frombuffer(q_data, np.int64).reshape(q_rows, -1)
+                floor = floors.setdefault(hash(q_ids), np.full(q_rows, -np.inf))
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                x = np.frombuffer(data, np.int32).reshape(rows, -1).astype(np.int64)
-                q = np.frombuffer(q_data, np.int32).reshape(q_rows, -1).astype(np.int64)
                 for lo in range(0, len(q), 256):
                     part = q[lo : lo + 256]
                     # a query may meet itself: one more than k
-                    for i, found in enumerate(threshold_topk(x, part, k + 1)):
+                    for i, found in enumerate(threshold_topk(x, part, k + 1, floor[lo : lo + 256]), lo):
                         found = np.unique(found)
-                        found = found[ids[found] != q_ids[lo + i]]
-                        score = x[found] @ part[i]
+                        score = x[found] @ q[i]
+                        if len(found) > k:
+                            floor[i] = max(floor[i], np.nextafter(float(np.partition(score, -k - 1)[-k - 1]), -np.inf))
+                        other = ids[found] != q_ids[i]
+                        found, score = found[other], score[other]
                         best = np.lexsort((ids[found], -score))[:k]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q_ids[lo + i])), pa.array(ids[found][best]), pa.array(score[best])], ["query_id", "vec_id", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q_ids[i])), pa.array(ids[found][best]), pa.array(score[best])], ["query_id", "vec_id", "score"])
 
     scored = pairs.mapInArrow(walk, _OUT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
