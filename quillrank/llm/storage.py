@@ -2,8 +2,8 @@
 
 An operator that needs an intermediate result twice, or wants its lineage cut, writes it as
 Parquet below ``spark.checkpoint.dir`` and reads it back. A lost executor then costs only the
-tasks it was running. The folder is read from the session; only where it is unset (tests on one
-machine) is a temporary one made and set.
+tasks it was running. The folder is read from the session; only where it is unset is one made and set: a
+temporary one in tests on one machine, else one in the warehouse, which a cluster shares.
 """
 
 from __future__ import annotations
@@ -21,7 +21,11 @@ BATCH_ROWS, BATCH_BYTES = 2000, "16m"
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches kept to BATCH_ROWS rows and BATCH_BYTES: texts can be long, and a batch is held whole on both sides."""
+    """``df``, with the session's Arrow batches kept to BATCH_ROWS rows and BATCH_BYTES: texts can be long, and a batch is held whole on both sides.
+
+    These are two settings of the session. They are read when a result is asked for, after an operator has returned,
+    so they stay set; a lower number of rows that the caller chose stays the caller's.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -37,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
         if kept.isDefined():
             found = kept.get()
         else:
-            found = tempfile.mkdtemp(prefix="quillrank-")
+            local = spark.sparkContext.master.startswith("local")
+            found = tempfile.mkdtemp(prefix="quillrank-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quillrank-tables"
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -58,10 +63,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean() -> None:
-    """Remove every table written so far, where the session still runs."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+def mark() -> int:
+    """How many tables there are; see :func:`clean`."""
+    return len(_WRITTEN)
+
+
+def clean(since: int = 0, latest: int = 0) -> None:
+    """Remove the tables written since a :func:`mark` but for the ``latest``, where the session still runs."""
+    until = len(_WRITTEN) - latest
+    own = _WRITTEN[since:until]
+    del _WRITTEN[since:until]
+    for spark, path in own:
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import fresh_dir, written
+from .storage import bounded_batches, fresh_dir, written
 
 LEAST_REVISIT = 1000
 ROLL = 64 << 20
@@ -155,7 +155,7 @@ def write_warc(plan: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(records, pa.int64())], ["path", "records"])
 
-    return plan.select("page_id", "url", "payload", "refers_to", "revisit").mapInArrow(write, "path string, records bigint")
+    return bounded_batches(plan).select("page_id", "url", "payload", "refers_to", "revisit").mapInArrow(write, "path string, records bigint")
 
 
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
