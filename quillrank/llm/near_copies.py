@@ -1,4 +1,8 @@
-"""Near copies of texts: exact set-similarity join on shingles of words.
+"""Near copies of texts: SimHash first, then an exact set-similarity join on shingles of words for what it cannot see.
+
+Fingerprints of the same shingles meet in the tiles of :mod:`simhash`; the pairs it finds, held against their sets,
+make most copies one component at once. But similar sets mostly differ in more bits than a bucket join can
+reach (at Jaccard 0.8 about ten of 64), so every other pair is found exactly, by the rest of this module.
 
 Two texts are linked if their sets of SHINGLE consecutive words have Jaccard LEAST or more. In any
 one order of all shingles two such sets have one of their first n - ceil(LEAST * n) + 1 in common, so texts meet on these
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .simhash import _single_spaced
+from .simhash import _single_spaced, fingerprints, links as close_fingerprints
 from .storage import bounded_batches, written
 
 SHINGLE, LEAST = 5, 0.8
@@ -89,14 +93,15 @@ def _often(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scanned(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """``doc_id, rid, node, n, prefix, bits`` for each text: node stands for its set, n is its size, bits are its parities."""
+    """``doc_id, rid, node, n, prefix, bits, fp`` for each text: node stands for its set, n is its size, bits are its parities, fp its fingerprint."""
     known, times = _often(texts, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = tx.flat(batch.column(2))
             for a, b in tx.chunks(offsets):
-                doc, grams = shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
+                part = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                doc, grams = shingle_sets(*part, shingle)
                 n = np.bincount(doc, minlength=b - a)
                 sums = np.concatenate([np.zeros(1, tx.U), np.cumsum(tx.mixed(grams))])
                 first = np.searchsorted(doc, np.arange(b - a + 1))
@@ -109,9 +114,9 @@ def _scanned(texts: DataFrame, shingle: int, least: float) -> DataFrame:
                 place = np.arange(len(doc)) - first[doc]
                 head = place < (n - np.ceil(least * n - 1e-9).astype(np.int64) + 1)[doc]
                 lists = _lists(doc[head], grams[order][head], b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), lists, pa.array(parities(doc, grams, n), pa.binary())], ["doc_id", "rid", "node", "n", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), lists, pa.array(parities(doc, grams, n), pa.binary()), pa.array(fingerprints(*part, shingle).view(np.int64))], ["doc_id", "rid", "node", "n", "prefix", "bits", "fp"])
 
-    return texts.select("doc_id", "rid", "text").mapInArrow(run, "doc_id bigint, rid bigint, node bigint, n int, prefix array<bigint>, bits binary")
+    return texts.select("doc_id", "rid", "text").mapInArrow(run, "doc_id bigint, rid bigint, node bigint, n int, prefix array<bigint>, bits binary, fp bigint")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -200,6 +205,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     return written(both.filter(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b"), f"copies-{name}-links")
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """``a, b``: pairs of nodes whose fingerprints are equal or close, each node with one of its fingerprint's and each fingerprint's with another's."""
+    first = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "copies-fingerprints")
+    same = nodes.select("fp", "node").join(first.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f")).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = close_fingerprints(first.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
+    near = near.join(first.select(F.col("fp").alias("f"), F.col("first").alias("p")), F.col("x") == F.col("f")).join(first.select(F.col("fp").alias("g"), F.col("first").alias("q")), F.col("y") == F.col("g"))
+    return same.union(near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """``doc_id, component_id`` for each row of docs: the smallest doc_id reachable over links of Jaccard ``least`` or more.
 
@@ -210,12 +224,16 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
     texts = texts.withColumn("rid", F.xxhash64("text"))
     own = written(_scanned(texts, shingle, least), "copies")
     # equal sets have equal sizes, prefixes and parities: those of any of its texts
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")])
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix", "fp")])
     nodes = written(nodes, "copies-nodes")
+    links = _verified(_by_fingerprint(nodes), nodes, texts, shingle, least, "simhash")
+    roots = written(components(links), "copies-roots")
     met = written(_met(nodes), "copies-met")
     fits = "least(n - i, star_n - star_i) >= {} * (n + star_n) - 1e-9".format(least / (1 + least))
-    stars = met.filter("node <> star").filter(fits).select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
-    links = _verified(stars, nodes, texts, shingle, least, "star")
+    own_root, star_root = (roots.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root")) for c in ("own", "star"))
+    stars = met.filter("node <> star").filter(fits).join(own_root, F.col("node") == F.col("own_node"), "left").join(star_root, F.col("star") == F.col("star_node"), "left")
+    stars = stars.filter("coalesce(own_root, node) <> coalesce(star_root, star)").select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
+    links = links.union(_verified(stars, nodes, texts, shingle, least, "star"))
     roots = components(links)
     placed = met.join(roots.withColumnRenamed("node", "u"), F.col("node") == F.col("u"), "left").select("x", "node", "n", "i", F.coalesce("root", "node").alias("root"))
     placed = written(placed, "copies-placed")

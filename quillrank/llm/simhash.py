@@ -42,20 +42,20 @@ def _single_spaced(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return buf[keep], at[offsets]
 
 
-def fingerprints(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def fingerprints(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     """The fingerprint of each text of a chunk, as uint64."""
     n = len(offsets) - 1
     out = np.zeros((n, 64), dtype=bool)
     buf, offsets = _single_spaced(buf, offsets)
     starts, ends, first = tx.words(buf, offsets)
     size = np.diff(first)
-    shingles = np.where(size >= SHINGLE, size - SHINGLE + 1, np.minimum(size, 1))
+    shingles = np.where(size >= shingle, size - shingle + 1, np.minimum(size, 1))
     some = np.flatnonzero(shingles)
     if len(some):
         doc = np.repeat(some, shingles[some])
         begin = np.cumsum(shingles) - shingles
         at = first[doc] + np.arange(len(doc)) - begin[doc]
-        last = at + np.minimum(size[doc], SHINGLE) - 1
+        last = at + np.minimum(size[doc], shingle) - 1
         data = buf.tobytes()
         spans = [data[a:b] for a, b in zip(starts[at].tolist(), ends[last].tolist(), strict=True)]
         bits = np.unpackbits(np.frombuffer(b"".join(map(xxhash.xxh64_digest, spans, repeat(SEED))), np.uint8).reshape(-1, 8), axis=1)

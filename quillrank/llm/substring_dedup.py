@@ -47,7 +47,7 @@ def _extensions(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """``rid, doc_id, p, n``: the windows of ``keyed`` docs that also start in a document of a smaller id."""
+    """``rid, doc_id, starts, counts``: the windows of ``keyed`` docs that also start in a document of a smaller id."""
     found = wn.repeated_runs(docs, wn.word_tokens, WINDOW, GRAM, "substring")
     classes = found.groupBy("anchor", "digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "rid", "p", "n")).alias("rep"))
     classes = written(classes, "substring-classes")
@@ -63,9 +63,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     out = found.join(marks, (F.col("anchor") == F.col("x")) & (F.col("digest") == F.col("y")))
     out = out.filter(F.col("doc_id").isNotNull() & ((F.col("doc_id") > F.col("least")) | F.col("early").isNotNull()))
     # a later document has the whole run from the class's first; the first itself what an earlier class has
-    whole = F.array(F.struct(F.col("p"), F.col("n")))
-    some = F.transform("early", lambda i: F.struct((F.col("p") + i).alias("p"), F.lit(1).alias("n")))
-    return out.select("rid", "doc_id", F.explode(F.when(F.col("doc_id") > F.col("least"), whole).otherwise(some)).alias("s")).select("rid", "doc_id", "s.p", "s.n")
+    later = F.col("doc_id") > F.col("least")
+    starts = F.when(later, F.array("p")).otherwise(F.transform("early", lambda i: F.col("p") + i))
+    return out.select("rid", "doc_id", starts.alias("starts"), F.when(later, F.array("n")).otherwise(F.transform("early", lambda i: F.lit(1))).alias("counts"))
 
 
 def _kept(text: bytes, starts: list[int] | None, counts: list[int] | None) -> tuple[int, int, list[bytes]]:

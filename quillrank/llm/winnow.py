@@ -103,9 +103,9 @@ def repeated_runs(docs: DataFrame, tokens: Tokens, window: int, gram: int, name:
 
 
 def per_document(spans: DataFrame) -> DataFrame:
-    """``r, d, starts, counts``: the windows of each row (rid, doc_id, p, n), as arrays no longer than its text has runs."""
-    own = spans.groupBy(F.col("rid").alias("r"), F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("p", "n")).alias("s"))
-    return own.select("r", "d", F.col("s.p").alias("starts"), F.col("s.n").alias("counts"))
+    """``r, d, starts, counts``: the windows of each row (rid, doc_id, starts, counts: arrays), as arrays no longer than its text has runs."""
+    own = spans.groupBy(F.col("rid").alias("r"), F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("starts", "counts")).alias("s"))
+    return own.select("r", "d", F.flatten("s.starts").alias("starts"), F.flatten("s.counts").alias("counts"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -139,3 +139,52 @@ def test_substring_dedup_takes_nothing_from_a_row_without_id(make_docs):
     rows = [(1, a[:-4] + " tail"), (5, a + " " + b), (None, a + " " + b), (9, b)]
     got = substring_dedup.dedup(make_docs(rows), digest=True).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_words(rows)
+
+
+def thue_morse(n, a, b):
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_of_spans_are_no_sums_of_powers(make_docs):
+    words = [thue_morse(10, chr(97 + i), chr(98 + i)) for i in range(20)]
+    data = "".join(w for pair in words for w in pair).encode()
+    at = np.arange(0, len(data), 1024)
+    assert len(set(tx.span_hashes(np.frombuffer(data, np.uint8), at, at + 1024).tolist())) == 40
+    rows = [(1, "A " + " ".join(w[0] for w in words * 3)), (2, "B " + " ".join(w[1] for w in words * 3))]
+    got = substring_dedup.dedup(make_docs(rows), digest=True).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_words(rows) and not any(r.n_removed for r in got)
+
+
+def test_span_hashes_depend_on_bytes_alone():
+    rng = np.random.default_rng(8)
+    data = rng.integers(97, 100, 4000).astype(np.uint8)
+    spans = [(int(a), int(a + n)) for a in rng.integers(0, 3800, 600) for n in (0, 1, 7, 8, 9, 63, 64, 65, 150)]
+    h = tx.span_hashes(data, *np.array(spans).T)
+    for start in (0, 5):
+        moved = tx.span_hashes(np.concatenate([rng.integers(0, 255, start).astype(np.uint8), data]), *(np.array(spans).T + start))
+        assert (moved == h).all()
+    by_text = {}
+    for (a, b), x in zip(spans, h.tolist(), strict=True):
+        assert by_text.setdefault(data[a:b].tobytes(), x) == x
+    assert len(set(by_text.values())) == len(by_text)
+
+
+def test_suffix_dedup_of_another_window(make_docs, odd_texts):
+    passage = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, "a first text " + passage + " and an end"), (2, passage), (3, "another " + passage[:240]), (4, passage[:90])]
+    got = {r.doc_id: r.text for r in suffix_dedup.dedup_text(make_docs(rows), 250).collect()}
+    assert got == {1: "a first text  and an end", 2: "", 3: rows[2][1], 4: rows[3][1]}
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 2000])
+def test_windows_of_a_spread_anchor_are_found_across_shards(make_docs, monkeypatch, shard):
+    """One passage shorter than a window in many surroundings, some of which come twice."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    rng = np.random.default_rng(12)
+    some = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    core, sides = some(300), [(some(200), some(200)) for _ in range(12)]
+    rows = [(i, sides[i % 12][0][i * 3 % 40 :] + core + sides[(i * 5 + i // 12) % 12][1][: 150 + i]) for i in range(40)]
+    got = suffix_dedup.dedup(make_docs(rows), digest=True).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_bytes(rows)

@@ -52,3 +52,28 @@ def test_run(spark, tables):
     out = corpus_pipeline.run(spark, tables[0])
     assert out.columns == ["doc_id", "n_tokens", "ids", "round_trip"] and out.count() > 50
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_every_stage_on_odd_rows(spark, make_docs, odd_texts):
+    rows = [r for r in odd_texts if r[0] != 60]
+    docs = make_docs(rows)
+    for c in ("k", "k_id", "k_n", "kept_id", "kept", "own", "row", "rid", "doc", "a b.c"):
+        docs = docs.withColumn(c, docs["lang"])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "").collect()
+        if name != "bpe":
+            assert stage(spark, docs, "").columns == docs.columns and all(r["k"] == r["a b.c"] == "en" for r in out)
+        if name in ("suffix_array_dedup", "bpe"):
+            assert len(out) == len(rows)
+        texts = {r.doc_id: r.text for r in out} if name != "bpe" else {}
+        if name == "quality_classifier":
+            assert not {1, 2, 3} & set(texts)
+        if name == "simhash_near_dedup":
+            assert 40 in texts and not {41, 42, 2, 3} & set(texts) and sum(r.doc_id == 43 for r in out) == 0
+        if name == "source_mixing":
+            assert len(out) == len(rows)  # one source: each row once
+
+
+def test_every_stage_on_an_empty_table(spark, make_docs):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, make_docs([]), "").count() == 0
