@@ -10,7 +10,7 @@ only. The order puts last what a sample finds often, then goes by hash; the samp
 costs, never what is found. A pair that meets is kept by its sizes, the places of the shingle and its parities, which
 bound how similar the sets can be; what is left is compared in full.
 
-Texts of equal sets are one node. The nodes of a shingle are first compared with one of them; all pairs
+Texts of equal sets are one node. The nodes of a shingle are first compared with STARS of them; all pairs
 follow where this left them in different components, so a group of thousands of copies is no square.
 """
 
@@ -31,6 +31,7 @@ from .storage import bounded_batches, written
 SHINGLE, LEAST = 5, 0.8
 SAMPLE, OFTEN = 10_000, 200_000
 TILE = 1024
+STARS = 4
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -138,19 +139,25 @@ def _fits(na: np.ndarray, ia: np.ndarray, nb: np.ndarray, ib: np.ndarray, least:
     return np.minimum(na - ia, nb - ib) >= least / (1 + least) * (na + nb) - 1e-9
 
 
-def _met(nodes: DataFrame) -> DataFrame:
-    """``x, node, n, i, star``: the prefixes of nodes, of shingles that more than one has; star is one of these, with its n and i."""
+def _met(nodes: DataFrame, least: float) -> DataFrame:
+    """``x, node, n, i, stars``: the prefixes of nodes, of shingles that more than one has; stars are those of STARS nodes of the shingle that can be similar."""
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("i", "x")).select("x", "node", "n", "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, node, n, i in _groups(batches):
             begin = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
             size = np.diff(np.append(begin, len(x)))
-            pick = begin + (x[begin].view(tx.U) % size.astype(tx.U)).astype(np.int64)
-            star, many = np.repeat(pick, size), np.repeat(size > 1, size)
-            yield pa.RecordBatch.from_arrays([pa.array(v[many]) for v in (x, node, n, i, node[star], n[star], i[star])], ["x", "node", "n", "i", "star", "star_n", "star_i"])
+            first, many = np.repeat(begin, size), np.repeat(size, size)
+            turn = np.repeat(x[begin].view(tx.U) % size.astype(tx.U), size).astype(np.int64)
+            star = first[:, None] + (turn[:, None] + np.arange(STARS) * (many // STARS + 1)[:, None]) % many[:, None]
+            n, i = n.astype(np.int64), i.astype(np.int64)
+            fit = _fits(n[:, None], i[:, None], n[star], i[star], least) & (node[star] != node[:, None])
+            some = many > 1
+            cuts = np.concatenate([[0], np.cumsum(fit[some].sum(axis=1))]).astype(np.int32)
+            stars = pa.ListArray.from_arrays(pa.array(cuts), pa.array(node[star[some]][fit[some]]))
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]), pa.array(node[some]), pa.array(n[some].astype(np.int32)), pa.array(i[some].astype(np.int32)), stars], ["x", "node", "n", "i", "stars"])
 
-    return rows.repartition("x").sortWithinPartitions("x", "node").mapInArrow(run, "x bigint, node bigint, n int, i int, star bigint, star_n int, star_i int")
+    return rows.repartition("x").sortWithinPartitions("x", "node").mapInArrow(run, "x bigint, node bigint, n int, i int, stars array<bigint>")
 
 
 def _across(rows: DataFrame, least: float) -> DataFrame:
@@ -226,14 +233,9 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
     # equal sets have equal sizes, prefixes and parities: those of any of its texts
     nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix", "fp")])
     nodes = written(nodes, "copies-nodes")
-    links = _verified(_by_fingerprint(nodes), nodes, texts, shingle, least, "simhash")
-    roots = written(components(links), "copies-roots")
-    met = written(_met(nodes), "copies-met")
-    fits = "least(n - i, star_n - star_i) >= {} * (n + star_n) - 1e-9".format(least / (1 + least))
-    own_root, star_root = (roots.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root")) for c in ("own", "star"))
-    stars = met.filter("node <> star").filter(fits).join(own_root, F.col("node") == F.col("own_node"), "left").join(star_root, F.col("star") == F.col("star_node"), "left")
-    stars = stars.filter("coalesce(own_root, node) <> coalesce(star_root, star)").select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
-    links = links.union(_verified(stars, nodes, texts, shingle, least, "star"))
+    met = written(_met(nodes, least), "copies-met")
+    stars = met.select("node", F.explode("stars").alias("star")).select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
+    links = _verified(_by_fingerprint(nodes).union(stars), nodes, texts, shingle, least, "first")
     roots = components(links)
     placed = met.join(roots.withColumnRenamed("node", "u"), F.col("node") == F.col("u"), "left").select("x", "node", "n", "i", F.coalesce("root", "node").alias("root"))
     placed = written(placed, "copies-placed")
