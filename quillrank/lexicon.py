@@ -137,17 +137,35 @@ DENIED_AFTER = (
     r"^\s*[:—–-]?\s*(?:(?:опыт\w*|практик\w*)[^.!?;]{0,50})?\bнет\b"
 )
 # Direct denials of use, and what keeps a language level from being a claim.
-_NOT_USED_RU = r"не\s+(?:использовал\w*|использую|работал\w*|работаю|знаю|применял\w*|применяю)"
-_NOT_USED_EN = r"(?:(?:have|has|had|did|do)\s+not|haven't|hasn't|hadn't|didn't|don't)"
 NEGATIVE_BEFORE = (
-    rf"(?:{_NOT_USED_RU}|нет\s+опыта(?:\s+работы)?|\bno\s+(?:work\s+)?experience|\bnever\s+(?:used|worked|applied)|"
-    rf"\b{_NOT_USED_EN}\s+(?:use[ds]?|work(?:ed)?|apply|applied))\s*(?:(?:с|в|with|in|of)\s*)?(?:[,/&]|\b(?:and|or|и|или)\b|\s)*$"
+    r"(?:не\s+(?:использовал\w*|использую|работал\w*|работаю|знаю|применял\w*|применяю)|нет\s+опыта(?:\s+работы)?|\bno\s+(?:work\s+)?experience|\bnever\s+(?:used|worked|applied)|"
+    r"\b(?:(?:have|has|had|did|do)\s+not|haven't|hasn't|hadn't|didn't|don't)\s+(?:use[ds]?|work(?:ed)?|apply|applied))\s*(?:(?:с|в|with|in|of)\s*)?(?:[,/&]|\b(?:and|or|и|или)\b|\s)*$"
 )
 NEGATIVE_AFTER = (
-    rf"^\s*[:—–-]?\s*(?:{_NOT_USED_RU}|нет\s+опыта|(?:опыт\w*|практик\w*)[^.!?;]{{0,50}}\bнет\b|\bno\s+experience|\bnever\s+(?:used|worked|applied)|"
+    r"^\s*[:—–-]?\s*(?:не\s+(?:использовал\w*|использую|работал\w*|работаю|знаю|применял\w*|применяю)|нет\s+опыта|(?:опыт\w*|практик\w*)[^.!?;]{0,50}\bнет\b|\bno\s+experience|\bnever\s+(?:used|worked|applied)|"
     r"(?:(?:is|was)\s+(?:a[n]?\s+)?(?:tool|technology|framework|language|database)\s+(?:(?:that|which)\s+)?)?(?:(?:i|we|he|she)\s+)?"
-    rf"(?:{_NOT_USED_EN}|never)\s+(?:use[ds]?|work(?:ed)?|apply|applied))"
+    r"(?:(?:have|has|had|did|do)\s+not|haven't|hasn't|hadn't|didn't|don't|never)\s+(?:use[ds]?|work(?:ed)?|apply|applied))"
 )
+PRACTICE_BEFORE, NONE_AFTER = r"опыт\w*|практик\w*", r"^\s*[:—–-]?\s*нет\b"
+# What joins the names of a list; verbs that a comma closes off from what follows.
+LIST_END, LIST_BEGIN = r"(?:\s|[,/&]|\b(?:and|or|и|или)\b)+$", r"^(?:\s|[,/&]|\b(?:and|or|и|или)\b)+"
+CLOSED_BY_COMMA = r"(?:не знаю|не работал|не использовал|изучаю|осваиваю|never used|no experience)\s*,\s*$"
+# Signs that a duration is of a whole career, before and after it; how many characters of either side count,
+# and how far a role may stand from the duration it has.
+OVERALL_BEFORE = r"(?:общ(?:ий|его)\s+(?:опыт|стаж)|(?:total|overall)\s+(?:work\s+)?experience)\s*[:—–-]?\s*$"
+OVERALL_AFTER = r"^\s*(?:(?:of\s+)?(?:total|overall)\b|(?:of\s+)?experience\s*,?\s*including|(?:общего\s+)?стажа\s*,?\s*из них)"
+TOTAL_BEFORE = r"(?:total|общий|опыт работы|work experience)\s*[:—–-]?\s*$"
+SIDE_BEFORE, SIDE_AFTER, ROLE_REACH, LEVEL_REACH = 45, 55, 60, 80
+ROLE_NOUN = r"(?:\s+(?:developer|engineer|разработчик|инженер))?"
+MONTHS = r"months?|месяц"
+# How a vacancy bounds the years it asks for.
+EXPERIENCE_MARKS = {
+    "free": r"нет опыта|без опыта|no experience",
+    "at_most": r"\bдо\s+\d|\bup\s+to\b|\bat\s+most\b|не\s+более",
+    "at_least": r"\bот\s+\d|\bfrom\s+\d|\bat\s+least\b|не\s+менее",
+    "years": r"\byears?\b|\bлет\b|\bгод\w*",
+    "months": r"months?|месяц",
+}
 LANGUAGE_WISH = r"\b(?:want|hope|plan|aim)\s+to\b|\btarget\b|\bgoal\b|\baspir\w*|\b(?:learning|studying)\b|хочу|планирую|намерен|изучаю|осваиваю|\bцель\b|целев\w*|желаем\w*"
 LANGUAGE_DENIAL = r"не\s+(?:владею|знаю|говорю|достиг\w*)|\b(?:cannot|can't|don't|do not)\s+(?:speak|know|use)\b|\b(?:no|without)\s+(?:knowledge|proficiency)\b"
 # Where a text falls into statements; lines that say nothing of a profession.
