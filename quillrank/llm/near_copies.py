@@ -241,8 +241,13 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
     placed = written(placed, "copies-placed")
     split = placed.groupBy("x").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select(F.col("x").alias("y"))
     rest = _across(placed.join(split, F.col("x") == F.col("y"), "left_semi"), least)
-    links = links.union(_verified(rest, nodes, texts, shingle, least, "rest"))
-    named = nodes.join(components(links).withColumnRenamed("node", "u"), F.col("node") == F.col("u"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    rest = _verified(rest, nodes, texts, shingle, least, "rest")
+    # what the rest links are whole components: only their roots are joined further
+    of = [roots.select(F.col("node").alias(f"u{c}"), F.col("root").alias(f"r{c}")) for c in "ab"]
+    between = rest.join(of[0], F.col("a") == F.col("ua"), "left").join(of[1], F.col("b") == F.col("ub"), "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    tops = components(between).select(F.col("node").alias("v"), F.col("root").alias("top"))
+    named = nodes.join(roots.withColumnRenamed("node", "u"), F.col("node") == F.col("u"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = named.join(tops, F.col("root") == F.col("v"), "left").select("node", "least", F.coalesce("top", "root").alias("root"))
     firsts = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     named = named.join(firsts, F.col("root") == F.col("r")).select(F.col("node").alias("u"), "component_id")
     return own.select("doc_id", "node").join(named, F.col("node") == F.col("u")).select("doc_id", "component_id")
