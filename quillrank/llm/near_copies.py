@@ -31,6 +31,9 @@ from .storage import bounded_batches, written
 SHINGLE, LEAST = 5, 0.8
 SAMPLE, OFTEN = 10_000, 200_000
 TILE = 1024
+#: The most cells of the parities that go with a text to each of its shingles.
+CELLS = 2048
+AT_ONCE = 1 << 16
 STARS = 4
 
 
@@ -57,12 +60,15 @@ def _lists(doc: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def parities(doc: np.ndarray, grams: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """For each text a bit for every cell of its hashes, of 64 cells or the power of two from its size n on: whether the cell holds an odd number.
+def parities(doc: np.ndarray, grams: np.ndarray, n: np.ndarray, most: int | None = None) -> list[bytes]:
+    """For each text a bit for every cell of its hashes: whether the cell holds an odd number.
 
+    There are 64 cells or the power of two from its size n on; with ``most``, four times as many, but no more than that.
     A bit in which two sets differ is at least one shingle that only one of them has.
     """
     cells = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    if most is not None:
+        cells = np.minimum(4 * cells, most)
     at = np.concatenate([[0], np.cumsum(cells)])
     odd = (np.bincount(at[doc] + (grams & (cells[doc] - 1).astype(tx.U)).astype(np.int64), minlength=at[-1]) & 1).astype(np.uint8)
     bits = np.packbits(odd).tobytes()
@@ -94,7 +100,7 @@ def _often(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scanned(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """``doc_id, rid, node, n, prefix, bits, fp`` for each text: node stands for its set, n is its size, bits are its parities, fp its fingerprint."""
+    """``doc_id, rid, node, n, prefix, bits, few, fp`` for each text: node stands for its set, n is its size, bits are its parities, few those of at most CELLS cells, fp its fingerprint."""
     known, times = _often(texts, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +121,9 @@ def _scanned(texts: DataFrame, shingle: int, least: float) -> DataFrame:
                 place = np.arange(len(doc)) - first[doc]
                 head = place < (n - np.ceil(least * n - 1e-9).astype(np.int64) + 1)[doc]
                 lists = _lists(doc[head], grams[order][head], b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), lists, pa.array(parities(doc, grams, n), pa.binary()), pa.array(fingerprints(*part, shingle).view(np.int64))], ["doc_id", "rid", "node", "n", "prefix", "bits", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), lists, pa.array(parities(doc, grams, n), pa.binary()), pa.array(parities(doc, grams, n, CELLS), pa.binary()), pa.array(fingerprints(*part, shingle).view(np.int64))], ["doc_id", "rid", "node", "n", "prefix", "bits", "few", "fp"])
 
-    return texts.select("doc_id", "rid", "text").mapInArrow(run, "doc_id bigint, rid bigint, node bigint, n int, prefix array<bigint>, bits binary, fp bigint")
+    return texts.select("doc_id", "rid", "text").mapInArrow(run, "doc_id bigint, rid bigint, node bigint, n int, prefix array<bigint>, bits binary, few binary, fp bigint")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -160,24 +166,43 @@ def _met(nodes: DataFrame, least: float) -> DataFrame:
     return rows.repartition("x").sortWithinPartitions("x", "node").mapInArrow(run, "x bigint, node bigint, n int, i int, stars array<bigint>")
 
 
+def _near(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the parities x[a] and y[b], of which y's have as many cells as x's or a multiple, differ in at most so many bits."""
+    y = np.bitwise_xor.reduce(y.reshape(len(y), -1, x.shape[1]), axis=1)
+    out = np.zeros(len(a), dtype=bool)
+    for i in range(0, len(a), AT_ONCE):
+        p = slice(i, i + AT_ONCE)
+        out[p] = np.bitwise_count(x[a[p]] ^ y[b[p]]).sum(axis=1) <= most[p]
+    return out
+
+
 def _across(rows: DataFrame, least: float) -> DataFrame:
-    """``a, b``: the pairs of nodes of a shingle that lie in different components and can be similar."""
+    """``a, b``: the pairs of nodes of a shingle that lie in different components and can be similar by size, place and parities.
+
+    Tiles hold texts of equally many cells, in order of their sizes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, node, n, i, root in _groups(batches):
+        for x, node, n, i, root, few in _groups(batches):
             cuts = np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x)).tolist()
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 order = lo + np.argsort(n[lo:hi], kind="stable")
-                g, m, at, r = node[order], n[order].astype(np.int64), i[order].astype(np.int64), root[order]
-                for p in range(0, len(g), TILE):
-                    for q in range(p, len(g), TILE):
-                        u, v = slice(p, p + TILE), slice(q, q + TILE)
-                        if m[u][-1] < least * m[q] - 1e-9:
+                g, m, at, r, bits = node[order], n[order].astype(np.int64), i[order].astype(np.int64), root[order], few[order]
+                width = np.fromiter(map(len, bits), np.int64, len(bits))
+                edges = np.append(np.flatnonzero(np.append(True, width[1:] != width[:-1])), len(g)).tolist()
+                tiles = [slice(p, min(p + TILE, end)) for start, end in zip(edges[:-1], edges[1:], strict=True) for p in range(start, end, TILE)]
+                packed = [np.frombuffer(b"".join(bits[t]), "<u8").reshape(t.stop - t.start, -1) for t in tiles]
+                for p, u in enumerate(tiles):
+                    for q in range(p, len(tiles)):
+                        v = tiles[q]
+                        if m[u][-1] < least * m[v.start] - 1e-9:
                             break
                         hit = (r[u][:, None] != r[v][None, :]) & _fits(m[u][:, None], at[u][:, None], m[v][None, :], at[v][None, :], least)
                         a, b = np.nonzero(hit)
                         if p == q:
                             a, b = a[a < b], b[a < b]
+                        ok = _near(packed[p], packed[q], a, b, (1 - least) / (1 + least) * (m[u][a] + m[v][b]) + 1e-6)
+                        a, b = a[ok], b[ok]
                         if len(a):
                             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(g[u][a], g[v][b])), pa.array(np.maximum(g[u][a], g[v][b]))], ["a", "b"])
 
@@ -231,7 +256,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
     texts = texts.withColumn("rid", F.xxhash64("text"))
     own = written(_scanned(texts, shingle, least), "copies")
     # equal sets have equal sizes, prefixes and parities: those of any of its texts
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix", "fp")])
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), *[F.first(c).alias(c) for c in ("n", "bits", "few", "prefix", "fp")])
     nodes = written(nodes, "copies-nodes")
     met = written(_met(nodes, least), "copies-met")
     stars = met.select("node", F.explode("stars").alias("star")).select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
@@ -240,7 +265,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
     placed = met.join(roots.withColumnRenamed("node", "u"), F.col("node") == F.col("u"), "left").select("x", "node", "n", "i", F.coalesce("root", "node").alias("root"))
     placed = written(placed, "copies-placed")
     split = placed.groupBy("x").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select(F.col("x").alias("y"))
-    rest = _across(placed.join(split, F.col("x") == F.col("y"), "left_semi"), least)
+    placed = placed.join(split, F.col("x") == F.col("y"), "left_semi").join(nodes.select(F.col("node").alias("u"), "few"), F.col("node") == F.col("u"))
+    rest = _across(placed.select("x", "node", "n", "i", "root", "few"), least)
     rest = _verified(rest, nodes, texts, shingle, least, "rest")
     # what the rest links are whole components: only their roots are joined further
     of = [roots.select(F.col("node").alias(f"u{c}"), F.col("root").alias(f"r{c}")) for c in "ab"]
