@@ -32,7 +32,7 @@ SHINGLE, LEAST = 5, 0.8
 SAMPLE, OFTEN = 10_000, 200_000
 TILE = 1024
 #: The most cells of the parities that go with a text to each of its shingles.
-CELLS = 2048
+CELLS = 512
 AT_ONCE = 1 << 16
 STARS = 4
 
