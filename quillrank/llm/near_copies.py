@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .components import components
 from .simhash import _single_spaced, fingerprints, links as close_fingerprints
-from .storage import bounded_batches, written
+from .storage import bounded_batches, clean, mark, written
 
 SHINGLE, LEAST = 5, 0.8
 SAMPLE, OFTEN = 10_000, 200_000
@@ -34,6 +34,8 @@ TILE = 1024
 #: The most cells of the parities that go with a text to each of its shingles.
 CELLS = 512
 AT_ONCE = 1 << 16
+#: 64-bit words of the filter that keeps texts no pair asks for out of the shuffle; a full one lets all through.
+FILTER = 1 << 19
 STARS = 4
 
 
@@ -100,7 +102,7 @@ def _often(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scanned(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """``doc_id, rid, node, n, prefix, bits, few, fp`` for each text: node stands for its set, n is its size, bits are its parities, few those of at most CELLS cells, fp its fingerprint."""
+    """``doc_id, key, node, n, prefix, bits, few, fp`` for each text: node stands for its set, n is its size, bits are its parities, few those of at most CELLS cells, fp its fingerprint."""
     known, times = _often(texts, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +123,9 @@ def _scanned(texts: DataFrame, shingle: int, least: float) -> DataFrame:
                 place = np.arange(len(doc)) - first[doc]
                 head = place < (n - np.ceil(least * n - 1e-9).astype(np.int64) + 1)[doc]
                 lists = _lists(doc[head], grams[order][head], b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), lists, pa.array(parities(doc, grams, n), pa.binary()), pa.array(parities(doc, grams, n, CELLS), pa.binary()), pa.array(fingerprints(*part, shingle).view(np.int64))], ["doc_id", "rid", "node", "n", "prefix", "bits", "few", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), lists, pa.array(parities(doc, grams, n), pa.binary()), pa.array(parities(doc, grams, n, CELLS), pa.binary()), pa.array(fingerprints(*part, shingle).view(np.int64))], ["doc_id", "key", "node", "n", "prefix", "bits", "few", "fp"])
 
-    return texts.select("doc_id", "rid", "text").mapInArrow(run, "doc_id bigint, rid bigint, node bigint, n int, prefix array<bigint>, bits binary, few binary, fp bigint")
+    return texts.select("doc_id", "key", "text").mapInArrow(run, "doc_id bigint, key bigint, node bigint, n int, prefix array<bigint>, bits binary, few binary, fp bigint")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -209,8 +211,29 @@ def _across(rows: DataFrame, least: float) -> DataFrame:
     return rows.repartition("x").sortWithinPartitions("x", "node").mapInArrow(run, "a bigint, b bigint")
 
 
+def _places(key: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two places, word and bit, of each key in a filter."""
+    spread = [tx.mixed(key), tx.mixed(key ^ tx.U(0x632BE59BD9B4E01A))]
+    return [((h >> tx.U(6)) % tx.U(FILTER), h & tx.U(63)) for h in spread]
+
+
+def _filter(asked: DataFrame) -> np.ndarray:
+    """A Bloom filter of the keys k: FILTER words, whatever their number. Words are joined before they reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy().view(tx.U))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([w for w, _ in at]).astype(np.int64)), pa.array(np.concatenate([tx.U(1) << b for _, b in at]).view(np.int64))], ["w", "v"])
+
+    got = asked.select("k").mapInArrow(run, "w bigint, v bigint").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    out = np.zeros(FILTER, tx.U)
+    out[got["w"].to_numpy()] = got["v"].to_numpy().view(tx.U)
+    return out
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, least: float, name: str) -> DataFrame:
-    """Those of the pairs ``a, b`` whose sets are similar."""
+    """Those of the pairs ``a, b`` whose sets are similar. Texts themselves are not shuffled, only the sets of those asked for."""
+    since = mark()
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,20 +244,26 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
 
     pairs = pairs.distinct().join(nodes.select(F.col("node").alias("x"), F.col("n").alias("na"), F.col("bits").alias("ba")), F.col("a") == F.col("x")).join(nodes.select(F.col("node").alias("y"), F.col("n").alias("nb"), F.col("bits").alias("bb")), F.col("b") == F.col("y"))
     pairs = written(pairs.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(possible, "a bigint, b bigint"), f"copies-{name}-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(nodes.select("node", "rid"), F.col("c") == F.col("node")).select("node", F.col("rid").alias("r"))
-    own = texts.select("rid", "text").join(asked, F.col("rid") == F.col("r")).dropDuplicates(["rid"]).select("node", "text")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(nodes.select("node", "key"), F.col("c") == F.col("node")).select("node", F.col("key").alias("k"))
+    asked = written(asked, f"copies-{name}-asked")
+    bits = _filter(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            key = batch.column(0).to_numpy().view(tx.U)
+            batch = batch.filter(pa.array(np.all([bits[w] >> b & tx.U(1) for w, b in _places(key)], axis=0).astype(bool)))
             buf, offsets = tx.flat(batch.column(1))
             for a, b in tx.chunks(offsets):
                 doc, grams = shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(doc, grams, b - a)], ["node", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(doc, grams, b - a)], ["key", "s"])
 
-    sets = written(own.mapInArrow(run, "node bigint, s array<bigint>"), f"copies-{name}-sets")
+    own = texts.select("key", "text").mapInArrow(run, "key bigint, s array<bigint>").join(asked, F.col("key") == F.col("k")).dropDuplicates(["node"])
+    sets = written(own.select("node", "s"), f"copies-{name}-sets")
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("s").alias("sa")), F.col("a") == F.col("x")).join(sets.select(F.col("node").alias("y"), F.col("s").alias("sb")), F.col("b") == F.col("y"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return written(both.filter(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b"), f"copies-{name}-links")
+    links = written(both.filter(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b"), f"copies-{name}-links")
+    clean(since, latest=1)  # but for links
+    return links
 
 
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
@@ -253,10 +282,11 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
     ids take part; component_id is null only where all ids of a component are.
     """
     texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumn("rid", F.xxhash64("text"))
+    # rid tells texts apart, key rows: of many copies of a text one is read again
+    texts = texts.withColumn("rid", F.xxhash64("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     own = written(_scanned(texts, shingle, least), "copies")
     # equal sets have equal sizes, prefixes and parities: those of any of its texts
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), *[F.first(c).alias(c) for c in ("n", "bits", "few", "prefix", "fp")])
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "bits", "few", "prefix", "fp")])
     nodes = written(nodes, "copies-nodes")
     met = written(_met(nodes, least), "copies-met")
     stars = met.select("node", F.explode("stars").alias("star")).select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
