@@ -113,9 +113,56 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import fit
+
+    vectors = table(spark, sf_dir, "embeddings")
+    out = fit(vectors).apply(vectors)
+    return out.select("vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         CASE WHEN coalesce(text, '') = '' THEN CAST([] AS VARCHAR[])
+              ELSE regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') END AS u
+  FROM documents
+), d AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM t
+), p AS (
+  SELECT *, array_to_string(u[1:least(x, y)], '') AS prefix, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS middle,
+         array_to_string(u[greatest(x, y) + 1:n], '') AS suffix
+  FROM d
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_quality_classifier": op6_quality_classifier, "op7_source_mixing": op7_source_mixing, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_toxicity": op10_toxicity}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_quality_classifier": op6_quality_classifier, "op7_source_mixing": op7_source_mixing, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_toxicity": op10_toxicity, "op11_embedding_whitening": op11_embedding_whitening, "op12_jaccard_join": op12_jaccard_join, "op13_fill_in_middle": op13_fill_in_middle}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL, "op9_topk": OP9_SQL}
+    return {"op8_warc": OP8_SQL, "op9_topk": OP9_SQL, "op13_fill_in_middle": OP13_SQL}
