@@ -25,12 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .near_copies import _filter, _lists, _often, _places, shingle_sets
+from .near_copies import _lists, _often, shingle_sets
 from .storage import bounded_batches, clean, mark, written
 
 SHINGLE, NUM, DEN = 3, 9, 10
@@ -40,16 +40,31 @@ BLOCK, CELLS = 512, 512
 LEADERS = 2
 #: The first leaders' answers are kept up to so many times the distance of a link: what is linked to a set near a leader is hardly further from it.
 NEAR = 2
+#: So many shared shingles of their heads are waited for before two sets are looked at, if they must have as many.
+COMMON = 4
+#: 64-bit words of the filter that keeps texts no pair asks for in the scan; a full one lets all through.
+FILTER = 1 << 18
 
 
-def parities(doc: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
-    """For each of n texts whether each of CELLS cells of its hashes holds an odd number, as bytes. Sets differ in at least as many shingles as cells."""
-    odd = np.bincount(doc * CELLS + (grams % tx.U(CELLS)).astype(np.int64), minlength=n * CELLS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, CELLS), axis=1)
+def parities(doc: np.ndarray, grams: np.ndarray, n: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """For each text, of n shingles, whether each cell of its hashes holds an odd number: of CELLS cells, and of as many more as it has shingles.
+
+    Sets differ in at least as many shingles as cells; wide parities folded are those of fewer cells.
+    """
+    cells = np.maximum(CELLS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(cells)])
+    odd = (np.bincount(at[doc] + (grams & (cells[doc] - 1).astype(tx.U)).astype(np.int64), minlength=at[-1]) & 1).astype(np.uint8)
+    wide = np.packbits(odd).tobytes()
+    wide = [wide[a:b] for a, b in zip((at[:-1] // 8).tolist(), (at[1:] // 8).tolist(), strict=True)]
+    return [w if len(w) == CELLS // 8 else _folded(w, CELLS // 8) for w in wide], wide
+
+
+def _folded(bits: bytes, size: int) -> bytes:
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0).tobytes()
 
 
 def _scanned(texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """``doc_id, key, node, n, prefix, bits`` for each text: node stands for its set, n is its size."""
+    """``doc_id, key, node, n, prefix, bits, wide`` for each text: node stands for its set, n is its size."""
     known, times = _often(texts, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,10 +82,10 @@ def _scanned(texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
                     seen = np.where(known[at] == grams, times[at], 0)
                 order = np.lexsort((grams, seen, doc))
                 head = np.arange(len(doc)) - first[doc] < (n - -(-num * n // den) + 1)[doc]
-                bits = pa.array([r.tobytes() for r in parities(doc, grams, b - a)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), _lists(doc[head], grams[order][head], b - a), bits], ["doc_id", "key", "node", "n", "prefix", "bits"])
+                bits, wide = (pa.array(v, pa.binary()) for v in parities(doc, grams, n))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), _lists(doc[head], grams[order][head], b - a), bits, wide], ["doc_id", "key", "node", "n", "prefix", "bits", "wide"])
 
-    return texts.select("doc_id", "key", "text").mapInArrow(run, "doc_id bigint, key bigint, node bigint, n int, prefix array<bigint>, bits binary")
+    return texts.select("doc_id", "key", "text").mapInArrow(run, "doc_id bigint, key bigint, node bigint, n int, prefix array<bigint>, bits binary, wide binary")
 
 
 @dataclass(frozen=True)
@@ -89,7 +104,30 @@ class _Least:
 
     def most(self, both: np.ndarray) -> np.ndarray:
         """How many shingles at most lie in only one of two linked sets."""
-        return both - 2 * -(-self.num * both // (self.num + self.den))
+        return both - 2 * self.overlap(both)
+
+    def overlap(self, both: np.ndarray) -> np.ndarray:
+        """The least overlap of linked sets."""
+        return -(-self.num * both // (self.num + self.den))
+
+    def common(self, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        """How many shingles, or COMMON, the indexed heads of two linked sets share at least: what of the overlap does not fit behind the head of either."""
+        behind = -(-self.num * np.maximum(na, nb) // self.den) - 1
+        return np.clip(self.overlap(na + nb) - behind, 1, COMMON)
+
+
+def _places(key: Column) -> list[tuple[Column, Column]]:
+    """Two places, word and bit, of each key in a filter of FILTER words."""
+    return [(F.pmod(h, F.lit(FILTER)).cast("int"), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")) for h in (F.xxhash64(key, F.lit(i)) for i in (1, 2))]
+
+
+def _filter(keys: DataFrame, key: str) -> np.ndarray:
+    """A Bloom filter of the keys; words are joined before they reach the driver."""
+    words = keys.select(F.explode(F.array(*[F.struct(w.alias("w"), F.expr("1L").alias("one"), b.alias("b")) for w, b in _places(F.col(key))])).alias("e"))
+    got = words.groupBy("e.w").agg(F.bit_or(F.expr("shiftleft(e.one, e.b)")).alias("v")).toArrow()
+    out = np.zeros(FILTER, np.int64)
+    out[got["w"].to_numpy()] = got["v"].to_numpy()
+    return out
 
 
 class _Join:
@@ -101,14 +139,19 @@ class _Join:
     def possible(self, pairs: DataFrame, times: int) -> DataFrame:
         """The pairs (a, b, ...) whose parities allow a distance of ``times`` that of a link, with their sizes na and nb."""
         names, least = pairs.columns, self.least
-        of = [self.nodes.select(F.col("node").alias(f"x{c}"), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "ab"]
+        of = [self.nodes.select(F.col("node").alias(f"x{c}"), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"b{c}")) for c in "ab"]
         both = pairs.join(of[0], F.col("a") == F.col("xa")).join(of[1], F.col("b") == F.col("xb")).select(*names, "na", "nb", "ba", "bb")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (-4, -3))
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (-2, -1))
-                ok = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= times * least.most(na + nb)
+                bits = list(zip(batch.column(-2).to_pylist(), batch.column(-1).to_pylist(), strict=True))
+                size = [min(len(x), len(y)) for x, y in bits]
+                whole = [[v if len(v) == w else _folded(v, w) for v in pair] for pair, w in zip(bits, size, strict=True)]
+                x, y = (np.frombuffer(b"".join(v), np.uint64) for v in zip(*whole, strict=True)) if whole else (np.zeros(0, np.uint64),) * 2
+                begin = np.cumsum([0, *size])[:-1] // 8
+                apart = np.add.reduceat(np.bitwise_count(x ^ y).astype(np.int64), begin) if whole else np.zeros(0, np.int64)
+                ok = apart <= times * least.most(na + nb)
                 yield batch.select(range(batch.num_columns - 2)).filter(pa.array(ok))
 
         schema = ", ".join(f"{c} {t}" for c, t in [*pairs.dtypes, ("na", "int"), ("nb", "int")])
@@ -117,18 +160,20 @@ class _Join:
     def sets(self, asked: DataFrame, name: str) -> DataFrame:
         """``node, s``: the sets of the nodes asked for (c), from the text that stands for each. Other texts do not leave the scan."""
         keys = written(asked.distinct().join(self.nodes.select("node", "key"), F.col("c") == F.col("node")).select("node", F.col("key").alias("k")), f"jaccard-{name}-asked")
-        bits, shingle = _filter(keys), self.shingle
+        spark, shingle = keys.sparkSession, self.shingle
+        # a filter of one row, of the same size whatever is asked for, lets few other texts out of the scan; the join is exact
+        bits = F.broadcast(spark.createDataFrame(pa.table({"filter": pa.array([_filter(keys, "k")], pa.list_(pa.int64()))})))
+        there = [F.getbit(F.element_at("filter", w + 1), b) == 1 for w, b in _places(F.col("key"))]
+        asked_for = self.texts.select("key", "text").join(bits, there[0] & there[1]).select("key", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                key = batch.column(0).to_numpy().view(tx.U)
-                batch = batch.filter(pa.array(np.all([bits[w] >> b & tx.U(1) for w, b in _places(key)], axis=0).astype(bool)))
                 buf, offsets = tx.flat(batch.column(1))
                 for a, b in tx.chunks(offsets):
                     doc, grams = shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(doc, grams, b - a)], ["key", "s"])
 
-        found = self.texts.select("key", "text").mapInArrow(run, "key bigint, s array<bigint>").join(keys, F.col("key") == F.col("k"))
+        found = asked_for.mapInArrow(run, "key bigint, s array<bigint>").join(keys, F.col("key") == F.col("k"))
         return written(found.dropDuplicates(["node"]).select("node", "s"), f"jaccard-{name}-sets")
 
     def answers(self, pairs: DataFrame, name: str, times: int = 1) -> DataFrame:
@@ -204,7 +249,10 @@ class _Join:
         return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "jaccard-blocks")
 
     def met_again(self, blocks: DataFrame) -> DataFrame:
-        """``a, b, lead, sure``: pairs of different components that sizes, places, parities and the leader's answers leave; sure ones are links."""
+        """``a, b, lead, sure, need``: for each list, the pairs of different components that sizes, places, parities and the leader's answers leave.
+
+        Sure ones are links; others can be only if ``need`` lists have them.
+        """
         names = ["nodes", "ns", "places", "roots", "commons", "bits"]
         own = blocks.filter("tag is null").select("lead", "lead_n", *[F.col(c).alias(f"a_{c}") for c in names], *[F.lit(None).cast(t).alias(f"b_{c}") for c, t in blocks.select(*names).dtypes])
         # blocks of the same single root are never compared, so lists are joined by what roots their blocks have
@@ -215,7 +263,7 @@ class _Join:
         a = blocks.select(F.col("x").alias("ax"), F.col("tag").alias("atag"), F.col("first").alias("afirst"), F.col("n_low").alias("alow"), F.col("n_high").alias("ahigh"), F.col("rest").alias("arest"), "lead", "lead_n", *[F.col(c).alias(f"a_{c}") for c in names])
         b = blocks.select(F.col("x").alias("bx"), F.col("tag").alias("btag"), F.col("first").alias("bfirst"), F.col("n_low").alias("blow"), F.col("rest").alias("brest"), *[F.col(c).alias(f"b_{c}") for c in names])
         before = F.struct("alow", "afirst") < F.struct("blow", "bfirst")
-        close = before & self.least.sizes(F.col("ahigh"), F.col("blow")) & self.least.reached(F.least("arest", "brest"), F.col("alow") + F.col("blow"))
+        close = before & self.least.sizes(F.col("ahigh"), F.col("blow")) & self.least.reached(F.least("arest", "brest") + (COMMON - 1), F.col("alow") + F.col("blow"))
         cross = met.join(a, (F.col("x") == F.col("ax")) & F.col("p").eqNullSafe(F.col("atag"))).join(b, (F.col("x") == F.col("bx")) & F.col("q").eqNullSafe(F.col("btag")) & close)
         pairs = own.unionByName(cross.select(*own.columns)).repartition(F.xxhash64("a_nodes", "b_nodes"))
         least = self.least
@@ -237,7 +285,8 @@ class _Join:
                         v = sides[-1]
                         left, right = u[1][:, None] - u[2][:, None], v[1][None, :] - v[2][None, :]
                         size = u[1][:, None] + v[1][None, :]
-                        hit = (u[3][:, None] != v[3][None, :]) & least.reached(np.minimum(left, right), size)
+                        need = least.common(u[1][:, None], v[1][None, :])
+                        hit = (u[3][:, None] != v[3][None, :]) & least.reached(np.minimum(left, right) + need - 1, size)
                         if len(sides) == 1:
                             hit &= np.arange(lo, lo + len(u[0]))[:, None] < np.arange(len(v[0]))[None, :]
                         p, q = np.nonzero(hit)
@@ -248,15 +297,15 @@ class _Join:
                         ok = sure | (np.bitwise_count(u[5][p] ^ v[5][q]).sum(axis=1, dtype=np.int64) <= most) & ~(known & (np.abs(da - db) > most))
                         if ok.any():
                             a, b = u[0][p][ok], v[0][q][ok]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), lead or 0), mask=~known[ok]), pa.array(sure[ok])], ["a", "b", "lead", "sure"])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), lead or 0), mask=~known[ok]), pa.array(sure[ok]), pa.array(need[p, q][ok].astype(np.int32))], ["a", "b", "lead", "sure", "need"])
 
-        return pairs.mapInArrow(run, "a bigint, b bigint, lead bigint, sure boolean")
+        return pairs.mapInArrow(run, "a bigint, b bigint, lead bigint, sure boolean, need int")
 
     def derived(self, rest: DataFrame, answers: DataFrame) -> DataFrame:
-        """``a, b``: the links among ``rest`` (a, b, lead, sure)."""
+        """``a, b``: the links among ``rest`` (of :meth:`met_again`)."""
         since = mark()
         best = F.min(F.struct((~F.col("sure")).alias("open"), F.col("lead").isNull().alias("alone"), "lead")).alias("e")
-        rest = written(rest.groupBy("a", "b").agg(best).select("a", "b", "e.lead", (~F.col("e.open")).alias("sure")), "jaccard-rest")
+        rest = written(rest.groupBy("a", "b").agg(best, F.count(F.lit(1)).alias("lists"), F.max("need").alias("need")).filter("not e.open or lists >= need").select("a", "b", "e.lead", (~F.col("e.open")).alias("sure")), "jaccard-rest")
         linked = answers.filter("link").select(F.col("a").alias("l"), F.col("b").alias("v"), F.col("less").alias("lacks"), F.col("more").alias("has"), F.col("nb").alias("nv"))
         # the side that is linked to the leader is told by what it has and lacks, the other by its set
         sides = F.array(F.struct(F.col("a").alias("b"), F.col("b").alias("c")), F.struct(F.col("b").alias("b"), F.col("a").alias("c")))
@@ -290,12 +339,12 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     texts = texts.withColumn("rid", F.xxhash64("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     own = written(_scanned(texts, shingle, num, den), "jaccard")
     # equal sets have equal sizes, prefixes and parities: those of any of its texts
-    nodes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")])
+    nodes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "bits", "wide", "prefix")])
     nodes = written(nodes, "jaccard-nodes")
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("i", "x")).select("x", "node", "n", "i")
     several = written(rows.groupBy("x").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("x").alias("y")), "jaccard-several")
     met = written(rows.join(several, F.col("x") == F.col("y"), "left_semi"), "jaccard-lists")
-    join = _Join(nodes.select("node", "n", "key", "bits"), texts, shingle, _Least(num, den))
+    join = _Join(nodes.select("node", "n", "key", "wide"), texts, shingle, _Least(num, den))
 
     leads = written(join.leaders(met, None), "jaccard-leaders")
     answers = join.answers(join.led(met, leads, None), "lead1", NEAR)
