@@ -15,6 +15,8 @@ Random numbers are hashes of the pair's ids and the seed, so reruns agree.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from pyspark.sql.window import Window
 from .storage import written
 from .text import WORD_SQL
 
-FAN, EACH = 32, 4
+FAN, BUCKETS = 32, 1024
 WEIGHTS = (5, 2, 1)
 MOST = 3
 _EPS = 1e-9
@@ -100,25 +102,35 @@ def _fold(items: Column, seed: int) -> Column:
 def _settled(done: DataFrame, short: DataFrame, seed: int) -> DataFrame:
     """``f_source, f_id, f_size, flip``: documents raised (1) or lowered (-1) by a copy, so that a source's words are no longer ``short`` (s, short).
 
-    Of every power of two of sizes EACH documents that can move the right way are offered, so a source offers a few
-    hundred at most; they are taken from the largest on while what is short is as much as they are.
+    Documents that can move the right way are taken a power of two of sizes after another, the largest that are not
+    above the shortage first: of each the longest run, in a random order, that what is still short holds. What a class leaves is less than one of its documents, and goes to
+    the next, so the rest is less than the smallest documents there are, or all that can move have. Only documents within the shortage, which is less than one large
+    document, are put in order: a class is dealt into buckets first, and whole buckets are left out by their sums.
     """
     d = done.select("source", "d.doc_id", "d.size", "d.m", (F.col("d.ones") + F.col("d.x").cast("long")).alias("raised"))
     able = F.when(F.col("short") > 0, F.col("raised") < F.col("m")).otherwise(F.col("raised") > 0)
     d = d.filter("size > 0").join(short, F.col("source").eqNullSafe(F.col("s"))).filter(able & (F.col("size") <= F.abs("short")))
-    order = F.row_number().over(Window.partitionBy("source", F.floor(F.log2("size"))).orderBy(F.xxhash64("doc_id", "size", F.lit(seed)), "doc_id", "size"))
-    offered = d.withColumn("turn", order).filter(F.col("turn") <= EACH)
-    item = F.struct("size", "doc_id")
-    per = offered.groupBy("source").agg(F.first("short").alias("short"), F.sort_array(F.collect_list(item), asc=False).alias("items"))
-    start = F.struct(F.abs("short").alias("left"), F.array().cast("array<struct<size:bigint,doc_id:bigint>>").alias("taken"))
+    d = d.select("source", "doc_id", "size", "short", F.floor(F.log2("size")).cast("int").alias("class"), F.xxhash64("doc_id", "size", F.lit(seed)).alias("h"))
+    classes = d.groupBy("source", "class").agg(F.greatest(F.lit(1), F.least(F.lit(BUCKETS), F.floor(F.sum("size") / (4 * F.abs(F.first("short")))))).alias("buckets"))
+    same = lambda *names: reduce(and_, [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in names])
+    other = lambda t, *names: t.withColumnsRenamed({c: f"o_{c}" for c in names})
+    d = d.join(other(classes, "source", "class"), same("source", "class")).withColumn("bucket", F.pmod("h", "buckets")).drop("o_source", "o_class")
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source", "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = d.groupBy("source", "class", "bucket").agg(F.sum("size").alias("words"), F.abs(F.first("short")).alias("most")).withColumn("before", before).filter("before <= most").select("source", "class", "bucket", "before")
+    run = F.sum("size").over(Window.partitionBy("source", "class", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    offered = d.join(other(dealt, "source", "class", "bucket"), same("source", "class", "bucket")).drop("o_source", "o_class", "o_bucket").withColumn("run", run).filter(F.col("run") <= F.abs("short"))
+    # a class is now a list of at most as many sums as the shortage has words of its size
+    per = offered.groupBy("source", "class").agg(F.first("short").alias("short"), F.collect_set("run").alias("runs"))
+    per = per.groupBy("source").agg(F.first("short").alias("short"), F.sort_array(F.collect_list(F.struct("class", "runs")), asc=False).alias("classes"))
+    start = F.struct(F.abs("short").alias("left"), F.array().cast("array<struct<class:int,until:bigint>>").alias("cuts"))
 
     def step(acc: Column, e: Column) -> Column:
-        more = F.struct((acc["left"] - e["size"]).alias("left"), F.concat(acc["taken"], F.array(e)).alias("taken"))
-        return F.when(e["size"] <= acc["left"], more).otherwise(acc)
+        until = F.coalesce(F.array_max(F.filter(e["runs"], lambda r: r <= acc["left"])), F.lit(0).cast("long"))
+        return _with(until, lambda u: F.struct((acc["left"] - u).alias("left"), F.concat(acc["cuts"], F.array(F.struct(e["class"].alias("class"), u.alias("until")))).alias("cuts")))
 
-    flip = F.when(F.col("short") > 0, 1).otherwise(-1)
-    taken = per.select(F.col("source").alias("f_source"), flip.alias("flip"), F.explode(F.aggregate("items", start, step)["taken"]).alias("e"))
-    return taken.select("f_source", F.col("e.doc_id").alias("f_id"), F.col("e.size").alias("f_size"), "flip")
+    cuts = per.select("source", F.explode(F.aggregate("classes", start, step)["cuts"]).alias("e")).select(F.col("source").alias("o_source"), F.col("e.class").alias("o_class"), F.col("e.until").alias("until"))
+    taken = offered.join(cuts, same("source", "class")).filter("run <= until")
+    return taken.select(F.col("source").alias("f_source"), F.col("doc_id").alias("f_id"), F.col("size").alias("f_size"), F.when(F.col("short") > 0, 1).otherwise(-1).alias("flip"))
 
 
 def mix_sources(docs: DataFrame, size: Column, weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: int = MOST, seed: int = 42) -> DataFrame:
