@@ -29,10 +29,15 @@ _OUT = "query_id bigint, vec_id bigint, score bigint"
 
 
 def quantised(column: str = "embedding", scale: float = SCALE) -> Column:
-    """floor(scale * x) of each component, x as double; null for vectors that are null, empty or hold a null or non-finite component."""
+    """floor(scale * x) of each component, x as double; null for vectors that are null, empty or hold a null or non-finite component.
+
+    A finite component that a bigint cannot hold is an error.
+    """
     v = F.transform(F.col(column), lambda x: x.cast("double"))
+    far = F.exists(v, lambda x: (F.abs(x * scale) >= 2.0**63) & (F.abs(x) < float("inf")))
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~odd & (F.size(v) > 0), F.transform(v, lambda x: F.floor(x * scale).cast("long")))
+    whole = F.when(far, F.raise_error(F.lit("a component is too large to be quantised")).cast("array<bigint>")).otherwise(F.transform(v, lambda x: F.floor(x * scale).cast("long")))
+    return F.when(~odd & (F.size(v) > 0), whole)
 
 
 def threshold_topk(x: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[np.ndarray]:
@@ -42,7 +47,7 @@ def threshold_topk(x: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | Non
     2 ** 53 the bound would not be exact: nothing is left out then.
     """
     n, d = x.shape
-    if not _exact(x, q):
+    if not _below(x, q, 53):
         return [np.arange(n)] * len(q)
     order = np.argsort(x, axis=0, kind="stable")
     lists = np.take_along_axis(x, order, axis=0)
@@ -81,10 +86,20 @@ def threshold_topk(x: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | Non
     return [np.concatenate(f) if f else np.zeros(0, np.int64) if s else np.arange(n) for f, s in zip(found, some.tolist(), strict=True)]
 
 
-def _exact(x: np.ndarray, q: np.ndarray) -> bool:
-    """Whether every product and sum of x and q is below 2 ** 53, so that float64 holds it."""
+def _below(x: np.ndarray, q: np.ndarray, bits: int) -> bool:
+    """Whether every product and sum of x and q is below 2 ** bits: 53 for float64 to hold it, 63 for int64."""
     most = [max(abs(int(v.max(initial=0))), abs(int(v.min(initial=0)))) for v in (x, q)]
-    return most[0] * most[1] * x.shape[1] < 1 << 53
+    return most[0] * most[1] * x.shape[-1] < 1 << bits
+
+
+def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The products of the rows of x with q; an error where one does not fit into a bigint."""
+    if _below(x, q, 63):
+        return x @ q
+    exact = x.astype(object) @ q.astype(object)
+    if any(abs(s) >= 1 << 63 for s in exact.tolist()):
+        raise OverflowError("a score does not fit into a bigint")
+    return exact.astype(np.int64)
 
 
 def _packed(vectors: DataFrame, size: int, length: int, name: str) -> tuple[DataFrame, int]:
@@ -108,14 +123,14 @@ def topk(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best candidates of each query.
 
     ``vectors``: ``vec_id, v`` (array of bigint; rows with a null of either take no part; a vector shorter than others
-    counts as filled up with zeros; scores are bigint and wrap around as Spark's sums of bigint do). ``queries`` marks the rows that are queries; a candidate is every row whose id is not the
+    counts as filled up with zeros; a score beyond a bigint is an error). ``queries`` marks the rows that are queries; a candidate is every row whose id is not the
     query's own. Ties go to the smaller vec_id. Rows repeated under one id are candidates each, and one
-    query. Without queries or candidates there are no rows.
+    query, by the least of their vectors. Without queries or candidates there are no rows.
     """
     own = vectors.filter("vec_id is not null and v is not null")
     length = own.agg(F.max(F.size("v"))).first()[0] or 0
     candidates, blocks = _packed(own, BLOCK, length, "topk-candidates")
-    asked, _ = _packed(own.filter(queries).dropDuplicates(["vec_id"]), QUERIES, length, "topk-queries")
+    asked, _ = _packed(own.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v")), QUERIES, length, "topk-queries")
     every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
     both = asked.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("rows").alias("q_rows"), F.explode(every).alias("b"))
     pairs = candidates.join(both, F.col("block") == F.col("b")).select("ids", "data", "rows", "q_ids", "q_data", "q_rows").repartition(F.xxhash64("ids", "q_ids"))
@@ -134,7 +149,7 @@ def topk(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
                     # a query may meet itself: one more than k
                     for i, found in enumerate(threshold_topk(x, part, k + 1, floor[lo : lo + 256]), lo):
                         found = np.unique(found)
-                        score = x[found] @ q[i]
+                        score = _scores(x[found], q[i])
                         if len(found) > k:
                             floor[i] = max(floor[i], np.nextafter(float(np.partition(score, -k - 1)[-k - 1]), -np.inf))
                         other = ids[found] != q_ids[i]

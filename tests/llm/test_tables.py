@@ -69,7 +69,7 @@ def test_rows_keep_columns_of_any_name(make_docs):
         docs = docs.withColumn(c, F.concat(F.lit(f"{c}:"), F.coalesce("text", F.lit("-"))))
     out = mixing.repeated_rows(docs, mixing.mix_sources(docs, mixing.word_count("text"), most=1), mixing.word_count("text"))
     rows = out.collect()
-    assert out.columns == docs.columns and len(rows) == 4 and all(r["k"] == f"k:{r.text}" and r["k_id"] == f"k_id:{r.text}" and r["a b.c"] == f"a b.c:{r.text}" for r in rows)
+    assert out.columns == docs.columns and len(rows) == 5 and all(r[c] == f"{c}:{r.text or '-'}" for r in rows for c in ("k", "k_id", "a b.c"))  # an empty text takes its source's whole part, one copy
 
 
 def test_mixing_is_fair(make_docs):
@@ -161,9 +161,24 @@ def test_a_query_of_zeros_meets_all(spark):
 
 
 def test_topk_of_large_components(spark):
-    rows = [(50, [1e7, 1.0]), (51, [1e7, 2.0]), (52, [1e7 + 1, -5.0]), (53, [3e7, 0.0]), (54, [-1e7, 9.0]), (55, [1e7, 1.0 + 1 / 256]), (56, [1.0, 2.0]), (57, [1e7, 1.0])]
+    rows = [(50, [1e7, 1.0]), (51, [1e7, 2.0]), (52, [1e7 + 1, -5.0]), (53, [1.4e7, 0.0]), (54, [-1e7, 9.0]), (55, [1e7, 1.0 + 1 / 256]), (56, [1.0, 2.0]), (57, [1e7, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = topk.topk(df.select("vec_id", topk.quantised().alias("v")), F.col("vec_id") == 50).collect()
     ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
     want = sorted((-sum(a * b for a, b in zip(ints[50], v, strict=True)), i) for i, v in ints.items() if i != 50)[:5]
+    assert 1 << 53 < -want[0][0] < 1 << 63
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
+@pytest.mark.parametrize("large, says", [(3e7, "bigint"), (1e300, "too large")])
+def test_topk_refuses_scores_that_do_not_fit(spark, large, says):
+    df = spark.createDataFrame([(50, [1e7, 1.0]), (51, [large, 0.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match=says):
+        topk.topk(df.select("vec_id", topk.quantised().alias("v")), F.col("vec_id") == 50).collect()
+
+
+def test_topk_of_a_repeated_query(spark):
+    rows = [(50, [1.0, 0.0]), (50, [-1.0, 0.0]), (51, [2.0, 0.0]), (52, [-3.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = topk.topk(df.select("vec_id", topk.quantised().alias("v")), F.col("vec_id") == 50).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 52, 3 * 65536), (2, 51, -2 * 65536)]
