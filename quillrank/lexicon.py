@@ -219,6 +219,18 @@ STOP_WORDS = (
     "және мен үшін бұл бар жұмыс жұмысқа тәжірибе талаптар"
 ).split()
 
+# Profile families of vacancy titles, the first whose pattern is found; and how many of 50 reviewed pairs have each label.
+PROFILE_FAMILIES = (
+    ("data-engineering", r"data.?engineer|инженер.*данн|etl|dwh"), ("data-science", r"data.?scien|machine.?learning|\bml\b|искусствен"),
+    ("data-analysis", r"data.?anal|аналитик|business.?intelligence|\bbi\b"), ("fullstack", r"full.?stack|фулст"),
+    ("frontend", r"front|react|angular|vue|версталь"), ("quality", r"\bqa\b|тестир|quality|test.?engineer"),
+    ("infrastructure", r"devops|sre|системн|админ|network|cloud|сетев"), ("security", r"security|безопас|кибер"),
+    ("mobile", r"mobile|android|ios|мобиль"), ("design", r"design|дизайн|ux|ui"),
+    ("backend", r"back|python|java|php|c#|\.net|разработ|developer|programmer"),
+)
+OTHER_FAMILY = "other-it"
+REVIEW_WEIGHTS = {0: 1, 1: 21, 2: 21, 3: 7}
+
 SKILLS: Lexicon = {
     "python": [], "java": [], "javascript": ["js"], "typescript": ["ts"], "c++": ["cpp"], "c#": ["c sharp"], "go": ["golang"],
     "sql": [], "postgresql": ["postgres"], "mysql": [], "mongodb": ["mongo"], "redis": [], "docker": [], "kubernetes": ["k8s"],

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import random
-from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import compact
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root for each of ``nodes`` (node), root being the least node reached over ``edges`` (a, b).
+    """node, root for each of ``nodes`` (node), root being the least node reached over ``edges`` (a, b) (J23); an error if ``rounds`` are too few.
 
     Each round takes the least root of the neighbours and then that root's root; checkpoint() cuts the lineage in the
     session's checkpoint folder every round, so an executor that is lost costs one round at most.
@@ -29,9 +31,9 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
         changed = step.filter("root <> new").limit(1).count()
         now = step.select("node", F.col("new").alias("root"))
         if not changed:
-            break
-    both.unpersist()
-    return now
+            both.unpersist()
+            return now
+    raise RuntimeError(f"roots still change after {rounds} rounds")
 
 
 def same_text_edges(rows: DataFrame, cv_id: str = "cv_id", text: str = "cv_text") -> DataFrame:
@@ -52,48 +54,75 @@ def candidate_groups(rows: DataFrame, same: DataFrame | None = None, cv_id: str
     return got.join(names, "root").select(F.col("node").alias("cv_id"), group.alias("candidate_group_id"))
 
 
-def search_split(labels: dict[str, Counter], seed: int = 42, validation: float = 0.15, test: float = 0.15, tries: int = 1024) -> dict[str, str]:
-    """group: split. The best of ``tries`` seeded shuffles, by how far each split's labels are from its share.
+#: The (group, label) counts that every task of the search holds. More are an error: 8 bytes each.
+MOST_CELLS = 4_000_000
 
-    Works on counts of (group, label), which are few, on the driver.
-    """
-    groups = sorted(labels)
-    if not (validation > 0 and test > 0 and validation + test < 1) or len(groups) < 3:
-        raise ValueError("at least three groups, and fractions that leave some for training")
-    nv, nt = max(1, round(len(groups) * validation)), max(1, round(len(groups) * test))
-    if nv + nt >= len(groups):
-        raise ValueError("no group is left for training")
-    total = sum(labels.values(), Counter())
-    spread = Counter(k for c in labels.values() for k in c)
-    ends = (len(groups) - nv - nt, len(groups) - nt, len(groups))
-
-    def cost(parts: list[list[str]]) -> float:
+
+class SplitSearch:
+    """The counts of labels by group, and what a shuffle of the groups costs."""
+
+    def __init__(self, groups: list[str], counts: np.ndarray, seed: int, validation: float, test: float) -> None:
+        n = len(groups)
+        if not (validation > 0 and test > 0 and validation + test < 1) or n < 3:
+            raise ValueError("at least three groups, and fractions that leave some for training")
+        nv, nt = max(1, round(n * validation)), max(1, round(n * test))
+        if nv + nt >= n:
+            raise ValueError("no group is left for training")
+        self.groups, self.counts, self.seed = groups, counts, seed
+        self.cuts = (0, n - nv - nt, n - nt, n)
+        self.total, self.spread = counts.sum(axis=0), (counts > 0).sum(axis=0)
+
+    def orders(self, start: int, end: int) -> Iterator[tuple[int, list[int]]]:
+        """The shuffles of these numbers. One generator makes all, so those before are drawn too."""
+        rng = random.Random(self.seed)
+        for i in range(end):
+            order = list(range(len(self.groups)))
+            rng.shuffle(order)
+            if i >= start:
+                yield i, order
+
+    def cost(self, order: list[int]) -> float:
+        """How far each part's labels are from its share of them; a label in three groups or more that a part lacks costs most."""
         out = 0.0
-        for part in parts:
-            own, portion = sum((labels[g] for g in part), Counter()), len(part) / len(groups)
-            out += sum((own[k] - n * portion) ** 2 / (n * portion + 1) for k, n in total.items())
-            out += 10_000.0 * sum(1 for k in total if spread[k] >= 3 and not own[k])
+        for a, b in zip(self.cuts, self.cuts[1:], strict=False):
+            own, want = self.counts[order[a:b]].sum(axis=0), self.total * ((b - a) / len(order))
+            out += float(((own - want) ** 2 / (want + 1)).sum()) + 10_000.0 * int(((self.spread >= 3) & (own == 0)).sum())
         return out
 
-    rng, best = random.Random(seed), None
-    for _ in range(tries):
-        order = groups[:]
-        rng.shuffle(order)
-        parts = [order[a:b] for a, b in zip((0, *ends[:-1]), ends, strict=True)]
-        if best is None or (now := cost(parts)) < best[0]:
-            best = (cost(parts) if best is None else now, parts)
-    return {g: name for name, part in zip(("train", "validation", "test"), best[1], strict=True) for g in part}
+    def parts(self, order: list[int]) -> Iterator[tuple[str, str]]:
+        for name, a, b in zip(("train", "validation", "test"), self.cuts, self.cuts[1:], strict=False):
+            yield from ((self.groups[g], name) for g in order[a:b])
+
 
+def search_split(spark: SparkSession, search: SplitSearch, tries: int = 1024, tasks: int = 32) -> dict[str, str]:
+    """group: split, of the cheapest of ``tries`` seeded shuffles, the first of equals. Tasks share the shuffles and give back a cost each."""
+    step = -(-tries // tasks)
 
-def split_groups(rows: DataFrame, seed: int = 42, validation: float = 0.15, test: float = 0.15) -> DataFrame:
-    """Eligible rows (judged, with a text) with ``split``; a group is never torn (R19). Ineligible ones are left out."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in batch["id"].tolist():
+                yield pd.DataFrame([(k, search.cost(o)) for k, o in search.orders(i * step, min(tries, (i + 1) * step))], columns=["n", "cost"])
+
+    found = spark.range(0, -(-tries // step), 1, -(-tries // step)).mapInPandas(run, "n int, cost double")
+    best = found.orderBy("cost", "n").first().n
+    return dict(search.parts(next(search.orders(best, best + 1))[1]))
+
+
+def split_groups(rows: DataFrame, seed: int = 42, validation: float = 0.15, test: float = 0.15, tries: int = 1024) -> DataFrame:
+    """Eligible rows (judged, with a text) with ``split``; a group is never torn (R19). Ineligible ones are left out.
+
+    Groups are candidates whose pairs people judged: MOST_CELLS counts of them are looked at, and more are an error.
+    """
+    spark = rows.sparkSession
     eligible = rows.filter(F.col("judged") & (F.trim("cv_text") != ""))
-    counts: dict[str, Counter] = {}
-    for r in eligible.groupBy("candidate_group_id", "overall_score").count().toLocalIterator():
-        counts.setdefault(r.candidate_group_id, Counter())[r.overall_score] = r["count"]
-    got = search_split(counts, seed, validation, test)
-    names = rows.sparkSession.createDataFrame(sorted(got.items()), "candidate_group_id string, split string")
-    return eligible.join(F.broadcast(names), "candidate_group_id")
+    counts = eligible.groupBy("candidate_group_id", "overall_score").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.limit(MOST_CELLS + 1).toPandas()
+    if len(found) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} counts of labels")
+    table = found.pivot_table(index="candidate_group_id", columns="overall_score", values="n", fill_value=0, aggfunc="sum").sort_index()
+    got = search_split(spark, SplitSearch(table.index.tolist(), table.to_numpy(dtype=np.int64), seed, validation, test), tries)
+    names = spark.createDataFrame(sorted(got.items()), "candidate_group_id string, split string")
+    return eligible.join(names, "candidate_group_id")
 
 
 def leaks(rows: DataFrame, key: str = "candidate_group_id", split: str = "split") -> DataFrame:

@@ -56,8 +56,23 @@ def prefiltered(vacancies: DataFrame, semantic: DataFrame) -> DataFrame:
     return out.withColumn("prefilter", F.coalesce("semantic", F.least(F.lit(1.0), F.col("baseline") / 3)))
 
 
+class StaleIndex(ValueError):
+    """An index is not that of the rows it is asked about."""
+
+
+def whole_index(rows: DataFrame, index: DataFrame, key: str = "vacancy_id") -> DataFrame:
+    """:func:`guarded`, but only of an index made from just these rows: one that is missing, left over, there twice, or whose
+    text has changed since refuses the index as a whole (J2)."""
+    own, there = (df.groupBy(key).agg(F.count(F.lit(1)).alias(f"_{s}"), F.min("text_sha256").alias(f"_{s}_sha")) for df, s in ((rows, "rows"), (index, "index")))
+    both = own.withColumnRenamed(key, "_key").join(there, F.col("_key").eqNullSafe(F.col(key)), "full_outer")
+    good = (F.col("_rows") == 1) & (F.col("_index") == 1) & (F.col("_rows_sha") == F.col("_index_sha"))
+    if bad := both.filter(~F.coalesce(good, F.lit(False))).count():
+        raise StaleIndex(f"{bad} rows are not those of the index")
+    return guarded(rows, index, key)
+
+
 def guarded(rows: DataFrame, index: DataFrame, key: str = "vacancy_id") -> DataFrame:
-    """Rows with the vectors of an index, by key and text hash; a row whose text has changed since has none."""
+    """Rows with the vectors of an index, by key and text hash; a row whose text has changed since has none (J2). See :func:`whole_index`."""
     return rows.join(index, [key, "text_sha256"])
 
 
@@ -89,11 +104,15 @@ def frozen(pairs: DataFrame, extra: list[str]) -> DataFrame:
 
 
 def changed(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """Keys whose row is not the same in both snapshots, or in one only."""
-    a, b = (df.select(F.col(key), F.xxhash64(*df.columns).alias(n)) for df, n in ((before, "_a"), (after, "_b")))
+    """Keys whose row is not the same in both snapshots, or in one only (U9). Nulls are equal to nulls alone, and columns are taken by name."""
+    a, b = (df.select(F.col(key), F.struct(*before.columns).alias(n)) for df, n in ((before, "_a"), (after, "_b")))
     return a.join(b, key, "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(key)
 
 
+#: A whole date, with or without a time of day of at least hours and minutes, and a zone.
+ISO_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
+
+
 def valid_times(rows: DataFrame, column: str) -> DataFrame:
-    """Rows whose ISO timestamp is one."""
-    return rows.filter(F.col(column).try_cast("timestamp").isNotNull())
+    """Rows whose ISO date or timestamp is of that form, and is one (M19). A cast alone would take years, times of day and white space."""
+    return rows.filter(F.col(column).rlike(ISO_TIME.replace("$", r"\z")) & F.regexp_replace(column, "^(.{16})(Z|[+-].*)?$", "$1:00$2").try_cast("timestamp").isNotNull())  # a cast asks for seconds before a zone

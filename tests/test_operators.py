@@ -112,14 +112,6 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 if i < 50 else i for i in range(60)}
 
 
-def test_split_never_tears_groups():
-    labels = {f"g{i}": Counter({i % 3 + 1: 2, 3: 1}) for i in range(20)}
-    got = grouping.search_split(labels)
-    assert Counter(got.values()) == {"train": 14, "validation": 3, "test": 3} and got == grouping.search_split(labels)
-    with pytest.raises(ValueError):
-        grouping.search_split({"a": Counter({1: 1})})
-
-
 def test_duplicates(spark):
     base = [f"w{i}" for i in range(60)]
     texts = {1: " ".join(base), 2: " ".join(base).upper() + "!", 3: " ".join([*base[:58], "x", "y"]), 4: "other words here", 5: "", 6: " ".join(base[:30])}
