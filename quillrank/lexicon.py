@@ -147,6 +147,20 @@ NEGATIVE_AFTER = (
     r"(?:(?:have|has|had|did|do)\s+not|haven't|hasn't|hadn't|didn't|don't|never)\s+(?:use[ds]?|work(?:ed)?|apply|applied))"
 )
 PRACTICE_BEFORE, NONE_AFTER = r"опыт\w*|практик\w*", r"^\s*[:—–-]?\s*нет\b"
+#: Rules of denial: which words before a mention are looked at, what they say, and what the words after it say; an empty pattern asks for nothing.
+DENIALS = (("near", "", NEGATIVE_AFTER), ("near", PRACTICE_BEFORE, NONE_AFTER), ("list", NEGATIVE_BEFORE, ""))
+# Headings and words of musts, the end of a heading, what is cut off round a mark of a wish, sentences of requirements.
+MUST_HEADING = r"(?:обязател\w*|требован\w*|must[ -]have|required)\s*[:：]"
+MUST, MANDATORY = r"\brequired\b|\bmust\b|обязател\w*", r"обязател|mandatory|required|must"
+HEADING_END, SENTENCE_CUT = r"[:：]\s*$", r"[;\n]|\.(?:\s|$)"
+EDGE, EDGE_AFTER = " ,;:—–-", "()."
+# Words of communication, asked for and shown; studies that have not ended.
+TALK = r"communicat|коммуник|переговор|презентац"
+TALK_SHOWN = rf"{TALK}|presentations"
+STUDIES = r"\bstudent\b|\bстудент(?:ка)?\b|in progress|обучаюсь"
+# Roles that are several at once, and kinds of roles.
+ROLE_PARTS = {"fullstack": frozenset({"backend", "frontend"})}
+ROLE_KINDS = {"software": frozenset({"backend", "frontend", "fullstack"})}
 # What joins the names of a list; verbs that a comma closes off from what follows.
 LIST_END, LIST_BEGIN = r"(?:\s|[,/&]|\b(?:and|or|и|или)\b)+$", r"^(?:\s|[,/&]|\b(?:and|or|и|или)\b)+"
 CLOSED_BY_COMMA = r"(?:не знаю|не работал|не использовал|изучаю|осваиваю|never used|no experience)\s*,\s*$"
@@ -158,14 +172,6 @@ TOTAL_BEFORE = r"(?:total|общий|опыт работы|work experience)\s*[:
 SIDE_BEFORE, SIDE_AFTER, ROLE_REACH, LEVEL_REACH = 45, 55, 60, 80
 ROLE_NOUN = r"(?:\s+(?:developer|engineer|разработчик|инженер))?"
 MONTHS = r"months?|месяц"
-# How a vacancy bounds the years it asks for.
-EXPERIENCE_MARKS = {
-    "free": r"нет опыта|без опыта|no experience",
-    "at_most": r"\bдо\s+\d|\bup\s+to\b|\bat\s+most\b|не\s+более",
-    "at_least": r"\bот\s+\d|\bfrom\s+\d|\bat\s+least\b|не\s+менее",
-    "years": r"\byears?\b|\bлет\b|\bгод\w*",
-    "months": r"months?|месяц",
-}
 LANGUAGE_WISH = r"\b(?:want|hope|plan|aim)\s+to\b|\btarget\b|\bgoal\b|\baspir\w*|\b(?:learning|studying)\b|хочу|планирую|намерен|изучаю|осваиваю|\bцель\b|целев\w*|желаем\w*"
 LANGUAGE_DENIAL = r"не\s+(?:владею|знаю|говорю|достиг\w*)|\b(?:cannot|can't|don't|do not)\s+(?:speak|know|use)\b|\b(?:no|without)\s+(?:knowledge|proficiency)\b"
 # Where a text falls into statements; lines that say nothing of a profession.

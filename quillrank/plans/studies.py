@@ -11,9 +11,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import evidence
+from ..functions import skills as sk
 from ..operators import blind_sample as blind
 from ..operators import experiment, freeze, grouping, pairs
-from .catalogue import query, t
+from .catalogue import RARE, WORDS, bm25_distinct_source_top5, query, t
 
 SAMPLE = 50
 
@@ -154,3 +156,29 @@ def searched_split(spark: SparkSession, d: str) -> DataFrame:
     got = grouping.split_groups(rows)
     torn = grouping.leaks(got).agg(F.count(F.lit(1)).alias("torn"))
     return got.agg(F.count_distinct("candidate_group_id").alias("groups"), F.count(F.lit(1)).alias("pairs"), F.count_distinct(F.when(F.col("split") == "test", F.col("candidate_group_id"))).alias("test_groups")).crossJoin(torn).select("groups", "pairs", "torn", "test_groups")
+
+
+@query()
+def quotes_of_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """What each signal of a pair rests on, as slices of the resume."""
+    found = bm25_distinct_source_top5(spark, d).join(t(spark, d, "documents").select("doc_id", F.col("text").alias("cv")), "doc_id")
+    found = found.join(t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("demand")), "query_id")
+    none = F.lit("")
+    rows = found.select("query_id", "doc_id", "cv", F.explode(evidence.pair_quotes(RARE)("cv", F.lit("software developer"), none, "demand", none, none)).alias("q")).select("query_id", "doc_id", "q.*", "cv")
+    return rows.select("query_id", "doc_id", "feature", "turn", "start", "end", "quote", (F.substring("cv", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("quote")).alias("is_slice"))
+
+
+_HAS = "list_filter([" + ", ".join(f"'{w}'" for w in sorted(WORDS)) + "], lambda w: regexp_matches(lower({}), '(^|[^\\pL\\pM\\pN_])' || w || '([^\\pL\\pM\\pN_]|$)'))"
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, {_HAS.format("substr(text, 1 + length(text) // 2)")} AS strong, {_HAS.format("substr(text, 1, length(text) // 2)")} AS weak FROM documents),
+q AS (SELECT doc_id, list_filter([{', '.join(f"'{w}'" for w in sorted(WORDS))}], lambda w: list_contains(weak, w) AND NOT list_contains(strong, w)) AS unsure,
+  list_filter([{', '.join(f"'{w}'" for w in sorted(WORDS))}], lambda w: NOT list_contains(weak, w) AND NOT list_contains(strong, w)) AS missing FROM s)
+SELECT doc_id, array_to_string(list_concat(unsure, missing)[1:2], ',') AS asked FROM q""")
+def skills_asked_about(spark: SparkSession, d: str) -> DataFrame:
+    """Skills to ask about: those only the first half of a text names, then those that neither does."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    rows = t(spark, d, "documents").select("doc_id", sk.extract(F.substring(F.col("text"), half + 1, F.length("text")), WORDS).alias("strong"), sk.extract(F.substring(F.col("text"), F.lit(1), half), WORDS).alias("weak"))
+    split = sk.three_way(F.array(*map(F.lit, sorted(WORDS))), "strong", "weak")
+    return rows.select("doc_id", split.alias("s")).select("doc_id", F.array_join(pairs.questions("s.uncertain", "s.missing"), ",").alias("asked"))

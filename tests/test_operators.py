@@ -238,7 +238,7 @@ def test_declared_baseline_from_texts(spark):
     sk = ev.Skills(lx.SKILLS)
     assert bl.not_used(sk, "не использовал docker") == {"docker"} and not bl.not_used(sk, "used python, but not docker")
     vacancy = dict(zip(("title", "experience", "requirements", "responsibilities", "text"), good, strict=True))
-    r = bl.assess(sk, cv + "\nНе использовал Django.", vacancy, 0.5)
+    r = bl.assess(sk, cv + "\nНе использовал Django.", vacancy, 0.5, (2.0, None))
     assert r["conflicts"] == ["django"] and r["excluded"] and r["total"] < 0.9
 
 
