@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,14 +16,16 @@ from .text import _c, normalised, text_of
 def extract(c: str | Column, lexicon: lx.Lexicon = lx.SKILLS) -> Column:
     """The canonical skills whose name or alias stands in the text as a whole word, sorted (F1).
 
-    One alternation for each canonical name, all inside one projection: the text is read once and no row is shuffled.
+    One alternation for each canonical name, all inside one projection: no row is shuffled. A name's expression is run only where
+    one of its aliases is anywhere in the text, which is a plain search of bytes.
     """
     t = normalised(c)
     quote = lambda a: re.sub(r"([^\w\s])", r"\\\1", a.lower())
     hits = []
     for name in sorted(lexicon):
         names = sorted({name, *lexicon[name]}, key=lambda a: (-len(a), a))
-        hits.append(F.when(t.rlike(rf"(?U)(?<!\w)(?:{'|'.join(map(quote, names))})(?!\w)"), F.lit(name)))
+        there = reduce(or_, [t.contains(a.lower()) for a in names])
+        hits.append(F.when(there & t.rlike(rf"(?U)(?<!\w)(?:{'|'.join(map(quote, names))})(?!\w)"), F.lit(name)))
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
