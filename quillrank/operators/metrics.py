@@ -44,11 +44,28 @@ def ndcg(rows: DataFrame, k: int = 5, query: str = "query", label: str = "label"
 
 
 def pairwise(rows: DataFrame, query: str = "query", item: str = "item", label: str = "label", score: str = "score") -> DataFrame:
-    """query, pairs, accuracy: credit 1, .5 or 0 for each pair of different labels (J7); an equi-join within queries."""
-    s = rows.select(F.col(query).alias("query"), F.col(label).alias("la"), F.round(score, DIGITS).alias("sa"))
-    o = rows.select(F.col(query).alias("q2"), F.col(label).alias("lb"), F.round(score, DIGITS).alias("sb"))
-    credit = F.when(F.col("sa") > F.col("sb"), 1.0).when(F.col("sa") == F.col("sb"), 0.5).otherwise(0.0)
-    return s.join(o, (F.col("query") == F.col("q2")) & (F.col("la") > F.col("lb"))).groupBy("query").agg(F.count(F.lit(1)).alias("pairs"), F.avg(credit).alias("accuracy"))
+    """query, pairs, accuracy: credit 1, .5 or 0 for each pair of different labels (J7), counted without making the pairs.
+
+    The labels below the n-th of a query are the blocks of n's binary digits: a row is counted, by score, in one block of
+    each size that holds its label, and looks up one block for each digit of its own. So n rows of a query make n log(labels) rows,
+    and cumulative counts along the scores of a block do the rest. A pair with a null score has no credit; rows with a null query or label take no part.
+    """
+    own = rows.select(F.col(query).alias("query"), F.col(label).alias("label"), F.round(score, DIGITS).alias("s")).filter("query is not null and label is not null")
+    cells = own.groupBy("query", "label", "s").agg(F.count(F.lit(1)).alias("c"))
+    labels = cells.groupBy("query", "label").agg(F.sum("c").alias("c"))
+    q = Window.partitionBy("query")
+    labels = labels.withColumn("below", F.coalesce(F.sum("c").over(q.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    labels = labels.withColumn("n", (F.row_number().over(q.orderBy("label")) - 1).cast("int")).withColumn("most", F.max("n").over(q))
+    pairs = labels.groupBy("query").agg(F.sum(F.col("c") * F.col("below")).alias("pairs")).filter("pairs > 0")
+    ranked = cells.filter("s is not null").join(labels.select(F.col("query").alias("q2"), F.col("label").alias("l2"), "n", "most"), (F.col("query") == F.col("q2")) & (F.col("label") == F.col("l2")))
+    sizes = F.sequence(F.lit(0), F.floor(F.log2(F.greatest("most", F.lit(1)))).cast("int"))
+    block = lambda k: F.call_function("shiftright", F.col("n"), k)
+    lies = F.transform(F.filter(sizes, lambda k: block(k) % 2 == 0), lambda k: F.struct(k.alias("k"), block(k).alias("block"), F.col("c").alias("low"), F.lit(0).cast("long").alias("up")))
+    asks = F.transform(F.filter(sizes, lambda k: block(k) % 2 == 1), lambda k: F.struct(k.alias("k"), (block(k) - 1).alias("block"), F.lit(0).cast("long").alias("low"), F.col("c").alias("up")))
+    at = ranked.select("query", "s", F.explode(F.concat(lies, asks)).alias("e")).groupBy("query", "e.k", "e.block", "s").agg(F.sum("e.low").alias("low"), F.sum("e.up").alias("up"))
+    before = F.coalesce(F.sum("low").over(Window.partitionBy("query", "k", "block").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    credit = at.select("query", (F.col("up") * (before + F.col("low") / 2)).alias("credit")).groupBy(F.col("query").alias("q3")).agg(F.sum("credit").alias("credit"))
+    return pairs.join(credit, F.col("query") == F.col("q3"), "left").select("query", "pairs", (F.coalesce("credit", F.lit(0.0)) / F.col("pairs")).alias("accuracy"))
 
 
 def summary(rows: DataFrame, k: int = 5, query: str = "query", label: str = "label", score: str = "score") -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillrank.operators import blind_sample as blind
-from quillrank.operators import experiment, freeze, grouping, pairs
+from quillrank.operators import experiment, freeze, grouping, metrics, pairs
 
 PAIRS = "pair_id string, label int, `group` string, cv string, vacancy string, family string, split string, risks array<string>"
 
@@ -249,3 +249,20 @@ def test_a_stale_index_is_refused_whole(spark):
     for bad in ([("a", "1")], [("a", "1"), ("b", "3")], [("a", "1"), ("b", "2"), ("c", "3")], [("a", "1"), ("b", "2"), ("b", "2")], [("a", "1"), ("b", None)]):
         with pytest.raises(pairs.StaleIndex):
             pairs.whole_index(rows, index(*bad))
+
+
+def test_pairs_are_counted_without_being_made(spark):
+    rng = random.Random(3)
+    rows = [(f"q{rng.randrange(6)}", i, rng.randrange(rng.choice([2, 4, 40])), rng.randrange(9) / 7) for i in range(500)]
+    rows += [("one", 1, 1, 0.5), ("same", 1, 2, 0.1), ("same", 2, 2, 0.9), ("nulls", 1, 1, None), ("nulls", 2, 0, 0.3), ("nulls", 3, None, 0.3), (None, 1, 1, 0.2), (None, 2, 0, 0.1)]
+    df = spark.createDataFrame(rows, "query string, item int, label int, score double")
+    want = {}
+    for q, _, la, sa in rows:
+        for p, _, lb, sb in rows:
+            if q is not None and q == p and la is not None and lb is not None and la > lb:
+                want.setdefault(q, []).append(0.0 if sa is None or sb is None else 1.0 if sa > sb else 0.5 if sa == sb else 0.0)
+    got = {r.query: (r.pairs, r.accuracy) for r in metrics.pairwise(df).collect()}
+    assert set(got) == set(want) and all(got[q][0] == len(v) and abs(got[q][1] - sum(v) / len(v)) < 1e-12 for q, v in want.items())
+    large = spark.range(100_000).select(F.lit("q").alias("query"), F.col("id").alias("item"), (F.col("id") % 1000).alias("label"), (F.col("id") % 1000 * 1.0).alias("score"))
+    r = metrics.pairwise(large).first()
+    assert r.accuracy == 1 and r.pairs == 100 * 100 * 1000 * 999 // 2
