@@ -38,13 +38,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import coverage, studies  # noqa: F401  register their queries
+    from . import coverage, round_trips, studies  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import coverage, studies  # noqa: F401
+    from . import coverage, round_trips, studies  # noqa: F401
 
     return dict(_SQL)
 

@@ -183,3 +183,13 @@ def parse_vacancy(text: str) -> dict[str, str]:
                 break
         out[now] = f"{out[now]}\n{line}" if now in out else line
     return {k: v.strip() for k, v in out.items() if v.strip()}
+
+
+def parsed_vacancies(c: str | Column) -> Column:
+    """:func:`parse_vacancy` of a column of files' texts, as a map of the fields that a file has; null for a null text."""
+
+    @F.pandas_udf("map<string,string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else parse_vacancy(t) for t in texts], dtype=object)
+
+    return run(F.col(c) if isinstance(c, str) else c)
