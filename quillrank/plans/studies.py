@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence
 from ..functions import skills as sk
 from ..operators import blind_sample as blind
-from ..operators import experiment, freeze, grouping, pairs
+from ..operators import dedupe, experiment, freeze, grouping, pairs
 from .catalogue import RARE, WORDS, bm25_distinct_source_top5, query, t
 
 SAMPLE = 50
@@ -182,3 +182,9 @@ def skills_asked_about(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "documents").select("doc_id", sk.extract(F.substring(F.col("text"), half + 1, F.length("text")), WORDS).alias("strong"), sk.extract(F.substring(F.col("text"), F.lit(1), half), WORDS).alias("weak"))
     split = sk.three_way(F.array(*map(F.lit, sorted(WORDS))), "strong", "weak")
     return rows.select("doc_id", split.alias("s")).select("doc_id", F.array_join(pairs.questions("s.uncertain", "s.missing"), ",").alias("asked"))
+
+
+@query()
+def catalogue_near(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different texts whose sequence ratio is 0.85 or more, best first (J5, M18, L8); held against all pairs in the tests."""
+    return dedupe.catalogue_keys(t(spark, d, "documents")).orderBy(F.desc("similarity"), "a", "b")
