@@ -7,6 +7,7 @@ and parts for skill sets and links. Every query runs over whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import baseline, evidence, headings, pii
 from ..functions import skills as sk
 from ..functions import text as tx
-from ..operators import assistant, dedupe, grouping, metrics, ner, quality, ranking, retrieval, validation, workspace
+from ..operators import assistant, block_index, dedupe, grouping, metrics, ner, quality, ranking, retrieval, validation, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -53,6 +54,12 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the cluster shares."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quillrank-tables"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 # ---- retrieval -----------------------------------------------------------------------------------
 
 _TOKENS = r"regexp_extract_all(lower({}), '[\pL\pN_][\pL\pN_+#.\-]*')"
@@ -79,6 +86,13 @@ def _index(docs: DataFrame, tokens=tx.pair_tokens) -> retrieval.Index:
     return retrieval.build_index(docs, "doc_id", tokens("text"))
 
 
+def _lexical(spark: SparkSession, d: str, tokens, k1: float, k: int) -> DataFrame:
+    """What may be among the first k documents for each benchmark text, by a written index."""
+    path = shared_folder(spark, "bm25")
+    index = block_index.write(t(spark, d, "documents"), "doc_id", tokens("text"), f"{path}/index", retrieval.Bm25(k1))
+    return block_index.top(index, retrieval.query_tokens(t(spark, d, "benchmark"), "item_id", tokens("text")), k, f"{path}/scratch")
+
+
 @query(
     _bm25_sql(
         _TOKENS, 1.5, """
@@ -89,7 +103,7 @@ WHERE rank <= 10""",
 )
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten best documents for each benchmark text."""
-    score = retrieval.bm25(_index(t(spark, d, "documents")), retrieval.query_tokens(t(spark, d, "benchmark"), "item_id", tx.pair_tokens("text")))
+    score = _lexical(spark, d, tx.pair_tokens, 1.5, 10)
     return retrieval.ranked(score.select("query_id", "doc_id", F.col("lexical").alias("score")), ["query_id"], "score", ["doc_id"], 10)
 
 
@@ -104,7 +118,7 @@ WHERE rank <= 60""",
 )
 def bm25_query_normalised(spark: SparkSession, d: str) -> DataFrame:
     """The pool of sixty for each query, by lexical score over query size."""
-    score = retrieval.bm25(_index(t(spark, d, "documents"), tx.search_tokens), retrieval.query_tokens(t(spark, d, "benchmark"), "item_id", tx.search_tokens("text")), retrieval.Bm25(1.2))
+    score = _lexical(spark, d, tx.search_tokens, 1.2, 60)
     rows = score.select("query_id", "doc_id", retrieval.prefilter_score(F.col("lexical"), F.col("size"), F.lit(0.0)).alias("score"))
     return retrieval.ranked(rows, ["query_id"], "score", ["doc_id"], 60)
 
@@ -139,7 +153,7 @@ SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank
 def match_two_stage(spark: SparkSession, d: str) -> DataFrame:
     """A cheap score picks max(60, 3k) documents for each query, a second one ranks them."""
     docs = t(spark, d, "documents")
-    score = retrieval.bm25(_index(docs, tx.search_tokens), retrieval.query_tokens(t(spark, d, "benchmark"), "item_id", tx.search_tokens("text")), retrieval.Bm25(1.2))
+    score = _lexical(spark, d, tx.search_tokens, 1.2, 60)
     pool = retrieval.two_stage(score.select("query_id", "doc_id", retrieval.prefilter_score(F.col("lexical"), F.col("size"), F.lit(0.0)).alias("pre")), "pre", 10)
     rows = pool.join(docs.select("doc_id", "n_chars"), "doc_id").select("query_id", "doc_id", (0.5 * F.col("pre") + 0.5 / (1 + F.col("n_chars") / 1000.0)).alias("score"))
     return retrieval.ranked(rows, ["query_id"], "score", ["doc_id"], 10)

@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import retrieval
 from ..sources import io
-from .catalogue import WORDS, query, t
-from .studies import _shared
+from .catalogue import WORDS, query, shared_folder, t
 
 
 def _csv(rows: DataFrame, name: str) -> str:
     """Rows as a CSV as other programs write it: all cells quoted, quotes doubled, lines inside cells."""
-    path = _shared(rows.sparkSession, name)
+    path = shared_folder(rows.sparkSession, name)
     rows.write.csv(path, header=True, quoteAll=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
@@ -84,7 +83,7 @@ def vacancy_list(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, md5(text) AS text, source, CAST(n_chars AS DOUBLE) / 4 AS quarter FROM documents")
 def json_lines(spark: SparkSession, d: str) -> DataFrame:
     """JSON lines with declared types, written and read."""
-    path = _shared(spark, "jsonl")
+    path = shared_folder(spark, "jsonl")
     t(spark, d, "documents").select("doc_id", "text", "source", (F.col("n_chars").cast("double") / 4).alias("quarter")).write.json(path)
     got = io.read_jsonl(spark, path, "doc_id bigint, text string, source string, quarter double")
     return got.select("doc_id", F.md5("text").alias("text"), "source", "quarter")
@@ -102,7 +101,7 @@ def annotation_export(spark: SparkSession, d: str) -> DataFrame:
         return F.struct((k * 10 + n).alias("id"), cancelled.alias("was_cancelled"), result.alias("result"))
 
     task = F.struct(k.alias("id"), F.struct(F.concat(F.lit("p"), k).alias("pair_id")).alias("data"), F.array(annotation(0, k % 3 == 1), annotation(1, k % 3 > 0)).alias("annotations"))
-    path = _shared(spark, "export")
+    path = shared_folder(spark, "export")
     tasks = t(spark, d, "conversations").select("conv_id").distinct().select(F.to_json(task).alias("task"), F.floor(k / 1000).alias("file"))
     # a file is one array of a thousand tasks at most
     tasks.groupBy("file").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("task")), F.lit("]")).alias("value")).repartition("file").write.partitionBy("file").text(path)
@@ -113,7 +112,7 @@ def annotation_export(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 3 = 0 THEN '''=1+' WHEN doc_id % 3 = 1 THEN '''@' ELSE '' END || source AS cell FROM documents")
 def csv_for_spreadsheets(spark: SparkSession, d: str) -> DataFrame:
     """An export for spreadsheets read back: ';', a byte order mark, no cell that is a formula."""
-    path = _shared(spark, "export-csv")
+    path = shared_folder(spark, "export-csv")
     k = F.col("doc_id")
     io.export_csv(t(spark, d, "documents").select(k.cast("string").alias("doc_id"), F.concat(F.when(k % 3 == 0, "=1+").when(k % 3 == 1, "@").otherwise(""), "source").alias("cell")), path, ["doc_id", "cell"])
     return io.read_csv(spark, path, sep=";").select("doc_id", "cell")
@@ -122,7 +121,7 @@ def csv_for_spreadsheets(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT vec_id, len(embedding) AS dims, (SELECT count(*) FROM embeddings) AS rows_in_manifest FROM embeddings")
 def published_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Vectors and their manifest, which is published last."""
-    path = _shared(spark, "index")
+    path = shared_folder(spark, "index")
     rows = t(spark, d, "embeddings").select("vec_id", "embedding")
     io.publish(rows, rows.agg(F.count(F.lit(1)).alias("rows")), path)
     manifest = spark.read.schema("rows bigint").json(f"{path}/manifest")

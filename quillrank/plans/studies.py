@@ -6,7 +6,6 @@ its labels make the score.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from ..functions import evidence
 from ..functions import skills as sk
 from ..operators import blind_sample as blind
 from ..operators import dedupe, experiment, freeze, grouping, pairs
-from .catalogue import RARE, WORDS, bm25_distinct_source_top5, query, t
+from .catalogue import RARE, WORDS, bm25_distinct_source_top5, query, shared_folder, t
 
 SAMPLE = 50
 
@@ -38,12 +37,6 @@ def judged(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new folder that the cluster shares."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quillrank-tables"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _to_review(spark: SparkSession, d: str) -> DataFrame:
     requirement = F.struct((F.col("n_chars") % 4).cast("int").alias("score"), F.when(F.col("n_chars") % 3 == 0, "EXPERIENCE").otherwise("SKILL").alias("category"))
     risks = blind.risks(F.array(requirement, F.struct(F.col("overall_score").alias("score"), F.lit("SKILL").alias("category"))), "text")
@@ -92,7 +85,7 @@ p AS (SELECT split AS part, count(*) AS rows, sha256(CAST(count(*) AS VARCHAR) |
 SELECT part, rows, digest, (SELECT sha256(string_agg(part || '=' || digest, ';' ORDER BY part || '=' || digest)) FROM p) AS whole, true AS same FROM p""")
 def frozen_manifest(spark: SparkSession, d: str) -> DataFrame:
     """A frozen dataset: digests of its parts and of the whole, checked when it is read."""
-    path = _shared(spark, "frozen")
+    path = shared_folder(spark, "frozen")
     manifest = freeze.freeze(judged(spark, d).repartition(7), path, _COLUMNS)
     return freeze.compared(spark, path).select("part", "rows", "digest", F.lit(manifest["digest"]).alias("whole"), "same")
 
@@ -100,7 +93,7 @@ def frozen_manifest(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT pair_id, candidate_group_id, cv_id, vacancy_id, overall_score, n_chars, split FROM ({_JUDGED}) WHERE split = 'test'")
 def locked_test_rows(spark: SparkSession, d: str) -> DataFrame:
     """The held-out rows, which open after a configuration is locked."""
-    path = _shared(spark, "experiment")
+    path = shared_folder(spark, "experiment")
     freeze.freeze(judged(spark, d), path, _COLUMNS)
     own = experiment.Experiment(spark, path, f"{path}/run")
     own.lock({"l2": 1.0, "hr_weight": 0.5, "grade_gap": False})
@@ -110,7 +103,7 @@ def locked_test_rows(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def locked_experiment(spark: SparkSession, d: str) -> DataFrame:
     """A configuration is fitted on train, locked, and only then measured on the held-out part, against other orders."""
-    path = _shared(spark, "experiment")
+    path = shared_folder(spark, "experiment")
     rows = judged(spark, d).withColumn("relevance", F.col("overall_score"))
     freeze.freeze(rows, path, [*_COLUMNS, "relevance"])
     signals = judged(spark, d).select("pair_id", F.least(F.lit(1.0), F.length("text") / 5000).alias("role_compatibility"), (F.size(F.array_distinct(F.split("text", " "))) / F.size(F.split("text", " "))).alias("experience_compatibility"), (F.xxhash64("pair_id") % 5).alias("selection_rank"))
