@@ -25,7 +25,7 @@ from . import retrieval
 #: Documents of a hash part of a class of lengths, about.
 BLOCK_DOCS = 65_536
 #: Postings of a query's rarest tokens that are enough for its floor.
-SEED_POSTINGS = 20_000
+SEED_POSTINGS = 5_000
 #: Query tokens that are broadcast; more are shuffled.
 MOST_BROADCAST = 200_000
 SLACK = 1e-6
@@ -86,7 +86,11 @@ def _floors(index: BlockIndex, asked: DataFrame, small: bool, k: int) -> DataFra
     """query_id, floor: the k-th best sum over seeds, which the k-th best score is not below; 0 where seeds reach fewer documents."""
     seeds = asked.filter("seed").select("query_id", "token", "idf")
     met = index.postings().join(F.broadcast(seeds) if small else seeds, "token")
-    part = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * F.col("weight")).alias("part"))
+    return _kth(met.groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * F.col("weight")).alias("part")), k)
+
+
+def _kth(part: DataFrame, k: int) -> DataFrame:
+    """query_id, floor: the k-th best part of each query, 0 where it has fewer. Spark keeps k rows a task before the shuffle."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("part")))
     return part.withColumn("place", place).filter(F.col("place") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("part")).otherwise(0.0).alias("floor"))
 
@@ -116,7 +120,9 @@ def top(index: BlockIndex, queries: DataFrame, k: int, scratch: str) -> DataFram
     lists = index.bounds().select("token", "block").join(hint(rare.select("query_id", "token", "idf", "size")), "token").join(blocks, ["query_id", "block"])
     met = index.postings().join(lists, ["token", "block"])
     part = met.groupBy("query_id", "doc_id").agg(F.first("block").alias("block"), F.first("size").alias("size"), F.sum(F.col("idf") * F.col("weight")).alias("part"), F.first("more").alias("more"), F.first("floor").alias("floor"))
-    alive = _kept(part.filter(F.col("part") + F.col("more") >= F.col("floor")).drop("more", "floor"), f"{scratch}/alive")
+    alive = _kept(part.filter(F.col("part") + F.col("more") >= F.col("floor")).drop("floor"), f"{scratch}/alive")
+    # Parts over all rare tokens give a higher floor than the seeds did.
+    alive = alive.join(hint(_kth(alive, k)), "query_id").filter(F.col("part") + F.col("more") >= F.col("floor") - SLACK).drop("more", "floor")
 
     rest = alive.select("query_id", "doc_id", "block").join(hint(told.filter("common").select("query_id", "token", "idf")), "query_id")
     added = index.postings().join(rest, ["token", "block", "doc_id"]).select("query_id", "doc_id", (F.col("idf") * F.col("weight")).alias("part"))
