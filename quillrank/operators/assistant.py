@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import lexicon as lx
 from ..functions import skills as sk
 from ..functions import text as tx
+from . import ranking
 
 # Intents in their order, the pattern of the question, and that of the statements which answer it.
 _FORMAT = r"удал[её]н|remote|офис|office|гибрид|hybrid|работ\w*\s+из\s+дома|work(?:ing)?\s+from\s+home|on[\s-]?site"
@@ -72,3 +74,67 @@ def answers(questions: DataFrame, lexicon=None) -> DataFrame:
     rows = rows.withColumn("value", value).withColumn("quotes", F.transform(quotes, lambda s: F.left(s, F.lit(600))))
     topic = F.when((F.col("topic") == "source") & (F.size("quotes") == 0), "unknown").otherwise(F.col("topic"))
     return rows.withColumn("topic", topic).drop("parts", "words")
+
+
+#: What an answer can advise, by a short name that results carry.
+ADVICE = {
+    "choose_resume": "Choose a resume: a vacancy alone has no score and nothing to improve.",
+    "compare": "Compare the resume with the vacancy first.",
+    "name_skills": "Name the technologies you have worked with, and what for.",
+    "describe_tasks": "Describe one or two projects: the task, your part, the technologies and the result.",
+    "separate_practice": "Tell practice from what you know of or are only learning.",
+    "add_context": "Add the context of your work: duties, projects and your own part.",
+    "show_missing": "If you have such experience, describe a task with the skills that the text does not confirm. Add none that you lack.",
+    "state_role_years": "State how long you worked in this role, apart from all your years.",
+    "check_years": "Check the years taken from the text, and discuss with HR whether fewer are enough.",
+}
+SHORT_RESUME = 180
+LEAST_TERM = 1e-12
+
+
+def _advice(rows: DataFrame) -> Column:
+    """Names of ADVICE that hold for a resume against a vacancy, in the order of the table; unknown years are not zero years."""
+    chosen, compared = F.col("resume_text").isNotNull(), F.col("score").isNotNull()
+    own = tx.professional_text("resume_text")
+    acts = F.exists(tx.statements(own), lambda s: tx.positive(s) & s.rlike("(?iU)" + lx.WORK_ACTION))
+    holds = {
+        "choose_resume": ~chosen,
+        "compare": chosen & ~compared,
+        "name_skills": chosen & (F.coalesce(F.size("skills"), F.lit(0)) <= 0),
+        "describe_tasks": chosen & ~F.coalesce(acts, F.lit(False)),
+        "separate_practice": chosen & (F.coalesce(F.size("weak_skills"), F.lit(0)) > 0),
+        "add_context": chosen & (F.length(own) < SHORT_RESUME),
+        "show_missing": chosen & compared & (F.size("lacking") > 0),
+        "state_role_years": chosen & compared & F.col("relevant_years").isNull() & (F.col("required_years") > 0),
+        "check_years": chosen & compared & (F.col("relevant_years") < F.col("required_years")),
+    }
+    given = F.array_compact(F.array(*[F.when(F.coalesce(holds[name], F.lit(False)), F.lit(name)) for name in ADVICE]))
+    return F.when(F.size(given) == 0, F.array(F.lit("describe_tasks"))).otherwise(given)
+
+
+def score_answers(questions: DataFrame, lexicon=None) -> DataFrame:
+    """Answers to questions about a score and how to raise it (R22): topic, value, largest, lacking, advice.
+
+    Rows hold the question, the resume (``resume_text``, null if none is chosen; ``skills`` that it shows, ``weak_skills`` that it
+    only mentions) and its comparison with a vacancy (``score``, null if there is none; ``contributions`` of (feature, value,
+    contribution); ``required``, ``missing`` and ``uncertain`` skills; ``relevant_years`` and ``required_years``, null if unknown).
+
+    value is the score with its sign, largest the four largest contributions that are not zero, lacking the required skills that
+    are missing or uncertain, in order, advice names of ADVICE. All four are null for other topics; without a resume or a
+    comparison a score question gets only its first step as advice. Null arrays count as empty. Other columns stay.
+    """
+    rows = questions.withColumn("topic", intent(F.col("question"), lexicon))
+    some = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    lacking = F.array_sort(F.array_intersect(F.array_distinct(F.concat(some("missing"), some("uncertain"))), some("required")))
+    rows = rows.withColumn("lacking", lacking)
+    rows = rows.withColumn("advice", _advice(rows))
+    known = F.col("resume_text").isNotNull() & F.col("score").isNotNull()
+    asks, raises = F.col("topic") == "score", F.col("topic") == "improvement"
+    largest = ranking.top_contributions(F.filter("contributions", lambda c: F.abs(c["contribution"]) > LEAST_TERM))
+    first_step = F.when(F.col("resume_text").isNull(), "choose_resume").when(F.col("score").isNull(), "compare")
+    return (
+        rows.withColumn("value", F.when(asks & known, tx.number_text("score", 3, True)))
+        .withColumn("largest", F.when(asks & known, largest))
+        .withColumn("advice", F.when(raises, F.when(F.col("resume_text").isNull(), F.array(F.lit("choose_resume"))).otherwise(F.col("advice"))).when(asks, F.array_compact(F.array(first_step))))
+        .withColumn("lacking", F.when((asks | raises) & known, F.col("lacking")))
+    )

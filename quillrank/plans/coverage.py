@@ -6,13 +6,13 @@ text of the wanted form (years of experience, skill lists), it is made from thei
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions import skills as sk
 from ..functions import text as tx
-from ..operators import grouping, ner, pairs, ranking, retrieval, validation, workspace
+from ..operators import grouping, ner, ordering, pairs, ranking, retrieval, validation, workspace
 from ..sources import io
 from .catalogue import query, t
 
@@ -272,8 +272,8 @@ def newest_first(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "orders").select(F.col("o_orderkey").alias("vacancy_id"), F.col("o_custkey").alias("session_id"), F.col("o_orderdate").alias("created_at"))
     accounts = t(spark, d, "customer").select(F.col("c_custkey").alias("session_id"), F.when(F.col("c_mktsegment") == "BUILDING", "hr").otherwise("other").alias("role"))
     out = workspace.public_vacancies(rows, accounts)
-    order = F.row_number().over(Window.orderBy(F.desc("created_at"), "vacancy_id"))
-    return out.select(F.col("vacancy_id").alias("o_orderkey"), F.col("created_at").alias("o_orderdate"), order.alias("place"))
+    out = ordering.numbered(out, [("created_at", True), ("vacancy_id", False)])
+    return out.select(F.col("vacancy_id").alias("o_orderkey"), F.col("created_at").alias("o_orderdate"), F.col("place").cast("int").alias("place"))
 
 
 # ---- constraints ---------------------------------------------------------------------------------

@@ -6,14 +6,14 @@ its labels make the score.
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import evidence
 from ..functions import skills as sk
 from ..operators import blind_sample as blind
-from ..operators import dedupe, experiment, freeze, grouping, pairs
+from ..operators import assistant, dedupe, experiment, freeze, grouping, pairs
+from ..sources import npy
 from .catalogue import RARE, WORDS, bm25_distinct_source_top5, query, shared_folder, t
 
 SAMPLE = 50
@@ -181,3 +181,43 @@ def skills_asked_about(spark: SparkSession, d: str) -> DataFrame:
 def catalogue_near(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of different texts whose sequence ratio is 0.85 or more, best first (J5, M18, L8); held against all pairs in the tests."""
     return dedupe.catalogue_keys(t(spark, d, "documents")).orderBy(F.desc("similarity"), "a", "b")
+
+
+@query("""
+WITH f AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'score' ELSE 'improvement' END AS topic, doc_id % 5 > 0 AS known, n_chars,
+  [{'n': 'size', 'x': n_chars / 1024}, {'n': 'rest', 'x': -(doc_id % 7)}, {'n': 'sign', 'x': doc_id % 3 - 1}, {'n': 'age', 'x': doc_id / 4096}, {'n': 'half', 'x': 0.5}] AS c,
+  """ + _HAS.format("text") + """ AS has FROM documents)
+SELECT doc_id, topic, CASE WHEN topic = 'score' AND known THEN replace(CASE WHEN n_chars > 0 THEN '+' ELSE '' END || regexp_replace(printf('%.3f', n_chars / 8.0), '\\.?0+$', ''), '.', ',') END AS value,
+  CASE WHEN topic = 'score' AND known THEN array_to_string(list_transform(list_sort(list_transform(list_filter(c, lambda z: z.x <> 0), lambda z: {'a': -abs(z.x), 'p': list_position(['size', 'rest', 'sign', 'age', 'half'], z.n), 'n': z.n}))[1:4], lambda z: z.n), ',') END AS largest,
+  CASE WHEN known THEN array_to_string(list_sort(list_filter(['and', 'que', 'the'], lambda w: NOT list_contains(has, w))), ',') END AS lacking FROM f""")
+def score_questions(spark: SparkSession, d: str) -> DataFrame:
+    """What a score and its lacking skills rest on, for each document as a resume."""
+    term = lambda name, x: F.struct(F.lit(name).alias("feature"), F.lit(0.0).alias("value"), x.cast("double").alias("contribution"))
+    k, needed = F.col("doc_id"), F.array(*map(F.lit, ("que", "the", "and")))
+    rows = t(spark, d, "documents").select(
+        "doc_id", F.when(k % 2 == 0, "Why is my score so low?").otherwise("How do I improve it?").alias("question"), F.col("text").alias("resume_text"), F.when(k % 5 > 0, F.col("n_chars") / 8.0).alias("score"),
+        F.array(term("size", F.col("n_chars") / 1024), term("rest", -(k % 7)), term("sign", k % 3 - 1), term("age", k / 4096), term("half", F.lit(0.5))).alias("contributions"),
+        sk.extract("text", WORDS).alias("skills"), F.lit(None).cast("array<string>").alias("weak_skills"), needed.alias("required"), F.lit(None).cast("double").alias("relevant_years"), F.lit(2.0).alias("required_years"),
+    )
+    rows = rows.withColumn("missing", F.array_except(F.array(*map(F.lit, sorted(WORDS))), "skills")).withColumn("uncertain", F.lit(None).cast("array<string>"))
+    got = assistant.score_answers(rows, WORDS)
+    return got.select("doc_id", "topic", "value", F.array_join("largest.feature", ",").alias("largest"), F.array_join("lacking", ",").alias("lacking"))
+
+
+@query("SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS \"row\", array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',') AS parts FROM embeddings")
+def matrix_files(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as matrix files and read back by ranges of rows."""
+    path = shared_folder(spark, "matrix")
+    places = npy.write_matrix(t(spark, d, "embeddings"), "vec_id", "embedding", path)
+    whole = F.transform("vector", lambda x: F.floor(x.cast("double") * 1000000).cast("long").cast("string"))
+    return npy.read_matrix(spark, path).join(places, "row").select("vec_id", "row", F.array_join(whole, ",").alias("parts"))
+
+
+@query(r"""
+WITH k AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) AS key FROM documents),
+g AS (SELECT list(CAST(doc_id AS VARCHAR) ORDER BY CAST(doc_id AS VARCHAR)) AS ids FROM k GROUP BY CASE WHEN key = '' THEN CAST(doc_id AS VARCHAR) ELSE sha256(key) END)
+SELECT unnest(ids) AS cv_id, 'candidate_' || substr(sha256(array_to_string(ids, '|')), 1, 12) AS candidate_group_id FROM g""")
+def groups_of_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Resumes of one text, but for white space and case, are one candidate's."""
+    rows = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("cv_id"), F.col("text").alias("cv_text"))
+    return grouping.candidate_groups(rows)

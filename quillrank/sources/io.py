@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import skills as sk
 from ..functions import text as tx
+from ..operators import ordering
 
 
 def strings(*names: str) -> T.StructType:
@@ -152,11 +153,9 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_resumes(files: DataFrame) -> DataFrame:
-    """Files in the order of their names in lower case, with ids resume_0001 and on (S23). One ordered partition: for an upload batch."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy(F.lower("filename"), "filename"))
-    return files.withColumn("resume_id", F.format_string("resume_%04d", n))
+    """Files in the order of their names in lower case, with ids resume_0001 and on (S23); files of one name come in any order."""
+    at = ordering.numbered(files.withColumn("_lower", F.lower("filename")), [("_lower", False), ("filename", False)], "_place")
+    return at.withColumn("resume_id", F.format_string("resume_%04d", "_place")).drop("_lower", "_place")
 
 
 def resume_number(c: str | Column) -> Column:

@@ -297,3 +297,30 @@ def test_answers_quote_the_vacancy(spark):
     assert (got[asked[0]].topic, got[asked[0]].value) == ("salary", None) and (got[asked[1]].topic, got[asked[1]].value) == ("location", "Алматы")
     assert got[asked[2]].topic == "employment" and got[asked[2]].quotes == ["Работа в офисе, график 5/2"]
     assert got[asked[3]].topic == "languages" and got[asked[3]].quotes == ["English B2."] and got[asked[4]].topic == "requirements" and got[asked[6]].topic == "unknown"
+
+
+def test_answers_about_a_score(spark):
+    from quillrank.operators import assistant
+
+    schema = "question string, resume_text string, skills array<string>, weak_skills array<string>, score double, contributions array<struct<feature:string,value:double,contribution:double>>, required array<string>, missing array<string>, uncertain array<string>, relevant_years double, required_years double, topic_of string"
+    terms = [("a", 1.0, 0.1), ("b", 1.0, -0.7), ("c", 0.0, 0.0), ("d", 1.0, 0.7), ("e", 1.0, 0.3), ("f", 1.0, 0.2)]
+    good = "Built Python services with FastAPI for a bank. " * 5
+    full = ("resume", ["python"], [], 1.25, terms, ["sql", "git", "python"], ["sql", "java"], ["git"], 1.0, 3.0, "x")
+    rows = [
+        ("Why this score?", good, *full[1:]),
+        ("How to improve?", good, *full[1:]),
+        ("How to improve?", "Изучаю python", None, ["python"], 0.5, None, None, None, None, None, 2.0, "y"),
+        ("How to improve?", good, ["python"], None, 1.0, terms, ["python"], [], [], 5.0, 3.0, "fine"),
+        ("How to improve?", good, ["python"], None, None, None, None, None, None, None, None, "not compared"),
+        ("How to improve?", None, None, None, None, None, None, None, None, None, None, "none"),
+        ("Why this score?", None, None, None, None, None, None, None, None, None, None, "none"),
+        ("Какая зарплата?", good, *full[1:]),
+        (None, good, *full[1:]),
+    ]
+    got = assistant.score_answers(spark.createDataFrame(rows, schema)).collect()
+    assert (got[0].topic, got[0].value, [c.feature for c in got[0].largest], got[0].lacking, got[0].advice) == ("score", "+1,25", ["b", "d", "e", "f"], ["git", "sql"], [])
+    assert got[1].advice == ["show_missing", "check_years"] and got[1].value is None and got[1].lacking == ["git", "sql"]
+    assert got[2].advice == ["name_skills", "describe_tasks", "separate_practice", "add_context", "state_role_years"]
+    assert got[3].advice == ["describe_tasks"] and got[4].advice == ["compare"] and got[5].advice == got[6].advice == ["choose_resume"]
+    assert got[6].value is None and got[7].topic == "salary" and got[7].advice is None and got[7].lacking is None and got[8].topic == "source"
+    assert {a for g in got for a in g.advice or []} <= set(assistant.ADVICE) and got[0].topic_of == "x"
