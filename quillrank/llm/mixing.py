@@ -111,6 +111,7 @@ def _settled(done: DataFrame, short: DataFrame, seed: int) -> DataFrame:
     able = F.when(F.col("short") > 0, F.col("raised") < F.col("m")).otherwise(F.col("raised") > 0)
     d = d.filter("size > 0").join(short, F.col("source").eqNullSafe(F.col("s"))).filter(able & (F.col("size") <= F.abs("short")))
     d = d.select("source", "doc_id", "size", "short", F.floor(F.log2("size")).cast("int").alias("class"), F.xxhash64("doc_id", "size", F.lit(seed)).alias("h"))
+    d = written(d, "mix-able")  # read four times below: the plan of all levels would stand there four times
     classes = d.groupBy("source", "class").agg(F.greatest(F.lit(1), F.least(F.lit(BUCKETS), F.floor(F.sum("size") / (4 * F.abs(F.first("short")))))).alias("buckets"))
     same = lambda *names: reduce(and_, [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in names])
     other = lambda t, *names: t.withColumnsRenamed({c: f"o_{c}" for c in names})
@@ -173,7 +174,7 @@ def mix_sources(docs: DataFrame, size: Column, weights: Sequence[float] = WEIGHT
     for more in done[1:]:
         out = out.unionByName(more)
     short = left.select(F.col("source").alias("s"), ((F.col("e.x") - F.round("e.x")) * F.col("e.size")).alias("short")).filter("abs(short) >= 1")
-    flips = _settled(out, short, seed)
+    flips = written(_settled(out, written(short, "mix-short"), seed), "mix-flips")
     last = left.select("source", F.struct("e.size", "e.doc_id", "e.m", "e.ones", F.round("e.x").alias("x")).alias("d"))
     out = out.unionByName(last).select("source", "d.doc_id", "d.size", "d.m", (F.col("d.ones") + F.col("d.x").cast("long")).alias("raised"))
     same = F.col("source").eqNullSafe(F.col("f_source")) & F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("size") == F.col("f_size"))
