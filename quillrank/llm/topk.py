@@ -4,7 +4,8 @@ Candidates lie in blocks. In a block every dimension has a list of the candidate
 A query walks all its lists at once, the best end first (the least value where its own component is negative), and
 scores what it meets in full. No candidate unseen at some depth can score more than the sum over dimensions of the query's
 component times the value at that depth; once this bound cannot beat the k-th score found so
-far, the walk stops. The walk goes in steps of STEP rows of every list, and many queries take it together.
+far, the walk stops. The walk goes in steps of STEP rows of every list, then twice as many each time. Many queries take it together: what one list
+shows is scored for all of them at once, as a product of matrices, in the narrowest floats that hold the scores exactly.
 
 A block's answers merge by a grouped top-k. Queries are a stated set against all rows, in blocks:
 each pair of a block of queries and a block of candidates is a task of bounded size.
@@ -25,6 +26,8 @@ from .storage import written
 K, SCALE = 5, 256.0
 BLOCK, QUERIES = 4096, 4096
 STEP = 8
+#: Queries of a block that walk together.
+TOGETHER = 1024
 _OUT = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -46,44 +49,67 @@ def threshold_topk(x: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | Non
     ``floor``: scores that k candidates elsewhere are known to reach, for each query. Where a score may pass
     2 ** 53 the bound would not be exact: nothing is left out then.
     """
-    n, d = x.shape
     if not _below(x, q, 53):
-        return [np.arange(n)] * len(q)
+        return [np.arange(len(x))] * len(q)
+    at, row, _ = _walk(x, _lists(x), q, k, np.full(len(q), -np.inf) if floor is None else floor.astype(float), *[np.zeros(0, np.int64)] * 2)
+    return [row[at == i] for i in range(len(q))]
+
+
+def _lists(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each dimension the rows of x in order of its value, and the values in that order."""
     order = np.argsort(x, axis=0, kind="stable")
-    lists = np.take_along_axis(x, order, axis=0)
+    return order, np.take_along_axis(x, order, axis=0)
+
+
+def _walk(x: np.ndarray, lists: tuple[np.ndarray, np.ndarray], q: np.ndarray, k: int, kth: np.ndarray, own_at: np.ndarray, own_row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``at, row, score``: of each query (at) the rows with its k best scores, ties too, but for the pairs (own_at, own_row); kth, the floors, is raised in place.
+
+    The queries walk together: a row that any list has at a step is scored for all that still walk, as one product of matrices.
+    """
+    (n, d), (order, values) = x.shape, lists
+    kind = np.float32 if _below(x, q, 24) else np.float64  # whole numbers, and sums of their products, that it holds exactly
+    xf, qf = x.astype(kind), q.astype(kind)
+    up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
+    best = np.full((len(q), k), -np.inf, dtype=kind)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    seen = np.zeros(n, dtype=bool)
     some = q.any(axis=1)
-    live = np.flatnonzero(some)  # a query of zeros has no list to walk; all of x ties
-    kth = np.full(len(q), -np.inf) if floor is None else floor.astype(float)
-    seen = np.zeros((len(q), n), dtype=bool)
-    found: list[list[np.ndarray]] = [[] for _ in range(len(q))]
-    best = np.full((len(q), k), -np.inf)
-    xf, qf = x.astype(np.float64), q.astype(np.float64)  # products of whole numbers below 2 ** 53 are exact
-    depth, to = 0, min(n, STEP)
-    while depth < n and len(live):
-        high, low = order[n - to : n - depth], order[depth:to]
-        own = qf[live]
-        meets = np.zeros((len(live), n), dtype=bool)
-        for side, on in ((high, own > 0), (low, own < 0)):
-            member = np.zeros((d, n), dtype=np.float32)
-            member[np.repeat(np.arange(d), side.shape[0]), side.T.ravel()] = 1
-            meets |= (on.astype(np.float32) @ member) > 0
-        meets &= ~seen[live]
-        seen[live] |= meets
-        rows, cols = np.nonzero(meets)
+    live, depth, to = np.arange(len(q)), 0, 0
+    while n:
+        # what an unseen row can score at most; before the first step, any row. A query of zeros has no list to walk: all of x ties
+        bound = up[live] @ values[n - 1 - depth] + down[live] @ values[depth]
+        live = live[(bound >= kth[live]) | ~some[live]]
+        if not len(live):
+            break
+        to = min(n, 2 * to or STEP)
+        met = np.zeros(n, dtype=bool)
+        met[order[n - to : n - depth].ravel()] = True
+        met[order[depth:to].ravel()] = True
+        rows = np.flatnonzero(met & ~seen)
+        seen |= met
         if len(rows):
-            met = np.unique(cols)
-            scores = own @ xf[met].T
-            value = np.where(meets[:, met], scores, -np.inf)
-            top = np.concatenate([best[live], value], axis=1)
-            best[live] = -np.partition(-top, k - 1, axis=1)[:, :k]
-            kth[live] = np.maximum(kth[live], best[live].min(axis=1))
-            good = value >= kth[live][:, None]
-            for r in np.flatnonzero(good.any(axis=1)).tolist():
-                found[live[r]].append(met[good[r]])
-        bound = np.where(own > 0, own * lists[n - to], own * lists[to - 1]).sum(axis=1)
-        live = live[bound >= kth[live]]
-        depth, to = to, min(n, 2 * to)
-    return [np.concatenate(f) if f else np.zeros(0, np.int64) if s else np.arange(n) for f, s in zip(found, some.tolist(), strict=True)]
+            scores = qf[live] @ xf[rows].T
+            if len(own_at):
+                line, place = np.full(len(q), -1), np.full(n, -1)
+                line[live], place[rows] = np.arange(len(live)), np.arange(len(rows))
+                i, j = line[own_at], place[own_row]
+                scores[i[(i >= 0) & (j >= 0)], j[(i >= 0) & (j >= 0)]] = -np.inf
+            more = np.flatnonzero(scores.max(axis=1) >= kth[live])
+            if len(more):
+                scores, those = scores[more], live[more]
+                top = np.partition(scores, len(rows) - k, axis=1)[:, -k:] if len(rows) > k else scores
+                best[those] = np.partition(np.concatenate([best[those], top], axis=1), -k, axis=1)[:, -k:]
+                kth[those] = np.maximum(kth[those], best[those].min(axis=1))
+                i, j = np.nonzero((scores >= kth[those][:, None]) & (scores > -np.inf))
+                found.append((those[i], rows[j], scores[i, j].astype(np.int64)))
+        depth = to
+        if depth >= n or seen.all():
+            break
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    at, row, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    still = score >= kth[at]
+    return at[still], row[still], score[still]
 
 
 def _below(x: np.ndarray, q: np.ndarray, bits: int) -> bool:
@@ -102,9 +128,8 @@ def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return exact.astype(np.int64)
 
 
-def _packed(vectors: DataFrame, size: int, length: int, name: str) -> tuple[DataFrame, int]:
-    """Rows of about ``size`` vectors: ``block, ids, data`` (int64, filled up with zeros to ``length``), ``rows``; and the number of blocks."""
-    n = vectors.count()
+def _packed(vectors: DataFrame, n: int, size: int, length: int, name: str) -> tuple[DataFrame, int]:
+    """The n vectors in rows of about ``size``: ``block, ids, data`` (filled up with zeros to ``length``), ``rows``, ``width`` (bytes of a component); and the number of blocks."""
     blocks = max(1, -(-n // size))
     dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
 
@@ -114,9 +139,25 @@ def _packed(vectors: DataFrame, size: int, length: int, name: str) -> tuple[Data
         x = np.zeros((len(v), length), dtype=np.int64)
         x[np.arange(length)[None, :] < size[:, None]] = v.flatten().to_numpy()
         ids = table["vec_id"].combine_chunks().to_numpy().astype(np.int64)
-        return pa.table({"block": table["block"][:1], "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([x.tobytes()], pa.binary()), "rows": pa.array([table.num_rows], pa.int64())})
+        small = next((w for w in (2, 4) if x.size == 0 or -(1 << 8 * w - 1) <= int(x.min()) <= int(x.max()) < 1 << 8 * w - 1), 8)
+        return pa.table({"block": table["block"][:1], "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([x.astype(f"<i{small}").tobytes()], pa.binary()), "rows": pa.array([table.num_rows], pa.int64()), "width": pa.array([small], pa.int32())})
+
+    return written(dealt.groupBy("block").applyInArrow(pack, "block bigint, ids binary, data binary, rows bigint, width int"), name), blocks
+
+
+def _best(at: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """The places of each query's k best, ties to the smaller id."""
+    order = np.lexsort((ids, -score, at))
+    first = np.searchsorted(at[order], at[order])
+    return order[np.arange(len(order)) - first < k]
+
 
-    return written(dealt.groupBy("block").applyInArrow(pack, "block bigint, ids binary, data binary, rows bigint"), name), blocks
+def _equal(q_ids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (place in q_ids, place in ids) of one id; q_ids are distinct."""
+    order = np.argsort(q_ids)
+    near = np.minimum(np.searchsorted(q_ids[order], ids), max(len(q_ids) - 1, 0))
+    row = np.flatnonzero(q_ids[order][near] == ids)
+    return order[near[row]], row
 
 
 def topk(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
@@ -128,34 +169,33 @@ def topk(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     query, by the least of their vectors. Without queries or candidates there are no rows.
     """
     own = vectors.filter("vec_id is not null and v is not null")
-    length = own.agg(F.max(F.size("v"))).first()[0] or 0
-    candidates, blocks = _packed(own, BLOCK, length, "topk-candidates")
-    asked, _ = _packed(own.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v")), QUERIES, length, "topk-queries")
+    n, n_asked, length = own.agg(F.count(F.lit(1)), F.count_if(queries), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    candidates, blocks = _packed(own, n, BLOCK, length, "topk-candidates")
+    asked, _ = _packed(own.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v")), n_asked, QUERIES, length, "topk-queries")
     every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-    both = asked.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("rows").alias("q_rows"), F.explode(every).alias("b"))
-    pairs = candidates.join(both, F.col("block") == F.col("b")).select("ids", "data", "rows", "q_ids", "q_data", "q_rows").repartition(F.xxhash64("ids", "q_ids"))
+    both = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "data", "rows", "width")], F.explode(every).alias("b"))
+    names = ["ids", "data", "rows", "width"]
+    pairs = candidates.join(both, F.col("block") == F.col("b")).select(*names, *[f"q_{c}" for c in names]).repartition(F.xxhash64("ids", "q_ids"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict[int, np.ndarray] = {}  # for each block of queries of this task, what k + 1 candidates of a block before reach
+        floors: dict[bytes, np.ndarray] = {}  # for each block of queries of this task, what k candidates of a block before reach
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, data, rows, q_ids, q_data, q_rows = (c[r].as_py() for c in batch.columns)
-                x = np.frombuffer(data, np.int64).reshape(rows, -1)
-                q = np.frombuffer(q_data, np.int64).reshape(q_rows, -1)
-                floor = floors.setdefault(hash(q_ids), np.full(q_rows, -np.inf))
+                ids, data, rows, width, q_ids, q_data, q_rows, q_width = (c[r].as_py() for c in batch.columns)
+                x = np.frombuffer(data, f"<i{width}").reshape(rows, -1).astype(np.int64)
+                q = np.frombuffer(q_data, f"<i{q_width}").reshape(q_rows, -1).astype(np.int64)
+                floor = floors.setdefault(q_ids, np.full(q_rows, -np.inf))
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                for lo in range(0, len(q), 256):
-                    part = q[lo : lo + 256]
-                    # a query may meet itself: one more than k
-                    for i, found in enumerate(threshold_topk(x, part, k + 1, floor[lo : lo + 256]), lo):
-                        found = np.unique(found)
-                        score = _scores(x[found], q[i])
-                        if len(found) > k:
-                            floor[i] = max(floor[i], np.nextafter(float(np.partition(score, -k - 1)[-k - 1]), -np.inf))
-                        other = ids[found] != q_ids[i]
-                        found, score = found[other], score[other]
-                        best = np.lexsort((ids[found], -score))[:k]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q_ids[i])), pa.array(ids[found][best]), pa.array(score[best])], ["query_id", "vec_id", "score"])
+                lists, exact = _lists(x), _below(x, q, 53)
+                for lo in range(0, len(q), TOGETHER if exact else 1):
+                    if exact:
+                        part = slice(lo, lo + TOGETHER)
+                        at, row, score = _walk(x, lists, q[part], k, floor[part], *_equal(q_ids[part], ids))
+                    else:
+                        row = np.flatnonzero(ids != q_ids[lo])
+                        at, score = np.zeros(len(row), np.int64), _scores(x[row], q[lo])
+                    best = _best(at, ids[row], score, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[lo + at[best]]), pa.array(ids[row[best]]), pa.array(score[best])], ["query_id", "vec_id", "score"])
 
     scored = pairs.mapInArrow(walk, _OUT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
