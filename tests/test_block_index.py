@@ -57,3 +57,24 @@ def test_no_documents_and_no_queries(spark, tmp_path):
     assert block_index.top(some, asked.limit(0), 5, f"{tmp_path}/b").count() == 0
     with pytest.raises(ValueError):
         block_index.top(some, asked, 0, f"{tmp_path}/c")
+
+
+def test_the_best_of_distinct_texts_with_the_statistics_of_all(spark, tmp_path):
+    docs, queries = _tables(spark)
+    docs = docs.union(docs.filter("doc_id % 3 = 0").select((F.col("doc_id") + 1000).cast("int"), "text"))
+    asked = retrieval.query_tokens(queries, "q", tx.pair_tokens("text"))
+    plain = retrieval.bm25(retrieval.build_index(docs, "doc_id", tx.pair_tokens("text")), asked).withColumnRenamed("lexical", "score")
+    want = retrieval.distinct_source_top(plain.join(docs.select("doc_id", F.sha2("text", 256).alias("source_hash")), "doc_id"), 5)
+    index = block_index.write(docs, "doc_id", tx.pair_tokens("text"), f"{tmp_path}/index", retrieval.Bm25(), 64, F.sha2("text", 256))
+    got = retrieval.ranked(block_index.top(index, asked, 5, f"{tmp_path}/scratch").withColumnRenamed("lexical", "score"), ["query_id"], "score", ["doc_id"], 5)
+    names = ["query_id", "doc_id", "score", "rank"]
+    assert {tuple(r) for r in got.select(*names).collect()} == {tuple(r) for r in want.select(*names).collect()}
+
+
+def test_rows_of_one_id_are_one_document_and_postings_are_not_shuffled(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (1, "a d"), (3, None)], "doc_id int, text string")
+    index = block_index.write(docs, "doc_id", tx.pair_tokens("text"), f"{tmp_path}/index")
+    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/index/postings").select("doc_id", "token", "tf").collect()}
+    assert got == {(1, "a", 3), (1, "b", 1), (1, "d", 1), (2, "b", 1), (2, "c", 1)} and index.docs == 4
+    rows = docs.filter("doc_id > 1").select("doc_id", tx.pair_tokens("text").alias("tokens"), F.lit(1).cast("long").alias("copies"))
+    assert "Exchange" not in block_index._counted(rows)._jdf.queryExecution().executedPlan().toString()
