@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
-from .text import _c, normalised, text_of
+from .text import _c, bound, normalised, text_of
 
 
 def extract(c: str | Column, lexicon: lx.Lexicon = lx.SKILLS) -> Column:
@@ -19,14 +19,16 @@ def extract(c: str | Column, lexicon: lx.Lexicon = lx.SKILLS) -> Column:
     One alternation for each canonical name, all inside one projection: no row is shuffled. A name's expression is run only where
     one of its aliases is anywhere in the text, which is a plain search of bytes.
     """
-    t = normalised(c)
     quote = lambda a: re.sub(r"([^\w\s])", r"\\\1", a.lower())
-    hits = []
-    for name in sorted(lexicon):
+
+    def hit(t: Column, name: str) -> Column:
         names = sorted({name, *lexicon[name]}, key=lambda a: (-len(a), a))
         there = reduce(or_, [t.contains(a.lower()) for a in names])
-        hits.append(F.when(there & t.rlike(rf"(?U)(?<!\w)(?:{'|'.join(map(quote, names))})(?!\w)"), F.lit(name)))
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+        return F.when(there & t.rlike(rf"(?U)(?<!\w)(?:{'|'.join(map(quote, names))})(?!\w)"), F.lit(name))
+
+    if not lexicon:
+        return F.array().cast("array<string>")
+    return bound(normalised(c), lambda t: F.array_compact(F.array(*[hit(t, name) for name in sorted(lexicon)])))
 
 
 def normalise_skill(c: str | Column, lexicon: lx.Lexicon = lx.SKILLS) -> Column:

@@ -130,3 +130,36 @@ def test_uploads(spark, tmp_path):
     got = {r.path.rpartition("/")[2]: r for r in io.read_uploads(spark, str(tmp_path)).collect()}
     assert got["a.txt"].text == "резюме" and got["b.docx"].text == "один\nдва" and got["c.exe"].error
     assert io.parse_vacancy("Должность: Dev\nГород: Алматы\nТребования: SQL\nGit\n") == {"title": "Dev", "city": "Алматы", "requirements": "SQL\nGit"}
+
+
+def test_letters_that_lower_does_not_make_are_odd(spark):
+    from quillrank import lexicon as lx
+
+    patterns = [*lx.ROLES.values(), *(p for _, p in (*lx.SENIORITY, *lx.DEGREES)), *lx.TOTAL_YEARS, *lx.CONTACT_PARTS, lx.PERSONAL_LINE, lx.TEMPLATE_LINE, lx.NO_CLAIM, lx.NO_EXPERIENCE]
+    letters = sorted({c for p in patterns for a in tx.anchors(p) for c in a})
+    assert all("\\" not in c for c in letters)
+    rows = spark.createDataFrame([(chr(i),) for i in range(1, 0x1F000) if not 0xD800 <= i < 0xE000], "c string")
+    each = F.array(*[F.when(F.col("c").rlike("(?iU)^" + ("\\" + c if not c.isalnum() and c != " " else c) + "$"), F.lit(c)) for c in letters])
+    got = rows.select("c", F.lower("c").alias("low"), F.col("c").rlike(tx.ODD).alias("odd"), F.explode(F.array_compact(each)).alias("as"))
+    assert got.filter("low <> as and not odd").collect() == []
+
+
+def test_patterns_run_only_where_an_anchor_stands(spark):
+    assert set(tx.anchors(r"\bsales\b|продаж\w*|(?:java|c#)\s+(?:developer|dev)")) == {"sales", "продаж", "dev"}
+    assert tx.anchors(r"\d+") is None and tx.anchors(r"a*|b") is None
+    texts = ["Senior BACKEND developer", "бэкенд", "backenD of ſecurity", "tutor\nemail: a@b.cd\nDate of birth: 1990", "work experience: 3 years 6 months", "no experience", "DOKTOR", "", None, "ſenior İntern", "project x\nDescribe what you did\nrest"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = lambda p: tx.bound(tx.folded("t"), lambda x: tx.has(x, p))
+    for p in ("backend|back.end|б[эе]к[эе]нд", "security|кибербезопас", r"\bsenior\b|\bsr\b", r"no experience", r"\bintern\b"):
+        got = df.select(found(p).alias("has"), F.coalesce("t", F.lit("")).rlike("(?iU)" + p).alias("plain")).collect()
+        assert [r.has for r in got] == [r.plain for r in got]
+    assert [r.p for r in df.select(tx.professional_text("t").alias("p")).collect()][3] == "tutor\n " and df.select(tx.claimed_years("t").alias("y")).collect()[4].y == 3.5
+
+
+def test_skills_are_found_in_a_text_that_is_normalised_once(spark):
+    from quillrank.functions import skills as sk
+
+    df = spark.createDataFrame([("Go  and\tC++",)], "t string").select(sk.extract("t", {"go": [], "c++": [], "and": []}).alias("s"))
+    assert df.first().s == ["and", "c++", "go"]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 1
