@@ -324,3 +324,18 @@ def test_answers_about_a_score(spark):
     assert got[3].advice == ["describe_tasks"] and got[4].advice == ["compare"] and got[5].advice == got[6].advice == ["choose_resume"]
     assert got[6].value is None and got[7].topic == "salary" and got[7].advice is None and got[7].lacking is None and got[8].topic == "source"
     assert {a for g in got for a in g.advice or []} <= set(assistant.ADVICE) and got[0].topic_of == "x"
+
+
+def test_near_links_by_places_are_those_of_brute_force_with_copies_and_short_texts(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join([*base[: int(rng.integers(3, 12))], *(f"e{rng.integers(0, 3)}" for _ in range(int(rng.integers(0, 3))))])) for i in range(60)]
+    rows += [(60, None), (61, "one"), (62, "ONE!"), (63, "w0 w1")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    key = {i: " ".join("".join(c if c.isalnum() else " " for c in (t or "").lower()).split()) for i, t in rows}
+    first = {k: min(i for i in key if key[i] == k) for k in key.values() if k}
+    sets = {i: {tuple(k.split()[j : j + 5]) for j in range(len(k.split()) - 4)} or {k} for k, i in first.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b) for r in dedupe.near_links(docs).collect()} == want and want
+    assert "regexp_replace" not in dedupe.near_links(docs)._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace" not in dedupe.exact_classes(docs)._jdf.queryExecution().analyzed().toString()
