@@ -339,3 +339,18 @@ def test_near_links_by_places_are_those_of_brute_force_with_copies_and_short_tex
     assert {(r.a, r.b) for r in dedupe.near_links(docs).collect()} == want and want
     assert "regexp_replace" not in dedupe.near_links(docs)._jdf.queryExecution().analyzed().toString()
     assert "regexp_replace" not in dedupe.exact_classes(docs)._jdf.queryExecution().analyzed().toString()
+
+
+def test_fit_of_rows_is_that_of_their_pairs_and_makes_none(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for q in range(4):
+        for _ in range(30):
+            a, b, c = (float(v) for v in rng.normal(size=3) * (1, 3, 0.5))
+            rows.append((f"q{q}", int(np.clip(round(a - 0.5 * c + rng.normal()), 0, 3)), a, b, c))
+    rows += [("alone", 1, 9.0, 9.0, 9.0), (None, 2, 1.0, 1.0, 1.0), ("q0", None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "query string, relevance int, a double, b double, c double")
+    slow, _ = ranking.fit(ranking.preference_pairs(df, "query", ["a", "b", "c"]), ["a", "b", "c"], [1.0] * 3, l2=0.01, iterations=20_000)
+    model, info = ranking.fit_rows(df, ["a", "b", "c"], [1.0] * 3, l2=0.01)
+    assert np.abs(np.subtract(model.weights, slow.weights)).max() < 1e-6 and max(model.weights) > 0.5 and info["queries"] == 4
+    assert ranking.fit_rows(df.filter("query = 'alone'"), ["a"], [1.0])[0].weights == (0.0,)
