@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..llm.storage import written
 from . import metrics, ranking, selection
 from .freeze import Changed, exists, manifest_of, opened, publish_json, read_json
 
@@ -65,9 +66,10 @@ def train_then_test(experiment: Experiment, features: Sequence[str], signals: Da
     """``method, direction`` and the metrics of the held-out part: of the learned order and of those it is compared with.
 
     The configuration is chosen by folds of groups within train, or is ``locked`` (l2, hr_weight, grade_gap) and only fitted. Weights are
-    locked before the held-out rows are read, and then taken from the lock. ``signals``: key, the features and selection_rank.
+    locked before the held-out rows are read, and then taken from the lock. ``signals``: key, the features and selection_rank; they are
+    computed once for either part, which are written and read many times.
     """
-    train = experiment.rows("train").join(signals, key)
+    train = written(experiment.rows("train").join(signals, key), "experiment-train")
     if locked is None:
         best = ranking.pick(selection.select_configuration(train, features, **(grid or {}))).first()
         chosen = {k: best[k] for k in ("l2", "hr_weight", "grade_gap")}
@@ -79,7 +81,7 @@ def train_then_test(experiment: Experiment, features: Sequence[str], signals: Da
     experiment.lock(chosen | {"features": list(model.features), "mean": list(model.mean), "scale": list(model.scale), "weights": list(model.weights)})
     kept = experiment.locked["configuration"]
     model = ranking.LinearModel(tuple(kept["features"]), tuple(kept["mean"]), tuple(kept["scale"]), tuple(kept["weights"]))
-    test = experiment.rows(experiment.held_out).join(signals, key)
+    test = written(experiment.rows(experiment.held_out).join(signals, key), "experiment-test")
     out = [metrics.summary(part).select(F.lit(name).alias("method"), F.lit(direction).alias("direction"), "*") for name, scored in selection.baseline_scores(test, model).items() for direction, part in selection.directions(scored).items()]
     first, *rest = out
     for more in rest:
