@@ -281,6 +281,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
     Words are compared without regard to the case of A-Z. Texts without words, and null ones, are copies of each other. Null
     ids take part; component_id is null only where all ids of a component are.
     """
+    since = mark()
     texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # rid tells texts apart, key rows: of many copies of a text one is read again
     texts = texts.withColumn("rid", F.xxhash64("text")).withColumn("key", F.xxhash64("doc_id", "text"))
@@ -306,4 +307,6 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
     named = named.join(tops, F.col("root") == F.col("v"), "left").select("node", "least", F.coalesce("top", "root").alias("root"))
     firsts = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     named = named.join(firsts, F.col("root") == F.col("r")).select(F.col("node").alias("u"), "component_id")
-    return own.select("doc_id", "node").join(named, F.col("node") == F.col("u")).select("doc_id", "component_id")
+    out = written(own.select("doc_id", "node").join(named, F.col("node") == F.col("u")).select("doc_id", "component_id"), "copies-components")
+    clean(since, latest=1)  # but for out
+    return out

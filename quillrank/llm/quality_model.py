@@ -146,7 +146,7 @@ def train(x: np.ndarray, p: np.ndarray, l2: float = 1e-4, rounds: int = 300) ->
     w8 = p / (2 * share) + (1 - p) / (2 * (1 - share))
     w8 = w8 / w8.mean()
     w, b = np.zeros(x.shape[1], np.float32), float(np.log(share / (1 - share)))
-    vw, vb, step = w.copy(), b, 4.0 / max(1.0, float((x**2).sum(axis=1).mean()) + 1)
+    vw, vb, step = w.copy(), b, 4.0 / max(1.0, float(np.concatenate([(x[i : i + 256] ** 2).sum(axis=1) for i in range(0, len(x), 256)]).mean()) + 1)
     for i in range(rounds):
         err = (1 / (1 + np.exp(-(x @ vw + vb))) - p) * w8 / len(p)
         nw, nb = vw - step * (x.T @ err.astype(np.float32) + l2 * vw), vb - step * float(err.sum())
@@ -219,6 +219,10 @@ def fit(docs: DataFrame, most: int = MAX_FIT_ROWS) -> QualityModel:
 
     rows = sample.mapInArrow(run, ", ".join(f"{c} bigint" for c in st.COUNTS) + ", x binary").select(*vote_columns(), "x").orderBy(F.xxhash64("x")).limit(2 * most).toArrow()
     votes = np.stack([rows[f"v{j}"].to_numpy() for j in range(len(LABELLERS))], axis=1).astype(np.int64) if rows.num_rows else np.zeros((0, len(LABELLERS)), np.int64)
-    packed = rows["x"].combine_chunks()
-    x = np.frombuffer(packed.buffers()[2], dtype=np.float16)[: rows.num_rows * DIM].reshape(-1, DIM).astype(np.float32) if rows.num_rows else np.zeros((0, DIM), np.float32)
+    x, at = np.zeros((rows.num_rows, DIM), np.float32), 0
+    for batch in rows.select(["x"]).to_batches():  # no second copy of all rows on the driver
+        for value in batch.column(0):
+            x[at] = np.frombuffer(value.as_buffer(), dtype=np.float16)
+            at += 1
+    del rows
     return QualityModel(labels, train(x, labels.posterior(votes)))

@@ -188,3 +188,33 @@ def test_windows_of_a_spread_anchor_are_found_across_shards(make_docs, monkeypat
     rows = [(i, sides[i % 12][0][i * 3 % 40 :] + core + sides[(i * 5 + i // 12) % 12][1][: 150 + i]) for i in range(40)]
     got = suffix_dedup.dedup(make_docs(rows), digest=True).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_bytes(rows)
+
+
+def test_ranks_tie_where_windows_are_equal():
+    """Ranks alone tell equal windows: they stop at the depth, not at the next power of two."""
+    rng = np.random.default_rng(3)
+    b = rng.integers(97, 99, 900).astype(np.uint8)
+    b[500:] = b[:400]
+    b[500 + 397] ^= 1
+    for depth in (5, 8, 20, 100, 390):
+        sa, rank = suffix_dedup.suffix_array(b, depth)
+        at = np.arange(len(b) - depth)
+        windows = [bytes(b[i : i + depth]) for i in at.tolist()]
+        by_rank: dict[int, set] = {}
+        for r, w in zip(rank[at].tolist(), windows, strict=True):
+            by_rank.setdefault(r, set()).add(w)
+        assert all(len(w) == 1 for w in by_rank.values()) and len(by_rank) == len(set(windows))
+
+
+def test_only_what_is_still_read_stays_written(make_docs):
+    """Tables go as soon as what reads them is written: of a dedup the repeated windows stay, of near copies their components."""
+    from quillrank.llm import near_copies, storage
+
+    passage = " ".join(f"word{i}" for i in range(120))
+    docs = make_docs([(i, f"head{i} {passage} foot{i}") for i in range(6)])
+    for run, last in ((suffix_dedup.dedup_text, "suffix-windows"), (near_copies.near_copies, "copies-components")):
+        since = storage.mark()
+        out = run(docs)
+        left = [path.rpartition("/")[2] for _, path in storage._WRITTEN[since:]]
+        assert len(left) == 1 and left[0].startswith(last)
+        assert out.count() == 6
