@@ -16,6 +16,9 @@ nothing is compared again. The other sets' answers are derived from the leader's
   it a link, without looking at either set;
 * else the overlap of b and c is the leader's overlap with c, plus c's share of what only b has, less c's share of what b
   lacks: one whole set is read for a pair instead of two. Pairs without such a leader are compared in full.
+
+Of lists dense with pairs first a few for each set are settled (FEW), up to MEETINGS times: what they link is one component, in
+which nothing is compared again. All pairs that are then left between components follow.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ BLOCK, CELLS = 512, 512
 LEADERS = 2
 #: The first leaders' answers are kept up to so many times the distance of a link: what is linked to a set near a leader is hardly further from it.
 NEAR = 2
+#: So many pairs of a list for each of its sets are settled at first, and so often; lists that hold more are met again.
+FEW, MEETINGS, SLAB = 4, 3, 64
 #: So many shared shingles of their heads are waited for before two sets are looked at, if they must have as many.
 COMMON = 4
 #: 64-bit words of the filter that keeps texts no pair asks for in the scan; a full one lets all through.
@@ -116,6 +121,16 @@ class _Least:
         return np.clip(self.overlap(na + nb) - behind, 1, COMMON)
 
 
+def _rest_of(row: np.ndarray, pair: np.ndarray, ok: np.ndarray, most: int) -> np.ndarray:
+    """Of the places where ``ok`` holds those beyond ``most``; rows take turns, each in order of a hash of its pairs."""
+    at = np.flatnonzero(ok)
+    h = tx.mixed(pair[at].view(tx.U))
+    order = np.lexsort((h, row[at]))
+    own = row[at][order]
+    turn = np.arange(len(own)) - np.searchsorted(own, own)
+    return at[order[np.lexsort((h[order], turn))[most:]]]
+
+
 def _places(key: Column) -> list[tuple[Column, Column]]:
     """Two places, word and bit, of each key in a filter of FILTER words."""
     return [(F.pmod(h, F.lit(FILTER)).cast("int"), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")) for h in (F.xxhash64(key, F.lit(i)) for i in (1, 2))]
@@ -248,18 +263,19 @@ class _Join:
         rows = placed.select("x", "node", "n", "i", "root", "lead", "lead_n", "common", "bits")
         return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "jaccard-blocks")
 
-    def met_again(self, blocks: DataFrame) -> DataFrame:
-        """``a, b, lead, sure, need``: for each list, the pairs of different components that sizes, places, parities and the leader's answers leave.
+    def met_again(self, blocks: DataFrame, few: int | None = None) -> DataFrame:
+        """``a, b, lead, sure, need, cut``: for each list, the pairs of different components that sizes, places, parities and the leader's answers leave.
 
-        Sure ones are links; others can be only if ``need`` lists have them.
+        Sure ones are links; others can be only if ``need`` lists have them. With ``few`` about so many for each set of a list and
+        no more, the same in all lists where they can be; cut: there were more.
         """
         names = ["nodes", "ns", "places", "roots", "commons", "bits"]
-        own = blocks.filter("tag is null").select("lead", "lead_n", *[F.col(c).alias(f"a_{c}") for c in names], *[F.lit(None).cast(t).alias(f"b_{c}") for c, t in blocks.select(*names).dtypes])
+        own = blocks.filter("tag is null").select("lead", "lead_n", *[F.col(c).alias(f"a_{c}") for c in names], *[F.lit(None).cast(t).alias(f"b_{c}") for c, t in blocks.select(*names).dtypes], F.expr("1L").alias("m"))
         # blocks of the same single root are never compared, so lists are joined by what roots their blocks have
         tags = written(blocks.select("x", "tag").distinct(), "jaccard-tags")
-        several = blocks.groupBy("x").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("x").alias("y"))
-        tags = tags.join(several, F.col("x") == F.col("y"), "left_semi")
-        met = tags.select("x", F.col("tag").alias("p")).join(tags.select(F.col("x").alias("x2"), F.col("tag").alias("q")), F.col("x") == F.col("x2")).filter("p is null or q is null or p <> q").select("x", "p", "q")
+        several = blocks.groupBy("x").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("x").alias("y"), "m")
+        tags = tags.join(several, F.col("x") == F.col("y"))
+        met = tags.select("x", "m", F.col("tag").alias("p")).join(tags.select(F.col("x").alias("x2"), F.col("tag").alias("q")), F.col("x") == F.col("x2")).filter("p is null or q is null or p <> q").select("x", "m", "p", "q")
         a = blocks.select(F.col("x").alias("ax"), F.col("tag").alias("atag"), F.col("first").alias("afirst"), F.col("n_low").alias("alow"), F.col("n_high").alias("ahigh"), F.col("rest").alias("arest"), "lead", "lead_n", *[F.col(c).alias(f"a_{c}") for c in names])
         b = blocks.select(F.col("x").alias("bx"), F.col("tag").alias("btag"), F.col("first").alias("bfirst"), F.col("n_low").alias("blow"), F.col("rest").alias("brest"), *[F.col(c).alias(f"b_{c}") for c in names])
         before = F.struct("alow", "afirst") < F.struct("blow", "bfirst")
@@ -280,8 +296,10 @@ class _Join:
                         v = [c.values.to_numpy(zero_copy_only=False).astype(np.int64) for c in col[:4]]
                         common = col[4].values.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                         sides.append((*v, common, np.frombuffer(b"".join(col[5].values.to_pylist()), np.uint64).reshape(len(v[0]), -1)))
-                    for lo in range(0, len(sides[0][0]), 64):
-                        u = tuple(c[lo : lo + 64] for c in sides[0])
+                    # a list of m blocks is m ** 2 pairs of them: together they keep as many pairs as it has sets, times few
+                    most_kept = None if few is None else max(1, few * SLAB // batch.column(14)[r].as_py())
+                    for lo in range(0, len(sides[0][0]), SLAB):
+                        u = tuple(c[lo : lo + SLAB] for c in sides[0])
                         v = sides[-1]
                         left, right = u[1][:, None] - u[2][:, None], v[1][None, :] - v[2][None, :]
                         size = u[1][:, None] + v[1][None, :]
@@ -295,11 +313,14 @@ class _Join:
                         da, db = u[1][p] + (lead_n or 0) - 2 * u[4][p], v[1][q] + (lead_n or 0) - 2 * v[4][q]
                         sure = known & (da + db <= most)
                         ok = sure | (np.bitwise_count(u[5][p] ^ v[5][q]).sum(axis=1, dtype=np.int64) <= most) & ~(known & (np.abs(da - db) > most))
+                        cut = most_kept is not None and int(ok.sum()) > most_kept
+                        if cut:
+                            ok[_rest_of(p, u[0][p] ^ v[0][q], ok, most_kept)] = False
                         if ok.any():
                             a, b = u[0][p][ok], v[0][q][ok]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), lead or 0), mask=~known[ok]), pa.array(sure[ok]), pa.array(need[p, q][ok].astype(np.int32))], ["a", "b", "lead", "sure", "need"])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), lead or 0), mask=~known[ok]), pa.array(sure[ok]), pa.array(need[p, q][ok].astype(np.int32)), pa.array(np.full(len(a), cut))], ["a", "b", "lead", "sure", "need", "cut"])
 
-        return pairs.mapInArrow(run, "a bigint, b bigint, lead bigint, sure boolean, need int")
+        return pairs.mapInArrow(run, "a bigint, b bigint, lead bigint, sure boolean, need int, cut boolean")
 
     def derived(self, rest: DataFrame, answers: DataFrame) -> DataFrame:
         """``a, b``: the links among ``rest`` (of :meth:`met_again`)."""
@@ -362,7 +383,19 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     held = answers.select(F.col("a").alias("l"), F.col("b").alias("v"), "common")
     placed = placed.join(held, (F.col("lead") == F.col("l")) & (F.col("node") == F.col("v")), "left").withColumn("common", F.when(F.col("node") == F.col("lead"), F.col("n")).otherwise(F.col("common")))
     placed = placed.join(nodes.select(F.col("node").alias("u"), "bits"), F.col("node") == F.col("u"))
-    rest = join.derived(join.met_again(join.blocks(placed)), answers)
+    for turn in range(MEETINGS + 1):
+        since = mark()
+        found = written(join.met_again(join.blocks(placed), FEW if turn < MEETINGS else None), "jaccard-found")
+        clean(since, latest=1)  # but for found
+        if turn == MEETINGS or found.filter("cut").isEmpty():
+            break
+        links = links.union(join.derived(found, answers))
+        roots = components(links)
+        placed = placed.select("x", "node", "n", "i", "lead", "lead_n", "common", "bits").join(roots.select(F.col("node").alias("w"), F.col("root").alias("r")), F.col("node") == F.col("w"), "left")
+        placed = written(placed.select("x", "node", "n", "i", F.coalesce("r", "node").alias("root"), "lead", "lead_n", "common", "bits"), "jaccard-placed")
+        split = placed.groupBy("x").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select(F.col("x").alias("z"))
+        placed = placed.join(split, F.col("x") == F.col("z"), "left_semi")
+    rest = join.derived(found, answers)
     of = [roots.select(F.col("node").alias(f"u{c}"), F.col("root").alias(f"r{c}")) for c in "ab"]
     between = rest.join(of[0], F.col("a") == F.col("ua"), "left").join(of[1], F.col("b") == F.col("ub"), "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     tops = components(between).select(F.col("node").alias("v"), F.col("root").alias("top"))

@@ -84,3 +84,25 @@ def test_answers_are_derived(make_docs, monkeypatch):
     got = jj.jaccard_components(make_docs(rows)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
     assert seen["turned"] > 0
+
+
+def test_dense_lists_are_met_again(make_docs, monkeypatch):
+    """A few pairs for each set first: lists that hold more are met again, with what was linked as one component, until none is cut."""
+    met = []
+    before = jj._Join.met_again
+
+    def watch(self, blocks, few=None):
+        found = jj.written(before(self, blocks, few), "test-found")
+        met.append((few, found.count(), found.filter("cut").count(), blocks.agg(F.sum(F.size("nodes"))).first()[0] or 0))
+        return found
+
+    monkeypatch.setattr(jj._Join, "met_again", watch)
+    monkeypatch.setattr(jj, "LEADERS", 1)
+    monkeypatch.setattr(jj, "BLOCK", 8)
+    monkeypatch.setattr(jj, "SLAB", 4)
+    monkeypatch.setattr(jj, "FEW", 1)
+    rows = edited(2, 12, 14, 6)
+    got = jj.jaccard_components(make_docs(rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+    assert len(met) > 1 and met[0][2] > 0 and met[-1][2] == 0
+    assert all(found <= 4 * entries for few, found, _, entries in met if few)
