@@ -44,7 +44,7 @@ LEADERS = 2
 #: The first leaders' answers are kept up to so many times the distance of a link: what is linked to a set near a leader is hardly further from it.
 NEAR = 2
 #: So many pairs of a list for each of its sets are settled at first, and so often; lists that hold more are met again.
-FEW, MEETINGS, SLAB = 4, 3, 64
+FEW, MEETINGS, SLAB = 32, 3, 64
 #: So many shared shingles of their heads are waited for before two sets are looked at, if they must have as many.
 COMMON = 4
 #: 64-bit words of the filter that keeps texts no pair asks for in the scan; a full one lets all through.
