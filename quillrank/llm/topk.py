@@ -7,8 +7,9 @@ component times the value at that depth; once this bound cannot beat the k-th sc
 far, the walk stops. The walk goes in steps of STEP rows of every list, then twice as many each time. Many queries take it together: what one list
 shows is scored for all of them at once, as a product of matrices, in the narrowest floats that hold the scores exactly.
 
-A block's answers merge by a grouped top-k. Queries are a stated set against all rows, in blocks:
-each pair of a block of queries and a block of candidates is a task of bounded size.
+A group's answers merge by a grouped top-k. Queries are a stated set against all rows: blocks are put together to groups of bounded
+bytes, and each pair of a group of queries and a group of candidates meets in a shuffle, by itself. So a block is sent
+once for each group of the other side, never for each of its blocks, and no side is held whole anywhere.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +28,8 @@ from .storage import written
 K, SCALE = 5, 256.0
 BLOCK, QUERIES = 4096, 4096
 STEP = 8
+#: Bytes of the blocks of a group, on either side; and groups of candidates for each core, where there are blocks enough.
+GROUP, FOR_A_CORE = 16 << 20, 4
 #: Queries of a block that walk together.
 TOGETHER = 1024
 _OUT = "query_id bigint, vec_id bigint, score bigint"
@@ -145,6 +149,12 @@ def _packed(vectors: DataFrame, n: int, size: int, length: int, name: str) -> tu
     return written(dealt.groupBy("block").applyInArrow(pack, "block bigint, ids binary, data binary, rows bigint, width int"), name), blocks
 
 
+def _in_group(packed: DataFrame, blocks: int, least: int) -> int:
+    """How many of the blocks are a group: as many as GROUP bytes hold, but so few that there are ``least`` groups if there are blocks enough."""
+    longest = packed.agg(F.max(F.length("data") + F.length("ids"))).first()[0] or 1
+    return max(1, min(GROUP // longest, blocks // least))
+
+
 def _best(at: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """The places of each query's k best, ties to the smaller id."""
     order = np.lexsort((ids, -score, at))
@@ -171,22 +181,35 @@ def topk(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     own = vectors.filter("vec_id is not null and v is not null")
     n, n_asked, length = own.agg(F.count(F.lit(1)), F.count_if(queries), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     candidates, blocks = _packed(own, n, BLOCK, length, "topk-candidates")
-    asked, _ = _packed(own.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v")), n_asked, QUERIES, length, "topk-queries")
-    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-    both = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "data", "rows", "width")], F.explode(every).alias("b"))
+    asked, asked_blocks = _packed(own.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v")), n_asked, QUERIES, length, "topk-queries")
+    per_c = _in_group(candidates, blocks, FOR_A_CORE * vectors.sparkSession.sparkContext.defaultParallelism)
+    per_q = _in_group(asked, asked_blocks, 1)
     names = ["ids", "data", "rows", "width"]
-    pairs = candidates.join(both, F.col("block") == F.col("b")).select(*names, *[f"q_{c}" for c in names]).repartition(F.xxhash64("ids", "q_ids"))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict[bytes, np.ndarray] = {}  # for each block of queries of this task, what k candidates of a block before reach
-        for batch in batches:
-            for r in range(batch.num_rows):
-                ids, data, rows, width, q_ids, q_data, q_rows, q_width = (c[r].as_py() for c in batch.columns)
-                x = np.frombuffer(data, f"<i{width}").reshape(rows, -1).astype(np.int64)
-                q = np.frombuffer(q_data, f"<i{q_width}").reshape(q_rows, -1).astype(np.int64)
-                floor = floors.setdefault(q_ids, np.full(q_rows, -np.inf))
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                lists, exact = _lists(x), _below(x, q, 53)
+
+    def met(side: DataFrame, own: str, per: int, other: str, groups: int, asks: bool) -> DataFrame:
+        """The blocks of a side, once for each group of the other."""
+        every = F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))
+        return side.select(F.floor(F.col("block") / per).cast("long").alias(own), F.explode(every).alias(other), F.lit(asks).alias("asks"), *names).select("g", "h", "asks", *names)
+
+    both = met(candidates, "g", per_c, "h", -(-asked_blocks // per_q), False).unionByName(met(asked, "h", per_q, "g", -(-blocks // per_c), True))
+
+    def walk(table: pa.Table) -> pa.Table:
+        def unpacked(asks: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in table.filter(pc.equal(table["asks"], asks)).select(names).to_batches():
+                for r in range(batch.num_rows):
+                    ids, data, rows, width = (c[r].as_py() for c in batch.columns)
+                    yield np.frombuffer(ids, np.int64), np.frombuffer(data, f"<i{width}").reshape(rows, -1)
+
+        asked = list(unpacked(True))
+        floors = [np.full(len(q), -np.inf) for _, q in asked]  # for each block of queries, what k candidates of a block before reach
+        held = [(np.zeros(0, np.int64),) * 3] * len(asked)  # the k best of each query so far: of a group no more leave a task
+        for ids, x in unpacked(False) if asked else ():
+            x = x.astype(np.int64)
+            lists = _lists(x)
+            for b, ((q_ids, q), floor) in enumerate(zip(asked, floors, strict=True)):
+                q = q.astype(np.int64)
+                exact = _below(x, q, 53)
+                found = [held[b]]
                 for lo in range(0, len(q), TOGETHER if exact else 1):
                     if exact:
                         part = slice(lo, lo + TOGETHER)
@@ -195,8 +218,13 @@ def topk(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
                         row = np.flatnonzero(ids != q_ids[lo])
                         at, score = np.zeros(len(row), np.int64), _scores(x[row], q[lo])
                     best = _best(at, ids[row], score, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[lo + at[best]]), pa.array(ids[row[best]]), pa.array(score[best])], ["query_id", "vec_id", "score"])
-
-    scored = pairs.mapInArrow(walk, _OUT)
+                    found.append((lo + at[best], ids[row[best]], score[best]))
+                at, those, score = (np.concatenate(c) for c in zip(*found, strict=True))
+                best = _best(at, those, score, k)
+                held[b] = at[best], those[best], score[best]
+        parts = [(np.zeros(0, np.int64),) * 3, *((q_ids[at], those, score) for (q_ids, _), (at, those, score) in zip(asked, held, strict=True))]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+    scored = both.groupBy("g", "h").applyInArrow(walk, _OUT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
