@@ -354,3 +354,25 @@ def test_fit_of_rows_is_that_of_their_pairs_and_makes_none(spark):
     model, info = ranking.fit_rows(df, ["a", "b", "c"], [1.0] * 3, l2=0.01)
     assert np.abs(np.subtract(model.weights, slow.weights)).max() < 1e-6 and max(model.weights) > 0.5 and info["queries"] == 4
     assert ranking.fit_rows(df.filter("query = 'alone'"), ["a"], [1.0])[0].weights == (0.0,)
+
+
+def test_near_duplicates_write_and_keep_no_texts_nor_sets_of_what_met_nothing(spark, monkeypatch):
+    words = [f"w{i}" for i in range(4000)]
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(words, 200))) for i in range(60)]
+    near = rows[3][1].split()
+    near[100] = "other"
+    rows += [(70, " ".join(near)), (71, rows[3][1].upper()), (71, rows[3][1].upper()), (70, " ".join(near)), (72, None), (73, "")]
+    tables = {}
+
+    def kept(df, name, put=dedupe.written):
+        tables[name] = put(df, name)
+        return tables[name] if name != "dup-sets" else tables.setdefault("sets", spark.createDataFrame(tables[name].collect(), df.schema))
+
+    monkeypatch.setattr(dedupe, "written", kept)
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: (r.class_id, r.copies, r.links) for r in dedupe.near_duplicates(docs).collect()}
+    assert got[3] == (3, 3, 1) and got[70] == (70, 2, 1) and got[71] == (3, 3, 1) and got[72] == got[73] == (72, 2, 0) and got[0] == (0, 1, 0) and len(got) == 64
+    assert {r.node for r in tables["sets"].collect()} == {x for r in tables["dup-links"].collect() for x in (r.a, r.b)}
+    assert not any("key" in t.columns for t in tables.values())
+    assert [(r.a, r.b) for r in dedupe.near_links(docs).collect()] == [(3, 70)]
